@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftspark.llm.media import media_columns, media_digest
+from weftspark.llm.parity_join import link_components
 from weftspark.llm.token_records import record_digest, token_records
 
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
@@ -18,6 +19,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(_docs(spark, sf_dir))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(token_records(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
@@ -27,7 +32,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_records, op6_media)}
+    return {f.__name__: f for f in (op1_parity_join, op4_token_records, op6_media)}
 
 
 def oracle_sql() -> dict[str, str]:
