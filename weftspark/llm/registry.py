@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftspark.llm.interpolation import interpolated_scores
 from weftspark.llm.media import media_columns, media_digest
 from weftspark.llm.parity_join import link_components
 from weftspark.llm.token_records import record_digest, token_records
+from weftspark.llm.url_rules import judge_urls, rules_sql
 
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
@@ -31,9 +33,17 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(media_columns(_docs(spark, sf_dir)))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op4_token_records, op6_media)}
+    return {f.__name__: f for f in (op1_parity_join, op4_token_records, op6_media, op7_url_rules, op10_interpolation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_rules": rules_sql()}
