@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftspark.llm.interpolation import interpolated_scores
 from weftspark.llm.media import media_columns, media_digest
 from weftspark.llm.parity_join import link_components
+from weftspark.llm.secrets import scan_secrets, secret_digest
 from weftspark.llm.token_records import record_digest, token_records
 from weftspark.llm.url_rules import judge_urls, rules_sql
 
@@ -25,6 +26,10 @@ def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_docs(spark, sf_dir))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(_docs(spark, sf_dir)))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(token_records(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
@@ -42,7 +47,7 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op4_token_records, op6_media, op7_url_rules, op10_interpolation)}
+    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op4_token_records, op6_media, op7_url_rules, op10_interpolation)}
 
 
 def oracle_sql() -> dict[str, str]:
