@@ -19,9 +19,11 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,12 @@ from weftspark.llm.text import text_chunks
 
 END_ID = 0
 NULL_ID = -(1 << 63)
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Pieces whose ids a Python worker remembers.
+CACHE_WORDS = 600_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
+# Fixed value: the vocabulary's published pattern, for the characters above.
+_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _HEAD = struct.Struct("<QI")
 _OWN = struct.Struct("<qB")
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8")])
@@ -92,12 +98,13 @@ def stream_payloads(stream) -> Iterator[bytes]:
 
 
 class WordEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering words.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering pieces.
 
-    The library splits a text before each single space that a visible character
-    follows, and never merges across such a split; so the text is cut there and
-    each distinct piece is encoded once. A text where the cut is not certain
-    (runs of spaces, other white space after a space) is encoded whole.
+    The library cuts a text into pieces by the published pattern of this
+    vocabulary and never merges across a cut. Texts of ASCII and Latin letters
+    are cut here by the same pattern, and each distinct piece is encoded once;
+    texts with other characters, or with a special token's string, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -105,26 +112,22 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        cut = [t.split(" ") for t in texts]
-        known, new, odd = self.known, set(), set()
-        for i, pieces in enumerate(cut):
-            fresh = [w for w in pieces[1:] if w not in known]
-            if not all("!" <= w[:1] <= "~" or "À" <= w[:1] <= "ɏ" for w in fresh):
-                odd.add(i)
-            else:
-                new.update(fresh)
-        new = list(new)
-        known.update(zip(new, self._whole([" " + w for w in new])))
-        firsts = self._whole([t if i in odd else p[0] for i, (t, p) in enumerate(zip(texts, cut))])
-        return [first if i in odd else b"".join([first, *[known[w] for w in pieces[1:]]]) for i, (first, pieces) in enumerate(zip(firsts, cut))]
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        cut = [_PIECES.findall(t) if p else [] for t, p in zip(texts, plain)]
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self._whole(new)))
+        rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        return [b"".join(map(self.known.__getitem__, c)) if p else next(rest) for c, p in zip(cut, plain)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
