@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftspark.llm.interpolation import interpolated_scores
 from weftspark.llm.media import media_columns, media_digest
 from weftspark.llm.parity_join import link_components
+from weftspark.llm.personal_data import find_personal_data, personal_digest
 from weftspark.llm.secrets import scan_secrets, secret_digest
 from weftspark.llm.token_records import record_digest, token_records
 from weftspark.llm.url_rules import judge_urls, rules_sql
@@ -42,12 +43,16 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(find_personal_data(_docs(spark, sf_dir)))
+
+
 def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op4_token_records, op6_media, op7_url_rules, op10_interpolation)}
+    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op4_token_records, op6_media, op7_url_rules, op9_personal_data, op10_interpolation)}
 
 
 def oracle_sql() -> dict[str, str]:
