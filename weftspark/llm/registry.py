@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftspark.llm.decontaminate import find_leaks
 from weftspark.llm.interpolation import interpolated_scores
 from weftspark.llm.media import media_columns, media_digest
 from weftspark.llm.parity_join import link_components
 from weftspark.llm.personal_data import find_personal_data, personal_digest
+from weftspark.llm.piece_dropout import encode_pieces, piece_digest
 from weftspark.llm.secrets import scan_secrets, secret_digest
 from weftspark.llm.token_records import record_digest, token_records
+from weftspark.llm.toxicity import chain_scores, table_categories, toxic_digest
 from weftspark.llm.url_rules import judge_urls, rules_sql
 
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
@@ -31,10 +34,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_docs(spark, sf_dir)))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(token_records(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(encode_pieces(_docs(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(media_columns(_docs(spark, sf_dir)))
 
@@ -43,6 +54,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table_categories(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic_digest(chain_scores(_docs(spark, sf_dir), labels))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digest(find_personal_data(_docs(spark, sf_dir)))
 
@@ -52,7 +68,7 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op4_token_records, op6_media, op7_url_rules, op9_personal_data, op10_interpolation)}
+    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op3_decontaminate, op4_token_records, op5_pieces, op6_media, op7_url_rules, op8_toxicity, op9_personal_data, op10_interpolation)}
 
 
 def oracle_sql() -> dict[str, str]:
