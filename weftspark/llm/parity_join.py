@@ -12,16 +12,20 @@ those cells therefore finds every pair. The number of cells is fixed for a size
 band (from lo to 4 lo: 2 lo cells); a set within a quarter of the next band is
 sketched for that band too.
 
+Lists are longer by a slack of n/9 cells. Linked documents then share more than
+the smaller slack of them, so if either holds no more than that many cells that
+are frequent in the corpus, they share a rare one. Pairs are taken from the rare
+cells' groups. Only documents with more frequent cells than that can be missed,
+and only by each other: they are joined again among themselves, under an order
+that puts the cells frequent among them last. Groups that even then are large are compared a number of leaders a round:
+first the members with the largest share of shared cells, which are the
+originals of many copies if there are any, then members of the smaller classes,
+until one class is left or every pair of two classes was compared.
+
 Candidates are compared by folded one-bit-a-shingle parity sketches first: more
 differing bits than a linked pair of these sizes may have rule a pair out; the
 rest is verified on the whole sets. What is asked for is the classes, so within
-a group of documents that share a cell only pairs of different classes are
-compared. Cells that many documents of several classes share (lines that recur
-across the corpus) would pair them all; the documents that hold such a cell are
-joined again among themselves under an order that puts every cell frequent among
-them last. Groups that even then are large are compared a number of leaders a
-round, members of the smaller classes first, until one class is left or every
-pair of two classes was compared. No pair is dropped.
+a group only pairs of different classes are compared. No pair is dropped.
 
 Edge cases: null or empty texts have no shingles and stand alone; rows with a
 null doc_id stand alone with a null component; rows that share a doc_id are one
@@ -47,6 +51,8 @@ SHARE, OF = 75, 100
 FIRST_BAND, BAND_GROWTH = 64, 4
 #: Members of a group up to which its remaining pairs are compared in one round; of larger ones, so many leaders a round.
 SMALL_GROUP, LEADERS = 32, 64
+#: Rounds, and leaders in each, that compare large groups with their most central members.
+CENTRAL_ROUNDS, CENTRAL_LEADERS = 2, 4
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
@@ -69,7 +75,7 @@ def prefix_length(n: int) -> int:
 
 
 def cell_tokens(own: np.ndarray, band: int) -> np.ndarray:
-    """The cells of a sorted shingle set's parity sketch as hashes, in their global order; enough of them for ``prefix_length``."""
+    """The cells of a sorted shingle set's parity sketch as hashes, in their global order; at least ``prefix_length`` + ``slack`` of a large set."""
     salt = mix(np.array([band + 1], _U))
     if not band:
         return np.sort(mix(own ^ salt))
@@ -79,7 +85,7 @@ def cell_tokens(own: np.ndarray, band: int) -> np.ndarray:
     parity = np.bitwise_xor.reduceat(own, starts)
     full = parity != 0
     tokens = np.sort(mix(parity[full] ^ salt))
-    if (lack := prefix_length(len(own)) - len(tokens)) > 0:
+    if (lack := prefix_length(len(own)) + slack(len(own)) - len(tokens)) > 0:
         empty = np.setdiff1d(np.arange(cells, dtype=_U), place[starts[full]])
         tokens = np.concatenate([tokens, mix(mix(empty + salt) ^ salt)[:lack]])
     return tokens
@@ -103,26 +109,45 @@ def _lists(parts: list[np.ndarray], counts: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat))
 
 
+def slack(n: int) -> int:
+    """Cells listed beyond ``prefix_length``."""
+    return n // 9
+
+
+def _print_of(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    spread = mix(own)
+    return int(spread.sum(dtype=_U)), int(np.bitwise_xor.reduce(mix(spread + _U(1)))) if len(own) else 0
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[int, int]] = set()
     for part in text_chunks(batches):
-        sizes, prints, bits, tokens, counts = [], [], [], [], []
+        sizes, prints, bits = [], [], []
         for own in shingle_sets(*words(part.column("text"))):
-            spread = mix(own)
-            mark = (int(spread.sum(dtype=_U)), int(np.bitwise_xor.reduce(mix(spread + _U(1)))) if len(own) else 0)
             sizes.append(len(own))
-            prints.append(mark)
+            prints.append(_print_of(own))
             bits.append(parity_bits(own))
-            held = 0
-            if len(own) and mark not in seen:
-                if len(seen) < REMEMBERED:
-                    seen.add(mark)
-                for band in size_bands(len(own)):
-                    tokens.append(cell_tokens(own, band)[: prefix_length(len(own))])
-                    held += len(tokens[-1])
-            counts.append(held)
         marks = np.array(prints, _U).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(bits, pa.binary()), _lists(tokens, counts)], ["doc_id", "n", "print1", "print2", "bits", "tokens"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(bits, pa.binary())], ["doc_id", "n", "print1", "print2", "bits"])
+
+
+def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, doc_id) of the listed cells; equal sets of one task send theirs once."""
+    seen: set[tuple[int, int]] = set()
+    for part in text_chunks(batches):
+        ids, tokens, counts = [], [], []
+        for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(*words(part.column("text")))):
+            mark = _print_of(own)
+            if doc is None or not len(own) or mark in seen:
+                continue
+            if len(seen) < REMEMBERED:
+                seen.add(mark)
+            for band in size_bands(len(own)):
+                tokens.append(cell_tokens(own, band)[: prefix_length(len(own)) + slack(len(own))])
+                ids.append(doc)
+                counts.append(len(tokens[-1]))
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], ["token", "doc_id"])
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +203,22 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(_compare, "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
 
 
-def _grouped(groups: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Written rows of the groups that hold several classes: token, rep, n, class, size of the group, place in it (smaller classes first)."""
+def _grouped(groups: DataFrame, component: DataFrame | None, central: bool = False) -> DataFrame:
+    """Written rows of the groups that hold several classes: token, rep, n, class, size of the group, place in it.
+
+    Smaller classes come first, or else (``central``) members by the share of their cells that such groups hold.
+    """
     if component is None:
         held = groups.withColumn("class", F.col("rep"))
     else:
         held = groups.join(component, groups["rep"] == component["node"], "left").select(*groups.columns, F.coalesce("component", "rep").alias("class"))
     by = Window.partitionBy("token")
     held = held.withColumn("size", F.count("*").over(by)).withColumn("several", F.min("class").over(by) != F.max("class").over(by)).where("several").drop("several")
-    held = held.withColumn("alike", F.count("*").over(Window.partitionBy("token", "class")))
-    return written(held.withColumn("place", F.row_number().over(by.orderBy("alike", "class", "rep", "n"))).drop("alike"), "groups")
+    if central:
+        held = held.withColumn("first", -F.count("*").over(Window.partitionBy("rep", "n")) / F.col("n"))
+    else:
+        held = held.withColumn("first", F.count("*").over(Window.partitionBy("token", "class")))
+    return written(held.withColumn("place", F.row_number().over(by.orderBy("first", "class", "rep", "n"))).drop("first"), "groups")
 
 
 def _pairs(members: DataFrame, leaders: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -213,43 +244,47 @@ def _rarest_first(docs: DataFrame, affected: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs(doc_id, text)``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(own.mapInArrow(_sketches, "doc_id long, n long, print1 long, print2 long, bits binary, tokens array<long>"), "sketches")
+    sketches = written(own.mapInArrow(_sketches, "doc_id long, n long, print1 long, print2 long, bits binary"), "sketches")
     filled = sketches.where("doc_id is not null and n > 0")
     same = ["n", "print1", "print2"]
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
     members = written(filled.select("doc_id", *same).join(classes.drop("bits"), same).select("doc_id", "rep", "n").distinct(), "members")
     reps = written(classes.select("rep", "n", "bits"), "reps")
 
-    size = F.count("*").over(Window.partitionBy("token"))
-    shared = filled.select("doc_id", F.explode("tokens").alias("token")).withColumn("size", size).where("size > 1").select("doc_id", "token")
-    groups = written(written(shared, "shared").join(members, "doc_id").select("token", "rep", "n").distinct(), "classes")
+    by = Window.partitionBy("token")
+    tokens = own.mapInArrow(_first_tokens, "token long, doc_id long").withColumn("size", F.count("*").over(by)).withColumn("hub", F.min("doc_id").over(by))
+    shared = written(tokens.where("size > 1").select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent")), "shared")
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Each with the smallest id that it shares a cell with: this links most copies.
-    hubs = groups.withColumn("hub", F.min("rep").over(Window.partitionBy("token"))).where("hub <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a"))
-    done = written(hubs.select("a", "b"), "pairs")
+    nearest = shared.where("hub <> doc_id").groupBy("doc_id").agg(F.min("hub").alias("hub"))
+    named = nearest.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").join(members.select(F.col("doc_id").alias("hub"), F.col("rep").alias("a")), "hub")
+    done = written(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = links.union(_verify(own, reps, done))
     component = connected_components(links, "a", "b")
 
-    held = _grouped(groups, component)
-    small = held.where(F.col("size") <= SMALL_GROUP)
-    pairs = _pairs(small, small, done)
+    rare = shared.where("not frequent").join(members, "doc_id").select("token", "rep", "n").distinct()
+    held = _grouped(rare, component)
+    pairs = _pairs(held, held, done)
     done = done.union(pairs)
     links = links.union(_verify(own, reps, pairs))
-    large = held.where(F.col("size") > SMALL_GROUP).select(F.col("rep").alias("doc_id")).distinct()
-    if not large.isEmpty():
-        component = connected_components(links, "a", "b")
-        held = _grouped(_rarest_first(own, written(large, "affected")).drop("frequent"), component)
+
+    allowed = F.floor(F.floor(F.col("n") / 9) * SHARE / OF)
+    crowded = shared.where("frequent").groupBy("doc_id").agg(F.count("*").alias("crowd")).join(members, "doc_id").where(F.col("crowd") > allowed).select("doc_id", "rep", "n")
+    component = connected_components(links, "a", "b")
+    several = _grouped(shared.where("frequent").select("token", "doc_id").join(written(crowded, "crowded"), "doc_id").select("token", "rep", "n").distinct(), component)
+    affected = written(several.select(F.col("rep").alias("doc_id")).distinct(), "affected")
+    if not affected.isEmpty():
+        turn = 0
+        held = _grouped(_rarest_first(own, affected).select("token", "rep", "n"), component, central=True)
         while not held.isEmpty():
-            lead = held.where((F.col("size") <= SMALL_GROUP) | (F.col("place") <= LEADERS))
-            pairs = _pairs(held, lead, done)
+            leaders = CENTRAL_LEADERS if turn < CENTRAL_ROUNDS else LEADERS
+            small = (F.col("size") <= SMALL_GROUP) & F.lit(turn >= CENTRAL_ROUNDS)
+            pairs = _pairs(held, held.where(small | (F.col("place") <= leaders)), done)
             done = done.union(pairs)
             links = links.union(_verify(own, reps, pairs))
-            held = held.where((F.col("size") > SMALL_GROUP) & (F.col("place") > LEADERS))
-            if held.isEmpty():
-                break
             component = connected_components(links, "a", "b")
-            held = _grouped(held.select("token", "rep", "n"), component)
-    found = connected_components(links, "a", "b")
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
+            turn += 1
+            held = _grouped(held.where(~small & (F.col("place") > leaders)).select("token", "rep", "n"), component, central=turn < CENTRAL_ROUNDS)
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

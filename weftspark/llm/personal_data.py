@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspark.llm.shared import written
@@ -42,7 +42,8 @@ WINDOW = 80
 _FIXED = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # Runs of 16 digits or more: a match of the contract's pattern is a whole run, so shorter ones need no place.
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a pattern to be tried.
@@ -115,22 +116,29 @@ def _context_word(text: Column, last: bool) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Rows with base spans to one row for each word with digits: key, start, end, instance, seed, patterns."""
-    word = F.explode("digit_words").alias("w")
-    cut = rows.where(F.size("digit_words") > 0).select("key", "content", "base", word)
-    left = F.expr(f"substring(content, greatest(1, w.start + 1 - {WINDOW}), least(w.start, {WINDOW}))")
-    right = F.expr(f"substring(content, w.end + 1, {WINDOW})")
-    inner = F.regexp_extract("w.value", r"^[^A-Za-z0-9]*+(.*?)[^A-Za-z0-9]*$", 1)
-    before = F.regexp_extract("w.value", r"^([^A-Za-z0-9]*+)", 1)
-    overlap = F.filter("base", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start")))
-    named = cut.select("key", "base", "w", left.alias("left"), right.alias("right"), inner.alias("inner"), (F.col("w.start") + F.length(before)).alias("start"), overlap.alias("overlap"))
+    """Rows (row, key, base, gaps, hits) to one row for each word with digits: key, start, end, instance, seed, patterns.
+
+    Places are running sums over a row's words, and contexts come from the texts between them, so the work is linear in the text.
+    """
+    cut = rows.where(F.size("hits") > 0).select("row", "key", "base", F.posexplode(F.arrays_zip("gaps", "hits")).alias("pos", "w")).select("row", "key", "base", "pos", F.col("w.gaps").alias("gap"), F.coalesce("w.hits", F.lit("")).alias("hit"))
+    by = Window.partitionBy("row").orderBy("pos")
+    tail, head = F.expr(f"right(gap, {WINDOW})"), F.expr(f"left(gap, {WINDOW})")
+    placed = cut.withColumns({
+        "word_end": F.sum(F.length("gap") + F.length("hit")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        "left": F.concat(F.coalesce(F.lag(F.expr(f"right(hit, {WINDOW})")).over(by), F.lit("")), tail),
+        "right": F.concat(F.coalesce(F.lead(head).over(by), F.lit("")), F.coalesce(F.lead(F.expr(f"left(hit, {WINDOW})")).over(by), F.lit(""))),
+    }).where("hit <> ''").withColumn("word_start", F.col("word_end") - F.length("hit"))
+    inner = F.regexp_extract("hit", r"^[^A-Za-z0-9]*+(.*?)[^A-Za-z0-9]*$", 1)
+    before = F.regexp_extract("hit", r"^([^A-Za-z0-9]*+)", 1)
+    overlap = F.filter("base", lambda s: (s["start"] < F.col("word_end")) & (s["end"] > F.col("word_start")))
+    named = placed.select("key", "word_start", "left", "right", inner.alias("inner"), (F.col("word_start") + F.length(before)).alias("start"), overlap.alias("overlap"))
     near, far = _context_word(F.col("left"), True), _context_word(F.regexp_replace("left", r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*$", ""), True)
     after = _context_word(F.col("right"), False)
     out = named.select(
-        "key", "start", (F.col("start") + F.length("inner")).alias("end"),
-        F.lower("inner").alias("instance"),
+        "key", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("inner")).cast("int").alias("end"),
+        F.lower(F.coalesce(F.get("overlap", F.lit(0))["value"], "inner")).alias("instance"),
         (F.size("overlap") > 0).alias("seed"),
-        F.exists("overlap", lambda s: s["start"] < F.col("w.start")).alias("inside"),
+        F.exists("overlap", lambda s: s["start"] < F.col("word_start")).alias("inside"),
         F.array(F.concat_ws(" ", F.lit("<"), far, near), F.concat_ws(" ", F.lit("="), near, F.lit("_"), after)).alias("patterns"),
     )
     return out.where(~F.col("inside") & (F.length("instance") >= LEAST_LENGTH) & (F.length(_digits(F.col("instance"))) >= LEAST_DIGITS))
@@ -153,16 +161,12 @@ def bootstrap(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return patterns, weights.where((F.col("seed") == 0) & (F.col("weight") >= SURE_INSTANCE)).select("instance", "weight")
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    rows = _with_spans(_keyed(docs), "base", _FIXED, _NEEDS)
-    return _with_spans(rows, "digit_words", {"word": _DIGIT_WORD}, {"word": None})
-
-
 def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written base spans (key, doc_id, base) of every row, and the spans (key, added) that the bootstrap adds."""
-    rows = _scanned(docs)
-    held = written(rows.select("key", "doc_id", "base", F.when(F.size("digit_words") > 0, F.col("content")).alias("content"), "digit_words"), "scanned")
-    found = written(_candidates(held.where("content is not null")), "candidates")
+    rows = _with_spans(_keyed(docs), "base", _FIXED, _NEEDS).withColumn("hits", F.regexp_extract_all("content", F.lit(_DIGIT_WORD), F.lit(0)))
+    gaps = F.when(F.size("hits") > 0, F.split("content", _DIGIT_WORD, -1))
+    held = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id", "base", gaps.alias("gaps"), "hits"), "scanned")
+    found = written(_candidates(held.drop("doc_id")), "candidates")
     _, instances = bootstrap(found.select("instance", "seed", "patterns"))
     spans = found.where("not seed").join(instances, "instance").select("key", F.struct(F.lit(ADDED).alias("kind"), "start", "end").alias("span")).distinct()
     return held.select("key", "doc_id", "base"), spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("added"))
