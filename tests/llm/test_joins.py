@@ -7,7 +7,7 @@ from tests.llm import data
 from weftspark.llm import parity_join
 from weftspark.llm.components import connected_components
 from weftspark.llm.decontaminate import ItemIndex, best_substring, drop_leaks, find_leaks, leaks_in
-from weftspark.llm.parity_join import cell_tokens, differing_bits, link_components, parity_bits, prefix_length, size_bands, slack
+from weftspark.llm.parity_join import cell_tokens, differing_bits, link_components, parity_bits, prefix_length, short_sketch, size_bands, slack
 
 
 def linked(frame):
@@ -43,6 +43,7 @@ def test_sketches_bound_the_difference_and_share_a_listed_cell():
             both = len(np.intersect1d(a, b))
             apart = len(a) + len(b) - 2 * both
             assert differing_bits(parity_bits(a), parity_bits(b)) <= apart
+            assert sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(short_sketch(a), short_sketch(b))) <= apart
             if 100 * both >= 75 * (len(a) + len(b) - both):
                 lists = [{(band, t) for band in size_bands(len(s)) for t in cell_tokens(s, band)[: prefix_length(len(s)) + slack(len(s))].tolist()} for s in (a, b)]
                 assert len(lists[0] & lists[1]) > min(slack(len(a)), slack(len(b)))

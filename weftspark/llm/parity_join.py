@@ -22,6 +22,9 @@ first the members with the largest share of shared cells, which are the
 originals of many copies if there are any, then members of the smaller classes,
 until one class is left or every pair of two classes was compared.
 
+Members of those groups carry a parity sketch of SHORT_BITS bits, so that a pair
+whose short sketches already differ in too many bits is never made; this keeps a
+passage that many otherwise different texts share from becoming all their pairs.
 Candidates are compared by folded one-bit-a-shingle parity sketches first: more
 differing bits than a linked pair of these sizes may have rule a pair out; the
 rest is verified on the whole sets. What is asked for is the classes, so within
@@ -36,6 +39,8 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +54,17 @@ from weftspark.llm.text import mix, shingle_sets, text_chunks, words
 SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
 FIRST_BAND, BAND_GROWTH = 64, 4
-#: Members of a group up to which its remaining pairs are compared in one round; of larger ones, so many leaders a round.
-SMALL_GROUP, LEADERS = 32, 64
+#: Members of a group up to which its cell counts as rare; of larger ones, so many leaders are compared a round.
+SMALL_GROUP, LEADERS = 32, 1024
 #: Rounds, and leaders in each, that compare large groups with their most central members.
 CENTRAL_ROUNDS, CENTRAL_LEADERS = 2, 4
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
 REMEMBERED = 500_000
+#: Bits of the parity sketch that members of large groups carry, as SHORT columns of 64.
+SHORT_BITS = 256
+SHORT = tuple(f"s{i}" for i in range(SHORT_BITS // 64))
 _U = np.uint64
 
 
@@ -74,21 +82,26 @@ def prefix_length(n: int) -> int:
     return n * (OF - SHARE) // SHARE + 1
 
 
-def cell_tokens(own: np.ndarray, band: int) -> np.ndarray:
-    """The cells of a sorted shingle set's parity sketch as hashes, in their global order; at least ``prefix_length`` + ``slack`` of a large set."""
+def listed_cells(own: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+    """The cells of a sorted shingle set's parity sketch as hashes, in their global order, and how many are filled; at least ``prefix_length`` + ``slack`` of a large set."""
     salt = mix(np.array([band + 1], _U))
     if not band:
-        return np.sort(mix(own ^ salt))
+        return np.sort(mix(own ^ salt)), len(own)
     cells = 2 * FIRST_BAND * BAND_GROWTH ** (band - 1)
     place = ((own >> _U(32)) * _U(cells)) >> _U(32)
     starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     parity = np.bitwise_xor.reduceat(own, starts)
     full = parity != 0
     tokens = np.sort(mix(parity[full] ^ salt))
-    if (lack := prefix_length(len(own)) + slack(len(own)) - len(tokens)) > 0:
+    filled = len(tokens)
+    if (lack := prefix_length(len(own)) + slack(len(own)) - filled) > 0:
         empty = np.setdiff1d(np.arange(cells, dtype=_U), place[starts[full]])
         tokens = np.concatenate([tokens, mix(mix(empty + salt) ^ salt)[:lack]])
-    return tokens
+    return tokens, filled
+
+
+def cell_tokens(own: np.ndarray, band: int) -> np.ndarray:
+    return listed_cells(own, band)[0]
 
 
 def parity_bits(own: np.ndarray) -> bytes:
@@ -98,6 +111,12 @@ def parity_bits(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount(place, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def short_sketch(own: np.ndarray) -> list[int]:
+    """The parity sketch of SHORT_BITS bits, as signed 64-bit numbers."""
+    parity = np.bincount((own & _U(SHORT_BITS - 1)).astype(np.int64), minlength=SHORT_BITS).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.int64).tolist()
+
+
 def differing_bits(x: bytes, y: bytes) -> int:
     """Hamming distance of two parity sketches; the longer one is folded by XOR, which keeps it a parity sketch."""
     x, y = (np.frombuffer(v, np.uint64) for v in ((x, y) if len(x) <= len(y) else (y, x)))
@@ -151,17 +170,21 @@ def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each band of a document, all its cells and how many of them the join needs."""
+    """For each band of a document, all its cells, how many of them are filled, and its short sketch."""
     for part in text_chunks(batches):
-        ids, sizes, bands, tokens, counts = [], [], [], [], []
+        ids, sizes, bands, filled, tokens, counts, short = [], [], [], [], [], [], []
         for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(*words(part.column("text")))):
             for band in size_bands(len(own)):
                 ids.append(doc)
                 sizes.append(len(own))
                 bands.append(band)
-                tokens.append(cell_tokens(own, band))
-                counts.append(len(tokens[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), _lists(tokens, counts)], ["rep", "n", "band", "tokens"])
+                cells, full = listed_cells(own, band)
+                filled.append(full)
+                tokens.append(cells)
+                counts.append(len(cells))
+                short.append(short_sketch(own))
+        marks = np.array(short, np.int64).reshape(-1, len(SHORT)).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), pa.array(filled, pa.int32()), _lists(tokens, counts), *map(pa.array, marks)], ["rep", "n", "band", "filled", "tokens", *SHORT])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +245,40 @@ def _grouped(groups: DataFrame, component: DataFrame | None, central: bool = Fal
 
 
 def _pairs(members: DataFrame, leaders: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Distinct pairs of a leader and a later member, of two classes and of sizes that may link, not compared before."""
-    lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("place").alias("pa"))
-    rest = members.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), "place")
-    both = rest.join(lead, "token").where((F.col("pa") < F.col("place")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")))
+    """Distinct pairs of a leader and a later member, of two classes, of sizes and short sketches (if there) that may link, not compared before."""
+    short = [c for c in SHORT if c in members.columns]
+    lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("place").alias("pa"), *(F.col(c).alias(f"{c}_a") for c in short))
+    rest = members.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), "place", *short)
+    fits = (F.col("pa") < F.col("place")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
+    if short:
+        apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in short))
+        fits &= apart * (OF + SHARE) <= (F.col("na") + F.col("nb")) * (OF - SHARE)
+    both = rest.join(lead, "token").where(fits)
     pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
 
 
 def _rarest_first(docs: DataFrame, affected: DataFrame) -> DataFrame:
-    """Groups (token, rep, n, frequent) of the affected documents when cells frequent among them come last in the order."""
+    """Groups (token, rep, n, short sketch) of the affected documents when cells frequent among them come after the other filled ones.
+
+    Empty cells stay last: of these a list holds only the first, so they may not come before a filled one.
+    """
     chosen = docs.join(broadcast_if_small(affected, affected.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    cells = chosen.mapInArrow(_all_tokens, "rep long, n long, band int, tokens array<long>").distinct()
-    rows = cells.select("rep", "n", "band", F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.withColumn("frequent", F.count("*").over(Window.partitionBy("token")) > SMALL_GROUP)
-    place = F.row_number().over(Window.partitionBy("rep", "n", "band").orderBy("frequent", "pos"))
+    kinds = ", ".join(f"{c} long" for c in SHORT)
+    cells = chosen.mapInArrow(_all_tokens, f"rep long, n long, band int, filled int, tokens array<long>, {kinds}").distinct()
+    rows = cells.select("rep", "n", "band", "filled", *SHORT, F.posexplode("tokens").alias("pos", "token"))
+    frequent = F.count("*").over(Window.partitionBy("token")) > SMALL_GROUP
+    rows = rows.withColumn("turn", F.when(F.col("pos") >= F.col("filled"), 2).otherwise(frequent.cast("int")))
+    place = F.row_number().over(Window.partitionBy("rep", "n", "band", *SHORT).orderBy("turn", "pos"))
     need = F.floor(F.col("n") * (OF - SHARE) / SHARE) + 1
-    return written(rows.withColumn("place", place).where(F.col("place") <= need).select("token", "rep", "n", "frequent").distinct(), "rarest")
+    return written(rows.withColumn("place", place).where(F.col("place") <= need).select("token", "rep", "n", *SHORT).distinct(), "rarest")
+
+
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links; every component goes in as a star of its members."""
+    if links.isEmpty():
+        return component
+    return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "a", "b")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -256,35 +296,32 @@ def link_components(docs: DataFrame) -> DataFrame:
     shared = written(tokens.where("size > 1").select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent")), "shared")
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    # Each with the smallest id that it shares a cell with: this links most copies.
-    nearest = shared.where("hub <> doc_id").groupBy("doc_id").agg(F.min("hub").alias("hub"))
+    # Each with the document that is the smallest of most of its cells' groups: this links most copies.
+    most = shared.where("hub <> doc_id").repartition("doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("common"))
+    nearest = most.groupBy("doc_id").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
     named = nearest.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").join(members.select(F.col("doc_id").alias("hub"), F.col("rep").alias("a")), "hub")
     done = written(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = links.union(_verify(own, reps, done))
-    component = connected_components(links, "a", "b")
+    component = connected_components(links.union(_verify(own, reps, done)), "a", "b")
 
     rare = shared.where("not frequent").join(members, "doc_id").select("token", "rep", "n").distinct()
     held = _grouped(rare, component)
     pairs = _pairs(held, held, done)
     done = done.union(pairs)
-    links = links.union(_verify(own, reps, pairs))
+    component = _joined(component, _verify(own, reps, pairs))
 
     allowed = F.floor(F.floor(F.col("n") / 9) * SHARE / OF)
     crowded = shared.where("frequent").groupBy("doc_id").agg(F.count("*").alias("crowd")).join(members, "doc_id").where(F.col("crowd") > allowed).select("doc_id", "rep", "n")
-    component = connected_components(links, "a", "b")
     several = _grouped(shared.where("frequent").select("token", "doc_id").join(written(crowded, "crowded"), "doc_id").select("token", "rep", "n").distinct(), component)
     affected = written(several.select(F.col("rep").alias("doc_id")).distinct(), "affected")
     if not affected.isEmpty():
-        turn = 0
-        held = _grouped(_rarest_first(own, affected).select("token", "rep", "n"), component, central=True)
+        turn, columns = 0, ["token", "rep", "n", *SHORT]
+        held = _grouped(_rarest_first(own, affected), component, central=True)
         while not held.isEmpty():
             leaders = CENTRAL_LEADERS if turn < CENTRAL_ROUNDS else LEADERS
-            small = (F.col("size") <= SMALL_GROUP) & F.lit(turn >= CENTRAL_ROUNDS)
-            pairs = _pairs(held, held.where(small | (F.col("place") <= leaders)), done)
+            pairs = _pairs(held, held.where(F.col("place") <= leaders), done)
             done = done.union(pairs)
-            links = links.union(_verify(own, reps, pairs))
-            component = connected_components(links, "a", "b")
+            component = _joined(component, _verify(own, reps, pairs))
             turn += 1
-            held = _grouped(held.where(~small & (F.col("place") > leaders)).select("token", "rep", "n"), component, central=turn < CENTRAL_ROUNDS)
+            held = _grouped(held.where(F.col("place") > leaders).select(columns), component, central=turn < CENTRAL_ROUNDS)
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
