@@ -115,3 +115,17 @@ def test_leaks_are_found_with_edits_and_clean_texts_are_not(spark):
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, "the same words again and again")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in find_leaks(data.odd_documents(spark), bench).collect()) == [5, 5, 6]
+
+
+def test_runs_lose_no_place_within_the_allowed_edits():
+    from weftspark.llm.decontaminate import GRAM, best_substring, may_hold
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        item = bytes(rng.integers(97, 101, int(rng.integers(1, 60))).astype(np.uint8))
+        text = bytearray(item)
+        for _ in range(int(rng.integers(0, 8))):
+            at = int(rng.integers(0, len(text) + 1))
+            text[at : at + int(rng.integers(0, 2))] = bytes(rng.integers(97, 101, int(rng.integers(0, 2))).astype(np.uint8))
+        text, grams = b"zz" + bytes(text) + b"z", [item[i : i + GRAM] for i in range(len(item) - GRAM + 1)]
+        assert may_hold(grams, text, best_substring(item, text)[0])

@@ -14,7 +14,8 @@ not. A window drops out as soon as no indexed key agrees with its first sampled
 outputs, which cannot lose a collision. Every collision names a place in the
 document where the item should lie; there the exact edit distance of the whole
 item to the best substring is computed, and the pair is kept if it is at most
-EDITS of the item's length.
+EDITS of the item's length. An edit changes at most GRAM of an item's runs of GRAM
+bytes, so places that hold too few of these runs are left out before, without loss.
 
 Items are read in blocks of BLOCK_ITEMS, a bound on what is sent to the tasks;
 documents are read once a block, whole, and never shuffled.
@@ -40,6 +41,8 @@ from weftspark.llm.text import mix, raw_bytes, text_chunks
 
 #: Share of an item's length that may be edited; repetitions; steps of a walk; outputs sampled; of these, outputs of the first test.
 EDITS, REPEATS, STEPS, SAMPLED, EARLY = 0.15, 2, 44, 12, 5
+#: Bytes of the runs that a place must hold before its edit distance is computed.
+GRAM = 5
 #: Items of one block.
 BLOCK_ITEMS = 20_000
 _U = np.uint64
@@ -134,6 +137,15 @@ def best_substring(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def may_hold(grams: list[bytes], text: bytes, allowed: int) -> bool:
+    """Whether the text has as many of an item's runs as a substring within the allowed edits must have."""
+    need = len(grams) - GRAM * allowed
+    if need <= 0:
+        return True
+    held = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    return sum(map(held.__contains__, grams)) >= need
+
+
 class ItemIndex:
     """The buckets of a block of items."""
 
@@ -141,6 +153,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         data, offsets, _ = folded(*raw_bytes(pa.array([t for _, t in items], pa.string())))
         self.texts = [data[a:b].tobytes().strip() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        self.grams: dict[int, list[bytes]] = {}
         joined = b"".join(t + b" " for t in self.texts)
         ends = np.cumsum([len(t) + 1 for t in self.texts]) if items else np.zeros(0, np.int64)
         begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if items else ends
@@ -159,6 +172,13 @@ class ItemIndex:
             self.keys.append(key[order])
             self.order.append(order)
 
+    def grams_of(self, number: int) -> list[bytes]:
+        """The runs of GRAM bytes of an item, at every place."""
+        if number not in self.grams:
+            item = self.texts[number]
+            self.grams[number] = [item[i : i + GRAM] for i in range(len(item) - GRAM + 1)]
+        return self.grams[number]
+
     def collisions(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (start, item) as arrays: where the item should begin in ``data``, and its number."""
         begin, number = [], []
@@ -205,9 +225,14 @@ def leaks_in(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, in
             if hi - lo < len(item) - allowed:
                 continue
             window = data[lo:hi].tobytes()
-            edits, end = best_substring(item, window)
+            if (whole := window.find(item)) >= 0:
+                edits, end = 0, whole + len(item)
+            elif may_hold(index.grams_of(int(number[i])), window, allowed):
+                edits, end = best_substring(item, window)
+            else:
+                continue
             if edits <= allowed and (held is None or edits < held[0]):
-                begin_at = end - best_substring(item[::-1], window[:end][::-1])[1]
+                begin_at = end - best_substring(item[::-1], window[:end][::-1])[1] if edits else whole
                 best[(r, int(number[i]))] = (edits, int(place[lo + begin_at]) - int(raw_offsets[r]), int(place[lo + end - 1]) + 1 - int(raw_offsets[r]))
     return [(r, index.ids[n], *found) for (r, n), found in sorted(best.items())]
 
