@@ -129,3 +129,34 @@ def test_runs_lose_no_place_within_the_allowed_edits():
             text[at : at + int(rng.integers(0, 2))] = bytes(rng.integers(97, 101, int(rng.integers(0, 2))).astype(np.uint8))
         text, grams = b"zz" + bytes(text) + b"z", [item[i : i + GRAM] for i in range(len(item) - GRAM + 1)]
         assert may_hold(grams, text, best_substring(item, text)[0])
+
+
+def test_items_of_every_length_are_found_at_the_stated_recall():
+    from weftspark.llm.decontaminate import CLASSES, EDITS, RECALL
+
+    rng = data.rng(12)
+    word = lambda: "".join(rng.choices(["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"], k=rng.randrange(1, 4)))
+    other = lambda n: " ".join("".join(rng.choices("qvwxyz", k=rng.randrange(2, 8))) for _ in range(n))
+    for length in (1, 3, 6, 7, 10, 13, 15, 20, 29, 30, 39, 40, 60, 79, 90, 149, 150, 230):
+        items = []
+        while len(items) < 120:
+            text = " ".join(word() for _ in range(length))[:length]
+            if text == text.strip():
+                items.append(text)
+        for share in (0.0, EDITS):
+            texts = []
+            for item in items:
+                changed = list(item)
+                for at in rng.sample(range(length), int(length * share)):
+                    changed[at] = rng.choice("bcfgjklm")
+                texts.append(f"{other(20)} {''.join(changed)} {other(20)}")
+            found = {(r, i) for r, i, *_ in leaks_in(ItemIndex(list(enumerate(items))), pa.array(texts))}
+            share_found = sum((i, i) in found for i in range(120)) / 120
+            assert share_found == 1 if not share or length < CLASSES[0][0] else share_found >= RECALL, (length, share, share_found)
+
+
+def test_items_without_spaces_and_repeated_characters_are_found():
+    solid = "".join(data.rng(13).choices("abcdefghijklmnop", k=80))
+    changed = "".join("Z" if i % 9 == 0 else c for i, c in enumerate(solid))
+    got = leaks_in(ItemIndex([(1, solid), (2, "x" * 90)]), pa.array([f"a {solid} b", f"a {changed} b", "x" * 3000, "nothing at all"]))
+    assert [(r, i, e) for r, i, e, *_ in got] == [(0, 1, 0), (1, 1, 9), (2, 2, 0)]
