@@ -234,6 +234,15 @@ def test_bootstrap_finds_what_stands_where_seeds_stand(spark):
     assert masked[20] == "reach the desk under customer contact number <CONTEXT> today or later" and masked[30] == texts[30] and masked[43] is None
 
 
+def test_seeds_and_found_names_may_have_few_digits(spark):
+    names = ["anna.lee", "bo", "carl", "dora.may", "eve"]
+    texts = [f"please write to our clerk at {n}@example.com,{n}@mail.org today" for n in names]
+    texts += ["please write to our clerk at clerk_anna7 today", "please write to our clerk at @annalee today", "there was a gate_b2 for us", None]
+    got = by_id(personal_digest(find_personal_data(data.documents(spark, texts))))
+    assert [got[i]["n_context"] for i in range(9)] == [0] * 5 + [1, 1, 0, 0] and all(got[i]["n_email"] == 2 for i in range(5))
+    assert texts[5][slice(*map(int, got[5]["spans"].split(":")[1:]))] == "clerk_anna7"
+
+
 def test_personal_data_odd_rows(spark):
     docs = data.odd_documents(spark)
     assert find_personal_data(docs).count() == 13

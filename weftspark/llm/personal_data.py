@@ -1,9 +1,10 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone
-numbers. They seed the bootstrap: the words around a seed are its lexical
-patterns, and words with several digits that stand in the same patterns are
-candidate instances. Patterns and instances form a bipartite graph that Spark
+numbers. All of them, whatever their digits and length, seed the bootstrap: the
+words around a seed are its lexical patterns, and words with a digit or an at sign
+that stand in the same patterns are candidate instances; words of other characters
+alone are none. Patterns and instances form a bipartite graph that Spark
 scores in turns: a pattern's confidence is the weight of its instances over
 their number plus one, an instance's weight is 1 for a seed and else one minus
 the product of its patterns' doubts. Instances that end above the bar through
@@ -33,8 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = "context"
 #: Turns of scoring; different seeds that a pattern needs; least confidence of a pattern and weight of an instance to count.
 TURNS, LEAST_SEEDS, SURE_PATTERN, SURE_INSTANCE = 3, 3, 0.5, 0.75
-#: Digits and characters that a candidate has at least.
-LEAST_DIGITS, LEAST_LENGTH = 3, 6
+#: Characters that a candidate, not a seed, has at least.
+LEAST_LENGTH = 6
 #: Code points before and after a candidate in which its context words are read.
 WINDOW = 80
 
@@ -48,8 +49,8 @@ _FIXED = {
 }
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Word with a digit: from the start of a run without white space.
-_DIGIT_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Word with a digit or an at sign, one of which every valid span of a fixed pattern holds: from the start of a run without white space.
+_MARKED_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _BYTE = "^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 _NO_STRINGS = "array<string>"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -116,7 +117,7 @@ def _context_word(text: Column, last: bool) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Rows (row, key, base, gaps, hits) to one row for each word with digits: key, start, end, instance, seed, patterns.
+    """Rows (row, key, base, gaps, hits) to one row for each span that begins in a word with a digit or an at sign, or for the word: key, start, end, instance, seed, patterns.
 
     Places are running sums over a row's words, and contexts come from the texts between them, so the work is linear in the text.
     """
@@ -131,17 +132,19 @@ def _candidates(rows: DataFrame) -> DataFrame:
     inner = F.regexp_extract("hit", r"^[^A-Za-z0-9]*+(.*?)[^A-Za-z0-9]*$", 1)
     before = F.regexp_extract("hit", r"^([^A-Za-z0-9]*+)", 1)
     overlap = F.filter("base", lambda s: (s["start"] < F.col("word_end")) & (s["end"] > F.col("word_start")))
-    named = placed.select("key", "word_start", "left", "right", inner.alias("inner"), (F.col("word_start") + F.length(before)).alias("start"), overlap.alias("overlap"))
+    # A span belongs to the word in which it begins; a word that only continues one is no candidate.
+    inside = F.exists(overlap, lambda s: s["start"] < F.col("word_start"))
+    begun = F.filter(overlap, lambda s: s["start"] >= F.col("word_start"))
+    named = placed.where(~inside | (F.size(begun) > 0)).select("key", "word_start", "left", "right", inner.alias("inner"), (F.col("word_start") + F.length(before)).alias("start"), begun.alias("overlap"))
     near, far = _context_word(F.col("left"), True), _context_word(F.regexp_replace("left", r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*$", ""), True)
     after = _context_word(F.col("right"), False)
     out = named.select(
         "key", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("inner")).cast("int").alias("end"),
-        F.lower(F.coalesce(F.get("overlap", F.lit(0))["value"], "inner")).alias("instance"),
+        F.explode(F.when(F.size("overlap") > 0, F.transform("overlap", lambda s: F.lower(s["value"]))).otherwise(F.array(F.lower("inner")))).alias("instance"),
         (F.size("overlap") > 0).alias("seed"),
-        F.exists("overlap", lambda s: s["start"] < F.col("word_start")).alias("inside"),
         F.array(F.concat_ws(" ", F.lit("<"), far, near), F.concat_ws(" ", F.lit("="), near, F.lit("_"), after)).alias("patterns"),
     )
-    return out.where(~F.col("inside") & (F.length("instance") >= LEAST_LENGTH) & (F.length(_digits(F.col("instance"))) >= LEAST_DIGITS))
+    return out.where(F.col("seed") | (F.length("instance") >= LEAST_LENGTH))
 
 
 def bootstrap(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,8 +166,8 @@ def bootstrap(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written base spans (key, doc_id, base) of every row, and the spans (key, added) that the bootstrap adds."""
-    rows = _with_spans(_keyed(docs), "base", _FIXED, _NEEDS).withColumn("hits", F.regexp_extract_all("content", F.lit(_DIGIT_WORD), F.lit(0)))
-    gaps = F.when(F.size("hits") > 0, F.split("content", _DIGIT_WORD, -1))
+    rows = _with_spans(_keyed(docs), "base", _FIXED, _NEEDS).withColumn("hits", F.regexp_extract_all("content", F.lit(_MARKED_WORD), F.lit(0)))
+    gaps = F.when(F.size("hits") > 0, F.split("content", _MARKED_WORD, -1))
     held = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id", "base", gaps.alias("gaps"), "hits"), "scanned")
     found = written(_candidates(held.drop("doc_id")), "candidates")
     _, instances = bootstrap(found.select("instance", "seed", "patterns"))
