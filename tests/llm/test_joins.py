@@ -62,6 +62,27 @@ def test_join_equals_all_pairs(spark, monkeypatch):
     assert linked(data.documents(spark, texts)) == want
 
 
+def test_a_shared_passage_makes_no_pairs_of_its_texts(spark, monkeypatch):
+    """Texts of one passage and private ends: pairs made grow in proportion to the texts, and the classes are right."""
+    rng, made = data.rng(9), []
+    led = parity_join._led_pairs
+
+    def counted(*a):
+        pairs, others = led(*a)
+        made[-1] += pairs.count()
+        return pairs, others
+
+    monkeypatch.setattr(parity_join, "SMALL_GROUP", 4)
+    monkeypatch.setattr(parity_join, "_led_pairs", counted)
+    passage = data.words(rng, 60)
+    for n in (40, 160):
+        made.append(0)
+        texts = [" ".join(passage + data.words(rng, 14 + k % 3, 10**6)) for k in range(n)]
+        texts += [" ".join(passage + data.words(rng, 3, 10**6)) for _ in range(10)]
+        assert linked(data.documents(spark, texts)) == data.components(dict(enumerate(texts)))
+    assert made[1] <= 4 * made[0] + 160
+
+
 def test_join_odd_rows(spark):
     rows = link_components(data.odd_documents(spark)).collect()
     assert len(rows) == 13

@@ -9,8 +9,8 @@ from weftspark.llm.shared import delete_path, work_path
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    """Distinct edges (u, v) with v < u."""
-    return edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    """Edges (u, v) with v < u."""
+    return edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
     logarithm of the longest path. Null ends and loops are ignored.
     """
     spark = edges.sparkSession
-    held, told, path = _ordered(edges.select(F.col(first).alias("u"), F.col(second).alias("v"))), None, None
+    held, told, path = _ordered(edges.select(F.col(first).alias("u"), F.col(second).alias("v"))).distinct(), None, None
     while True:
         now = work_path(spark, "edges")
         held.write.parquet(now)
@@ -44,4 +44,4 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
         path = now
         if told == sums or not sums["n"]:
             return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        told, held = sums, _ordered(_small_star(_ordered(_large_star(held))))
+        told, held = sums, _ordered(_small_star(_ordered(_large_star(held)))).distinct()

@@ -16,15 +16,20 @@ Lists are longer by a slack of n/9 cells. Linked documents then share more than
 the smaller slack of them, so if either holds no more than that many cells that
 are frequent in the corpus, they share a rare one. Pairs are taken from the rare
 cells' groups. Only documents with more frequent cells than that can be missed,
-and only by each other: they are joined again among themselves, under an order
-that puts the cells frequent among them last. Groups that even then are large are compared a number of leaders a round:
-first the members with the largest share of shared cells, which are the
-originals of many copies if there are any, then members of the smaller classes,
-until one class is left or every pair of two classes was compared.
-
-Members of those groups carry a parity sketch of SHORT_BITS bits, so that a pair
-whose short sketches already differ in too many bits is never made; this keeps a
-passage that many otherwise different texts share from becoming all their pairs.
+and only by each other. They are joined again among themselves under their finest
+sketch, one cell a shingle. There a cell that no other of them holds is a bit that
+differs from every partner: a document with more than n/4 such bits has no link
+left and goes, again and again, which leaves fewer for the others. Of two linked
+sets the private bits together are at most a seventh of both sizes; so a group of
+a cell (taken from each document's rarest n/4 + 1) is compared with its members
+of fewest private bits for their size first, and a member drops out as soon as it
+could link with none that is left, even if nothing else differed. A passage that
+many otherwise different texts share therefore makes no pairs of these texts, and
+copies of one text are one class after few rounds. Hot cells are aggregated before
+they are shuffled and joined by cell with the few leaders of a round.
+
+Members of those groups carry a parity sketch of SHORT_BITS bits besides: a pair
+whose short sketches differ in too many bits is never made.
 Candidates are compared by folded one-bit-a-shingle parity sketches first: more
 differing bits than a linked pair of these sizes may have rule a pair out; the
 rest is verified on the whole sets. What is asked for is the classes, so within
@@ -54,10 +59,8 @@ from weftspark.llm.text import mix, shingle_sets, text_chunks, words
 SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
 FIRST_BAND, BAND_GROWTH = 64, 4
-#: Members of a group up to which its cell counts as rare; of larger ones, so many leaders are compared a round.
-SMALL_GROUP, LEADERS = 32, 1024
-#: Rounds, and leaders in each, that compare large groups with their most central members.
-CENTRAL_ROUNDS, CENTRAL_LEADERS = 2, 4
+#: Members of a group up to which its cell counts as rare; leaders of the first round over larger groups, and how often more each later round has.
+SMALL_GROUP, LEADERS = 32, 32
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
@@ -65,6 +68,8 @@ REMEMBERED = 500_000
 #: Bits of the parity sketch that members of large groups carry, as SHORT columns of 64.
 SHORT_BITS = 256
 SHORT = tuple(f"s{i}" for i in range(SHORT_BITS // 64))
+#: A set: the document that stands for it, its size and a part of its name (rows of one doc_id may hold different texts).
+NODE = ("rep", "n", "mark")
 _U = np.uint64
 
 
@@ -169,22 +174,19 @@ def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], ["token", "doc_id"])
 
 
-def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each band of a document, all its cells, how many of them are filled, and its short sketch."""
+def _finest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's size, the first half of its set's name, its short sketch and all its shingles."""
     for part in text_chunks(batches):
-        ids, sizes, bands, filled, tokens, counts, short = [], [], [], [], [], [], []
+        ids, sizes, marks, short, tokens = [], [], [], [], []
         for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(*words(part.column("text")))):
-            for band in size_bands(len(own)):
+            if len(own):
                 ids.append(doc)
                 sizes.append(len(own))
-                bands.append(band)
-                cells, full = listed_cells(own, band)
-                filled.append(full)
-                tokens.append(cells)
-                counts.append(len(cells))
+                marks.append(_print_of(own)[0])
                 short.append(short_sketch(own))
-        marks = np.array(short, np.int64).reshape(-1, len(SHORT)).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), pa.array(filled, pa.int32()), _lists(tokens, counts), *map(pa.array, marks)], ["rep", "n", "band", "filled", "tokens", *SHORT])
+                tokens.append(own)
+        columns = np.array(short, np.int64).reshape(-1, len(SHORT)).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, _U).view(np.int64)), *map(pa.array, columns), _lists(tokens, sizes)], [*NODE, *SHORT, "tokens"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +215,15 @@ def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Written linked pairs (a, b): sketches first, then the sets of the whole texts."""
+def _near_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written pairs whose whole parity sketches differ in few enough bits."""
     first, second = (reps.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     near = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "x", "y")
-    near = written(near.mapInArrow(_near_enough, "a long, b long"), "near")
+    return written(near.mapInArrow(_near_enough, "a long, b long"), "near")
+
+
+def _verify(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Written linked pairs (a, b), by the sets of the whole texts."""
     ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
     chosen = docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
     sets = written(chosen.mapInArrow(_sets, "doc_id long, shingles binary").distinct(), "sets")
@@ -226,56 +232,79 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(_compare, "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
 
 
-def _grouped(groups: DataFrame, component: DataFrame | None, central: bool = False) -> DataFrame:
-    """Written rows of the groups that hold several classes: token, rep, n, class, size of the group, place in it.
+def _classed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows with the class that their document has by now."""
+    return rows.join(component, rows["rep"] == component["node"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("class"))
 
-    Smaller classes come first, or else (``central``) members by the share of their cells that such groups hold.
-    """
-    if component is None:
-        held = groups.withColumn("class", F.col("rep"))
-    else:
-        held = groups.join(component, groups["rep"] == component["node"], "left").select(*groups.columns, F.coalesce("component", "rep").alias("class"))
-    by = Window.partitionBy("token")
-    held = held.withColumn("size", F.count("*").over(by)).withColumn("several", F.min("class").over(by) != F.max("class").over(by)).where("several").drop("several")
-    if central:
-        held = held.withColumn("first", -F.count("*").over(Window.partitionBy("rep", "n")) / F.col("n"))
-    else:
-        held = held.withColumn("first", F.count("*").over(Window.partitionBy("token", "class")))
-    return written(held.withColumn("place", F.row_number().over(by.orderBy("first", "class", "rep", "n"))).drop("first"), "groups")
-
-
-def _pairs(members: DataFrame, leaders: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Distinct pairs of a leader and a later member, of two classes, of sizes and short sketches (if there) that may link, not compared before."""
-    short = [c for c in SHORT if c in members.columns]
-    lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("place").alias("pa"), *(F.col(c).alias(f"{c}_a") for c in short))
-    rest = members.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), "place", *short)
-    fits = (F.col("pa") < F.col("place")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
-    if short:
-        apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in short))
-        fits &= apart * (OF + SHARE) <= (F.col("na") + F.col("nb")) * (OF - SHARE)
-    both = rest.join(lead, "token").where(fits)
-    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
-
-
-def _rarest_first(docs: DataFrame, affected: DataFrame) -> DataFrame:
-    """Groups (token, rep, n, short sketch) of the affected documents when cells frequent among them come after the other filled ones.
-
-    Empty cells stay last: of these a list holds only the first, so they may not come before a filled one.
+
+def _rare_pairs(rare: DataFrame, component: DataFrame, done: DataFrame) -> DataFrame:
+    """Written pairs of two classes, of sizes that may link, in groups of at most SMALL_GROUP documents; not those done before."""
+    held = written(_classed(rare, component), "groups")
+    a, b = held.toDF("token", "a", "na", "ca"), held.toDF("token", "b", "nb", "cb")
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")))
+    return written(pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+
+
+def _private(rows: DataFrame) -> DataFrame:
+    """NODE and private, the number of a set's cells that no other set of the rows (NODE, token) holds; sets without any are left out."""
+    alone = rows.groupBy("token").agg(F.count("*").alias("held"), *(F.min(c).alias(c) for c in NODE)).where("held = 1")
+    return alone.groupBy(*NODE).agg(F.count("*").alias("private"))
+
+
+def _crowded_groups(docs: DataFrame, affected: DataFrame) -> DataFrame | None:
+    """Written groups (token, NODE, short sketch, excess) of the rarest cells of the affected documents that can still link; None if none can.
+
+    ``excess`` is OF + SHARE times the private bits less OF - SHARE times the size: two sets whose sum is above 0 are not linked.
     """
     chosen = docs.join(broadcast_if_small(affected, affected.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    kinds = ", ".join(f"{c} long" for c in SHORT)
-    cells = chosen.mapInArrow(_all_tokens, f"rep long, n long, band int, filled int, tokens array<long>, {kinds}").distinct()
-    rows = cells.select("rep", "n", "band", "filled", *SHORT, F.posexplode("tokens").alias("pos", "token"))
-    frequent = F.count("*").over(Window.partitionBy("token")) > SMALL_GROUP
-    rows = rows.withColumn("turn", F.when(F.col("pos") >= F.col("filled"), 2).otherwise(frequent.cast("int")))
-    place = F.row_number().over(Window.partitionBy("rep", "n", "band", *SHORT).orderBy("turn", "pos"))
-    need = F.floor(F.col("n") * (OF - SHARE) / SHARE) + 1
-    return written(rows.withColumn("place", place).where(F.col("place") <= need).select("token", "rep", "n", *SHORT).distinct(), "rarest")
+    kinds = ", ".join(f"{c} long" for c in (*NODE, *SHORT))
+    cells = written(chosen.mapInArrow(_finest, f"{kinds}, tokens array<long>").distinct(), "fine")
+    before = cells.count()
+    while True:
+        rows = cells.select(*NODE, F.explode("tokens").alias("token"))
+        known = cells.join(_private(rows), list(NODE), "left").withColumn("private", F.coalesce("private", F.lit(0)))
+        left = written(known.where(OF * F.col("private") <= (OF - SHARE) * F.col("n")), "fine")
+        after = left.count()
+        if not after:
+            return None
+        cells = left.drop("private")
+        if before - after <= after // 4:
+            break
+        before = after
+    rows = left.select(*NODE, "private", *SHORT, F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    place = F.row_number().over(Window.partitionBy(*NODE).orderBy("held", "token"))
+    need = F.floor(F.col("n") * (OF - SHARE) / OF) + 1 - F.col("private")
+    excess = (OF + SHARE) * F.col("private") - (OF - SHARE) * F.col("n")
+    return written(rows.join(counts, "token").withColumn("place", place).where(F.col("place") <= need).select("token", *NODE, *SHORT, excess.alias("excess")), "groups")
+
+
+def _open(groups: DataFrame, component: DataFrame) -> DataFrame:
+    """Written rows, with their classes, that may still link with another class of their group."""
+    held = _classed(groups, component)
+    least = held.groupBy("token").agg(F.min("excess").alias("least"), F.min("class").alias("low"), F.max("class").alias("high"))
+    return written(held.join(least.where("low <> high"), "token").where(F.col("excess") + F.col("least") <= 0).drop("least", "low", "high"), "open")
+
+
+def _led_pairs(held: DataFrame, turn: int, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written pairs (a, b) of a round's leaders with the other members, and the members without the leaders.
+
+    A leader is the member with the least excess of a salted part of its group; the parts grow in number with the rounds.
+    """
+    parts = min(1 << 40, LEADERS ** (turn + 1))
+    best = held.groupBy("token", F.pmod(F.xxhash64(*NODE), F.lit(parts)).alias("part")).agg(F.min(F.struct("excess", *NODE, "class", *SHORT)).alias("first"))
+    leaders = written(best.select("token", "first.*"), "leaders")
+    lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("excess").alias("ea"), *(F.col(c).alias(f"{c}_a") for c in SHORT))
+    rest = held.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("excess").alias("eb"), *SHORT)
+    apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in SHORT))
+    fits = (F.col("ca") != F.col("cb")) & (F.col("ea") + F.col("eb") <= 0) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & (apart * (OF + SHARE) <= (F.col("na") + F.col("nb")) * (OF - SHARE))
+    pairs = rest.join(lead, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    others = held.join(leaders.select("token", *NODE), ["token", *NODE], "left_anti").drop("class")
+    return written(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), others
 
 
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after more links; every component goes in as a star of its members."""
+    """Written components after more links; every component goes in as a star of its members."""
     if links.isEmpty():
         return component
     return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "a", "b")
@@ -291,9 +320,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     members = written(filled.select("doc_id", *same).join(classes.drop("bits"), same).select("doc_id", "rep", "n").distinct(), "members")
     reps = written(classes.select("rep", "n", "bits"), "reps")
 
-    by = Window.partitionBy("token")
-    tokens = own.mapInArrow(_first_tokens, "token long, doc_id long").withColumn("size", F.count("*").over(by)).withColumn("hub", F.min("doc_id").over(by))
-    shared = written(tokens.where("size > 1").select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent")), "shared")
+    tokens = own.mapInArrow(_first_tokens, "token long, doc_id long")
+    known = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
+    shared = written(tokens.join(known, "token").select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent")), "shared")
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Each with the document that is the smallest of most of its cells' groups: this links most copies.
@@ -301,27 +330,31 @@ def link_components(docs: DataFrame) -> DataFrame:
     nearest = most.groupBy("doc_id").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
     named = nearest.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").join(members.select(F.col("doc_id").alias("hub"), F.col("rep").alias("a")), "hub")
     done = written(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    component = connected_components(links.union(_verify(own, reps, done)), "a", "b")
+    component = connected_components(links.union(_verify(own, _near_pairs(reps, done))), "a", "b")
 
     rare = shared.where("not frequent").join(members, "doc_id").select("token", "rep", "n").distinct()
-    held = _grouped(rare, component)
-    pairs = _pairs(held, held, done)
+    pairs = _rare_pairs(rare, component, done)
     done = done.union(pairs)
-    component = _joined(component, _verify(own, reps, pairs))
+    # Waits for the links of the next round: what it would tell apart is at worst compared once more.
+    waiting = _verify(own, _near_pairs(reps, pairs))
 
     allowed = F.floor(F.floor(F.col("n") / 9) * SHARE / OF)
-    crowded = shared.where("frequent").groupBy("doc_id").agg(F.count("*").alias("crowd")).join(members, "doc_id").where(F.col("crowd") > allowed).select("doc_id", "rep", "n")
-    several = _grouped(shared.where("frequent").select("token", "doc_id").join(written(crowded, "crowded"), "doc_id").select("token", "rep", "n").distinct(), component)
-    affected = written(several.select(F.col("rep").alias("doc_id")).distinct(), "affected")
-    if not affected.isEmpty():
-        turn, columns = 0, ["token", "rep", "n", *SHORT]
-        held = _grouped(_rarest_first(own, affected), component, central=True)
-        while not held.isEmpty():
-            leaders = CENTRAL_LEADERS if turn < CENTRAL_ROUNDS else LEADERS
-            pairs = _pairs(held, held.where(F.col("place") <= leaders), done)
-            done = done.union(pairs)
-            component = _joined(component, _verify(own, reps, pairs))
-            turn += 1
-            held = _grouped(held.where(F.col("place") > leaders).select(columns), component, central=turn < CENTRAL_ROUNDS)
+    crowded = shared.where("frequent").groupBy("doc_id").agg(F.count("*").alias("crowd")).join(members, "doc_id").where(F.col("crowd") > allowed).select("doc_id", "rep")
+    several = _classed(shared.where("frequent").select("token", "doc_id").join(crowded, "doc_id").select("token", "rep"), component)
+    mixed = several.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
+    affected = written(several.join(mixed, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "affected")
+    groups = None if affected.isEmpty() else _crowded_groups(own, affected)
+    turn = 0
+    while groups is not None:
+        held = _open(groups, component)
+        if held.isEmpty():
+            break
+        pairs, groups = _led_pairs(held, turn, done)
+        done = written(done.union(pairs), "done")
+        links = _verify(own, pairs)
+        turn += 1
+        if not links.isEmpty():
+            component, waiting = _joined(component, links.union(waiting)), waiting.limit(0)
+    component = _joined(component, waiting)
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

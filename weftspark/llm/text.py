@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one round of array work takes, so that memory does not follow the batch size.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
