@@ -55,7 +55,7 @@ DEEP = 8
 GRAM = 5
 #: Items of one block.
 BLOCK_ITEMS = 20_000
-#: Numbers that runs are dealt to, for a first count of the runs that places hold.
+#: Numbers that runs are dealt to, for a first look at which runs places hold.
 RUN_NUMBERS = 16_384
 #: Candidate places that are computed at once, and collisions that are held at once.
 SLICE, HELD = 200_000, 4_000_000
@@ -208,11 +208,20 @@ def run_numbers(data: np.ndarray) -> np.ndarray:
     return (key * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int32)
 
 
-def runs_held(counts: np.ndarray, which: np.ndarray, numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """At least as many of an item's runs as data[lo:hi] holds; counts: by item, its runs by number; numbers: of the data's runs."""
-    total, flat, base = np.zeros(len(lo), np.int64), counts.ravel(), which * RUN_NUMBERS
+def runs_held(runs: np.ndarray, which: np.ndarray, numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """At least as many of an item's runs as data[lo:hi] holds; runs: by item, its runs' numbers, filled up with RUN_NUMBERS; numbers: of the data's runs.
+
+    Each place has a bit for each number; bits are set for its own runs and read for the item's, all places side by side.
+    """
+    words = RUN_NUMBERS // 64 + 1
+    there, base, one = np.zeros(len(lo) * words, _U), np.arange(len(lo)) * words, _U(1)
     for j in range(int((hi - lo).max()) - GRAM + 1 if len(lo) else 0):
-        total += flat[base + numbers[np.minimum(lo + j, len(numbers) - 1)]]
+        number = np.where(lo + j + GRAM <= hi, numbers[np.minimum(lo + j, len(numbers) - 1)], RUN_NUMBERS + 1)
+        there[base + (number >> 6)] |= one << (number & 63).astype(_U)
+    total = np.zeros(len(lo), np.int64)
+    for j in range(runs.shape[1]):
+        number = runs[which, j]
+        total += (there[base + (number >> 6)] >> (number & 63).astype(_U) & one).astype(np.int64)
     return total
 
 
@@ -233,8 +242,8 @@ class ItemIndex:
         starts = window_starts(data[: len(joined)], np.append(begins, len(joined)))
         item = np.searchsorted(ends, starts, "right")
         classes = [class_of(n) for n in self.lengths.tolist()]
-        #: A walk, its table of partial keys, its sorted keys, and the item and the place in the item of each.
-        self.buckets: list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: A walk, its tables of partial and of whole keys, its sorted keys, and the item and the place in the item of each.
+        self.buckets: list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for steps, sampled, repeats in sorted({c for c in classes if c[0]}):
             own = np.array([c == (steps, sampled, repeats) for c in classes])
             room = own[item] & (ends[item] - 1 - starts >= steps)
@@ -243,7 +252,9 @@ class ItemIndex:
                 key, _ = walk_keys(data, starts[room], walk, None)
                 order = np.argsort(key, kind="stable")
                 number = item[room][order]
-                self.buckets.append((walk, partial_keys(data, starts[room], walk), key[order], number, starts[room][order] - begins[number]))
+                whole = np.zeros(1 << 20, bool)
+                whole[(key >> _U(44)).astype(np.int64)] = True
+                self.buckets.append((walk, partial_keys(data, starts[room], walk), whole, key[order], number, starts[room][order] - begins[number]))
 
     def grams_of(self, number: int) -> list[bytes]:
         """The runs of GRAM bytes of an item, at every place."""
@@ -260,9 +271,13 @@ class ItemIndex:
                 self.masks[number][c] |= _U(1 << i)
         return self.masks[number]
 
-    def counts_of(self, number: int) -> np.ndarray:
-        """How many of an item's runs have each number."""
-        return np.bincount(run_numbers(np.frombuffer(self.texts[number], np.uint8)), minlength=RUN_NUMBERS).astype(np.int32)
+    def runs_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The numbers of some items' runs, a row each."""
+        lists = [run_numbers(np.frombuffer(self.texts[k], np.uint8)) for k in numbers.tolist()]
+        out = np.full((len(lists), max(map(len, lists))), RUN_NUMBERS, np.int64)
+        for row, own in zip(out, lists):
+            row[: len(own)] = own
+        return out
 
     def step(self, number: np.ndarray) -> np.ndarray:
         """Bytes within which an item's collisions are one candidate."""
@@ -271,8 +286,10 @@ class ItemIndex:
     def collisions(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where windows collide, where the item should begin, and its number; of an item's collisions near one place one may stand for all."""
         found = [np.zeros((0, 3), np.int64)]
-        for walk, early, keys, items, places in self.buckets:
+        for walk, early, whole, keys, items, places in self.buckets:
             key, left = walk_keys(data, starts, walk, early)
+            there = whole[(key >> _U(44)).astype(np.int64)]
+            key, left = key[there], left[there]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(hi > lo)
             total = np.cumsum((hi - lo)[hit])
@@ -288,6 +305,7 @@ class ItemIndex:
                     found[-1] = found[-1][np.unique(near, axis=0, return_index=True)[1]]
         return tuple(np.concatenate(found).T)
 
+
 def leaks_in(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item id, edits, start, end) for each item that a text of the column holds: the best place found; bytes of the original."""
     raw, raw_offsets = raw_bytes(column)
@@ -315,14 +333,14 @@ def leaks_in(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, in
         masks = np.stack([index.masks_of(k) for k in used.tolist()])
         kept.append(some[within(masks, which, index.lengths[number[some]], data, low[some], high[some])])
     long = near[index.lengths[number[near]] > 64]
-    long = long[np.argsort(high[long] - low[long], kind="stable")]
+    long = long[np.lexsort((high[long] - low[long], index.lengths[number[long]]))]
     numbers = run_numbers(padded)
     for at in range(0, len(long), SLICE // 50):
         some = long[at : at + SLICE // 50]
         used, which = np.unique(number[some], return_inverse=True)
-        counts = np.stack([index.counts_of(k) for k in used.tolist()])
+        runs = index.runs_of(used)
         need = index.lengths[number[some]] - GRAM + 1 - GRAM * allowed[some]
-        kept.append(some[(need <= 0) | (runs_held(counts, which, numbers, low[some], high[some]) >= need)])
+        kept.append(some[(need <= 0) | (runs_held(runs, which, numbers, low[some], high[some]) >= need)])
     near = np.concatenate([near[:0], *kept])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i in near[np.lexsort((begin[near], number[near], row[near]))].tolist():
