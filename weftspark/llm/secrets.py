@@ -6,7 +6,11 @@ of the cheapest segmentation into common words (with capitals and look-alike
 characters), dates, repeats, keyboard walks and sequences, and brute-force
 spans: a shortest path over the value's positions in which each further segment
 costs a factor of ten. Placeholders, plain words and walks such as ``qwerty12345``
-are cheap and left alone; random strings are not.
+are cheap and left alone; random strings of any kind of characters are not. Words are
+ranked by how often chosen secrets hold them (WORDS), then by their counts over the
+whole corpus, made in Spark; the MOST_WORDS most frequent go to the tasks, at most
+half a megabyte. Words and repeated units are looked for up to LONGEST characters,
+walks and repeats of any length; the work is linear in the value.
 
 Edge cases: a null or empty text has no spans; positions are code points, ends
 exclusive; ties between segmentations do not change the cost; repeated rows and
@@ -31,8 +35,10 @@ KINDS = ("assign", "access", "hex")
 ADDED = "guess"
 #: Log10 of the guesses from which a value in a credential context is a secret, and the least length of its core.
 COSTLY, LEAST = 8.0, 6
-#: Longest word, date or walk that a segment may be; repeats and brute force have no limit.
+#: Longest word and unit of a repeat; dates have ten characters, walks, repeats and brute force no limit.
 LONGEST = 24
+#: Words of the corpus that are ranked, the bound of what is sent to the tasks, and their least length.
+MOST_WORDS, LEAST_WORD = 20_000, 3
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -58,7 +64,7 @@ WORDS = (
 WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "azertyuiop", "qwertzuiop", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 LOOKALIKE = {"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"}
 
-_RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
+RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 _PLAIN = str.maketrans(LOOKALIKE)
 _DATES = tuple(
     re.compile(p)
@@ -76,30 +82,34 @@ def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def _word_cost(part: str) -> float | None:
+def _word_cost(part: str, ranks: dict[str, int]) -> float:
+    """The cost of a word with capitals and look-alikes that ``ranks`` holds, as it is or plain."""
     low = part.lower()
     plain = low.translate(_PLAIN)
-    rank = _RANKS.get(low) or _RANKS.get(plain)
-    if rank is None:
-        return None
-    cost = math.log10(rank)
+    cost = math.log10(ranks.get(low) or ranks[plain])
     if part != low:
         capitals = sum(c.isupper() for c in part)
         cost += math.log10(2) if part in (part.capitalize(), part.upper()) else math.log10(max(2, math.comb(len(part), capitals)))
-    return cost + sum(a != b for a, b in zip(low, plain)) * math.log10(2) * (low not in _RANKS)
+    return cost + sum(a != b for a, b in zip(low, plain)) * math.log10(2) * (low not in ranks)
 
 
-def guess_segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_segments(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, int, int]]]:
     """The least log10 of guesses over all segmentations, and the segments (kind, start, end) of one that reaches it."""
     n = len(value)
-    low = value.lower()
-    # Where the walk and the repeat of one character that end at each position begin.
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(_PLAIN)
+    # Where the walk and the repeat of one character that end at each position begin; by unit, how far the last characters repeat.
     walk, same = list(range(n)), list(range(n))
     for i in range(1, n):
         if (low[i - 1], low[i]) in _STEPS:
             walk[i] = walk[i - 1]
         if value[i] == value[i - 1]:
             same[i] = same[i - 1]
+    steps = [math.log10(_class_size(c)) for c in value]
+    so_far = [0.0]
+    for step in steps:
+        so_far.append(so_far[-1] + step)
+    alike = [0] * (LONGEST + 1)
     dates: dict[int, list[tuple[int, float]]] = {}
     for k, pattern in enumerate(_DATES):
         for i in range(n):
@@ -110,28 +120,25 @@ def guess_segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     brute: list[tuple[float, int]] = [(math.inf, 0)]
     for j in range(1, n + 1):
         new = lambda i: best[i][0] + (1.0 if i else 0.0)
-        step = math.log10(_class_size(value[j - 1]))
+        step = steps[j - 1]
         fresh = new(j - 1) + step
         grown = brute[j - 1][0] + step
         brute.append((grown, brute[j - 1][1]) if grown <= fresh else (fresh, j - 1))
         found = [(brute[j][0], brute[j][1], "brute")]
         for i in range(max(0, j - LONGEST), j - 1):
-            cost = _word_cost(value[i:j])
-            if cost is not None:
-                found.append((new(i) + cost, i, "word"))
+            if low[i:j] in ranks or plain[i:j] in ranks:
+                found.append((new(i) + _word_cost(value[i:j], ranks), i, "word"))
         found += [(new(i) + cost, i, "date") for i, cost in dates.get(j, ())]
-        for i in range(max(walk[j - 1], j - LONGEST), j - 2):
+        for i in {walk[j - 1], *range(max(walk[j - 1], j - LONGEST), j - 2)} if j - walk[j - 1] > 2 else ():
             found.append((new(i) + math.log10(47 * (j - i)), i, "walk"))
         if j - same[j - 1] >= 3:
             i = same[j - 1]
             found.append((new(i) + step + math.log10(j - i), i, "repeat"))
-        for unit in range(2, min(LONGEST, j // 2) + 1):
-            i, count = j - unit, 1
-            while i >= unit and value[i - unit : i] == value[j - unit : j]:
-                i -= unit
-                count += 1
-            if count > 1:
-                found.append((new(i) + sum(math.log10(_class_size(c)) for c in value[j - unit : j]) + math.log10(count), i, "repeat"))
+        for unit in range(2, min(LONGEST, j - 1) + 1):
+            alike[unit] = alike[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+            if (count := 1 + alike[unit] // unit) > 1:
+                i = j - unit * count
+                found.append((new(i) + so_far[j] - so_far[j - unit] + math.log10(count), i, "repeat"))
         best.append(min(found))
     out, j = [], n
     while j:
@@ -141,19 +148,13 @@ def guess_segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n][0], out[::-1]
 
 
-def _mixed(value: str) -> bool:
-    """Characters of two kinds; a capital first letter does not count."""
-    body = value[:1].lower() + value[1:]
-    return sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body), any(not c.isalnum() for c in body.strip(".-_")))) > 1
-
-
-def find_secrets(text: str) -> list[tuple[str, int, int, float | None]]:
+def find_secrets(text: str, ranks: dict[str, int] = RANKS) -> list[tuple[str, int, int, float | None]]:
     """Spans (kind, start, end, log10 of guesses of the value) by start, then kind: fixed patterns, and costly values in credential contexts."""
     low = text.lower()
     hinted = any(h in low for h in _HINTS)
     base = []
     if hinted:
-        base += [("assign", *m.span(), guess_segments(m[2])[0]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        base += [("assign", *m.span(), guess_segments(m[2], ranks)[0]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         base += [("access", *m.span(), None) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [("hex", *m.span(), None) for m in _HEX.finditer(text)]
@@ -161,9 +162,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float | None]]:
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < LEAST or not _mixed(value) or any(a < end and start < b for _, a, b, _ in base):
+            if len(value) < LEAST or any(a < end and start < b for _, a, b, _ in base):
                 continue
-            cost = guess_segments(value)[0]
+            cost = guess_segments(value, ranks)[0]
             if cost >= COSTLY:
                 base.append((ADDED, start, end, cost))
     order = {k: i for i, k in enumerate((*KINDS, ADDED))}
@@ -173,16 +174,28 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float | None]]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_chunks(batches):
-        spans = [[dict(zip(("kind", "start", "end", "log10_guesses"), s)) for s in find_secrets(t)] for t in part.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
+def corpus_ranks(docs: DataFrame) -> dict[str, int]:
+    """Ranks of WORDS, then of the corpus's most frequent words of ASCII letters, counted over every whole text; ties by the word."""
+    found = F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"[a-z]{{{LEAST_WORD},}}"), F.lit(0)))
+    counted = docs.select(found.alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("seen"))
+    top = counted.orderBy(F.desc("seen"), "word").limit(MOST_WORDS).collect()
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))}
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (an array of kind, start, end, log10_guesses) of every row of ``docs(doc_id, text)``."""
+def scan_secrets(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
+    """doc_id and spans (an array of kind, start, end, log10_guesses) of every row of ``docs(doc_id, text)``.
+
+    ``ranks`` are words and their ranks; none: ``corpus_ranks`` of the documents.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
+    known = corpus_ranks(own) if ranks is None else ranks
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches):
+            spans = [[dict(zip(("kind", "start", "end", "log10_guesses"), s)) for s in find_secrets(t, known)] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
+
+    return own.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
