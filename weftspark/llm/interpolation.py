@@ -280,8 +280,11 @@ def _score(docs: pa.Table, totals: pa.Table, deleted: bool, tokens_seen: int, vo
 def interpolated_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs(doc_id, text)``.
 
-    The table is read three times and must give the same rows in the same order within a split each time, as files do.
+    The rows are read three times in the order of their splits; those of another source than files (no file name, and so no
+    split known) are first written to the shared folder.
     """
+    if docs.where("input_file_name() = ''").limit(1).count():
+        docs = written(docs.select("doc_id", "text"), "docs")
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(MODULUS))
     source = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (rest == HELD_OUT).alias("held_out"), (rest == DELETED).alias("deleted"), source.alias("source"))
