@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import union_all
+from weftspark.llm.shared import free_name, union_all
 from weftspark.llm.text import mix, raw_bytes, text_chunks
 
 #: Share of an item's length that may be edited; share of items edited so that are to be found; outputs of the first test.
@@ -393,17 +393,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns kept, that hold no item. Documents are read where they lie; nothing is joined."""
-    out = docs
+    out, name = docs, free_name(docs, "read")
 
     def without(frame: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(items)
-            for part in text_chunks(batches, "_read"):
+            for part in text_chunks(batches, name):
                 keep = np.ones(part.num_rows, bool)
-                keep[[r for r, *_ in leaks_in(index, part.column("_read"))]] = False
-                yield part.drop_columns(["_read"]).filter(pa.array(keep))
+                keep[[r for r, *_ in leaks_in(index, part.column(name))]] = False
+                yield part.drop_columns([name]).filter(pa.array(keep))
 
-        return frame.withColumn("_read", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+        return frame.withColumn(name, F.col("text").cast("string")).mapInArrow(run, docs.schema)
 
     for items in item_blocks(benchmark):
         out = without(out, items)

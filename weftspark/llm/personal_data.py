@@ -15,6 +15,9 @@ Regular expressions are anchored so that each position is tried once: scanning
 is linear in the text whatever it holds. Positions are code points, ends
 exclusive.
 
+Context words are read within WINDOW code points of a span; of a longer word beside
+it the part within is the context word.
+
 Edge cases: a null or empty text has no spans; rows are told apart by id and
 text together, so null and repeated doc_ids keep their rows and their own spans;
 equal rows have equal spans; an empty table gives no rows; extra columns are
@@ -28,7 +31,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import written
+from weftspark.llm.shared import free_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "context"
@@ -214,8 +217,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Spans are joined by row key; rows without spans are not in that table, which is what the join moves besides the documents.
     """
     base, added = discovered(docs)
+    own_key, own_spans = free_name(docs, "span_key"), free_name(docs, "spans")
     every = base.join(added, "key", "left").select("key", F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.transform(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
-    spans = written(every.where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias("_span_key"), F.array_sort("spans").alias("_spans")), "spans")
+    spans = written(every.where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias(own_key), F.array_sort("spans").alias(own_spans)), "spans")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col(text).cast("string"))
-    joined = docs.join(spans, key == F.col("_span_key"), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("_spans")))).drop("_span_key", "_spans")
+    joined = docs.join(spans, key == F.col(own_key), "left")
+    return joined.withColumn(text, F.when(F.col(own_spans).isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col(own_spans)))).drop(own_key, own_spans)

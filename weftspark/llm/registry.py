@@ -18,8 +18,16 @@ from weftspark.llm.token_records import record_digest, token_records
 from weftspark.llm.toxicity import chain_scores, table_categories, toxic_digest
 from weftspark.llm.url_rules import judge_urls, rules_sql
 
-#: Folder of the public vocabulary files; a parameter of every operator that needs one.
-TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
+
+
+def _tokenizers() -> str:
+    """Folder of the public vocabulary files: WEFT_TOKENIZERS, else that of the package of these files."""
+    import public_tokenizers
+
+    return os.environ.get("WEFT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+TOKENIZERS = _tokenizers()
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

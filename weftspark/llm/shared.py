@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weft-checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -57,6 +59,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any letter case."""
+    held = {c.lower() for c in df.columns}
+    while f"_{name}" in held:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -15,7 +15,8 @@ sample. Scoring reads every whole text.
 
 Edge cases: a null or empty text has no words and takes the models' base rates;
 rows without a label are scored but not learned from; null labels leave a row
-out of training; with no labelled rows, or only one class of a category, its
+out of training; of different labels of one doc_id the greatest of each category
+holds; labelled rows without words are all learned from; with no labelled rows, or only one class of a category, its
 probability is the share seen (0 without rows); repeated rows and null doc_ids
 keep their rows; an empty table gives no rows; extra columns are kept by
 ``drop_toxic`` and ignored by ``chain_scores``.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import written
+from weftspark.llm.shared import free_name, written
 from weftspark.llm.text import mix, raw_bytes, shingle_sets, text_chunks, words
 
 #: Labelled rows learned from, folds of the out-of-fold predictions, and least chi-square of a feature.
@@ -165,14 +166,15 @@ class Chain:
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Chain:
     """A chain learned from ``docs(doc_id, text)`` and ``labels(doc_id, categories...)``."""
-    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")
     kinds = ", ".join(f"{c} int" for c in categories)
     sample = joined.select("doc_id", *categories, "text").mapInArrow(_cells_of, f"doc_id long, {kinds}, cells array<int>, low1 long, low2 long")
     for low in ("low1", "low2"):
-        sample = sample.withColumn("place", F.row_number().over(Window.partitionBy(low).orderBy("doc_id"))).where("place = 1").drop("place")
+        # Rows without words have no minima and are no copies of each other.
+        sample = sample.withColumn("place", F.row_number().over(Window.partitionBy(low).orderBy("doc_id"))).where("place = 1 or size(cells) = 0").drop("place")
     sample = written(sample, "sample")
     totals = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories)).first()
     n = totals["n"]
@@ -219,12 +221,13 @@ def toxic_digest(scores: DataFrame, bar: float = BAR) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFrame:
     """The documents, all columns kept, whose toxic probability is below the bar. Rows are scored where they are read; nothing is joined."""
-    own = docs.withColumn("_scored", F.col("text").cast("string"))
+    name = free_name(docs, "scored")
+    own = docs.withColumn(name, F.col("text").cast("string"))
     chain = train_chain(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, ("junk", "toxic"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "_scored"):
-            kept = chain.probabilities(part.column("_scored"))[:, 1] < bar
-            yield part.drop_columns(["_scored"]).filter(pa.array(kept, pa.bool_()))
+        for part in text_chunks(batches, name):
+            kept = chain.probabilities(part.column(name))[:, 1] < bar
+            yield part.drop_columns([name]).filter(pa.array(kept, pa.bool_()))
 
     return own.mapInArrow(keep, docs.schema)
