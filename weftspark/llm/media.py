@@ -3,8 +3,8 @@
 Edge cases: a null or empty text is one block of padding; equal texts give equal
 files; null and repeated doc_ids keep their rows; an empty table gives no rows;
 extra columns are ignored. A payload beyond 16,384 rows of pixels gets wider
-rows, whose last one is filled with 255 beyond the payload; the format holds
-800 MB, more than a string column can.
+rows, whose last one is filled with 255 beyond the payload; one image holds 264 MB,
+a longer text raises a ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from weftspark.llm import webp
 from weftspark.llm.shared import written
 from weftspark.llm.text import raw_bytes, text_chunks
 
-#: Payloads are filled up with FILL to a positive multiple of BLOCK bytes: one row of 192 pixels.
+#: Payloads are filled up with FILL to a positive multiple of BLOCK bytes: one row of pixels, a sample each.
 BLOCK, FILL = 576, 255
 
 
@@ -31,19 +31,16 @@ def payload_image(data: np.ndarray) -> bytes:
     wide = -(-rows // webp.MAX_SIDE)
     if extra := -rows % wide:
         data = np.concatenate([data, np.full(extra * BLOCK, FILL, np.uint8)])
-    return webp.encode_rgb(data.reshape(-(-rows // wide), BLOCK // 3 * wide, 3))
+    return webp.encode_samples(data, BLOCK * wide)
 
 
 def pixel_features(pixels: np.ndarray) -> str:
-    """Size, mean and spread of each colour in thousandths, and an 8-bin brightness histogram."""
-    counts = [np.bincount(pixels[..., c].reshape(-1), minlength=256) for c in range(3)]
+    """Size, mean and spread of the samples in thousandths, and an 8-bin brightness histogram."""
+    counts = np.bincount(pixels[..., 1].reshape(-1), minlength=256)
     values, n = np.arange(256), pixels.shape[0] * pixels.shape[1]
-    sums = [int(c @ values) for c in counts]
-    squares = [int(c @ (values * values)) for c in counts]
-    means = [s * 1000 // n for s in sums]
-    spread = [int(((q * n - s * s) ** 0.5) * 1000 / n) for s, q in zip(sums, squares)]
-    bins = sum(counts).reshape(8, 32).sum(1).tolist()
-    return f"{pixels.shape[1]}x{pixels.shape[0]};mean={','.join(map(str, means))};std={','.join(map(str, spread))};hist={','.join(map(str, bins))}"
+    total, squares = int(counts @ values), int(counts @ (values * values))
+    bins = counts.reshape(8, 32).sum(1).tolist()
+    return f"{pixels.shape[1]}x{pixels.shape[0]};mean={total * 1000 // n};std={int(((squares * n - total * total) ** 0.5) * 1000 / n)};hist={','.join(map(str, bins))}"
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -72,7 +69,7 @@ def read_media(media: DataFrame) -> DataFrame:
             rows, held = [], 0
             for doc, n, full, data in zip(*(c.to_pylist() for c in batch.columns)):
                 pixels = webp.decode(data)
-                payload = pixels[..., :3].tobytes()[:full]
+                payload = pixels[..., 1].tobytes()[:full]
                 rows.append((doc, n, full, payload, len(data), hashlib.sha256(data).hexdigest(), pixel_features(pixels)))
                 held += full
                 if held > 1 << 22:

@@ -4,14 +4,14 @@ Written from the public specification of the lossless bitstream. Pixels are
 (height, width, 4) arrays of 8-bit red, green, blue, alpha. The decoder reads
 prefix codes (simple and normal), meta prefix images, back-references with the
 two-dimensional short distances, the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. An image of plain literals
-under uniform eight-bit codes, as ``encode`` writes by default, is read as one
-array; every other one symbol by symbol.
+cross-colour, subtract-green and palette transforms, one table-driven loop over the
+symbols for every file. ``encode_samples`` writes a row of 8-bit samples as a palette
+image with matches, colour cache and fitted prefix codes, made by array operations;
+``encode`` takes any pixels and transforms.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 import struct
 
@@ -32,7 +32,8 @@ _NEAR = (
     (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 _HASH = 0x1E35A7BD
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: Longest code of ``encode_samples``, colour cache bits, and least and greatest length of its matches.
+MOST_BITS, CACHE_BITS, LEAST_MATCH, MOST_MATCH = 11, 7, 6, 128
 
 
 class BitReader:
@@ -43,9 +44,6 @@ class BitReader:
         byte = self.at >> 3
         return int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
 
-    def span(self, at: int, n: int) -> int:
-        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
-
     def read(self, n: int) -> int:
         value = self.peek(n)
         self.at += n
@@ -55,42 +53,33 @@ class BitReader:
 
 
 class PrefixCode:
-    """A canonical code as a table from the next bits to a symbol and its length."""
+    """A canonical code as a table from the next bits to 16 times a symbol, plus its length."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.bits = max(lengths, default=0)
-        self.uniform = len(used) == 256 and used[-1] == 255 and {lengths[s] for s in used} == {8}
-        if not used:
-            self.only = 0
+        used = sorted([(n, s) for s, n in enumerate(lengths) if n])
+        self.only = used[0][1] if len(used) == 1 else None if used else 0
+        self.bits = 0 if self.only is not None else used[-1][0]
         if self.only is not None:
+            self.table = [self.only << 4]
             return
-        if sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
             raise ValueError("the prefix code is not complete")
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        code = 0
-        for n in range(1, self.bits + 1):
-            for s in used:
-                if lengths[s] == n:
-                    low = int(f"{code:0{n}b}"[::-1], 2)
-                    self.symbol[low :: 1 << n], self.length[low :: 1 << n] = s, n
-                    code += 1
-            code <<= 1
-        self.symbol, self.length = self.symbol.tolist(), self.length.tolist()
+        table, code, before = np.zeros(1 << self.bits, np.int32), 0, used[0][0]
+        for n, s in used:
+            code <<= n - before
+            table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = s << 4 | n
+            code, before = code + 1, n
+        self.table = table.tolist()
 
     def read(self, bits: BitReader) -> int:
-        if self.only is not None:
-            return self.only
-        key = bits.peek(self.bits)
-        bits.at += self.length[key]
+        entry = self.table[bits.peek(self.bits)]
+        bits.at += entry & 15
         if bits.at > bits.end:
             raise ValueError("the image data is cut off")
-        return self.symbol[key]
+        return entry >> 4
 
 
 def _read_code(bits: BitReader, size: int) -> PrefixCode:
-    lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)]
@@ -98,18 +87,27 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
             symbols.append(bits.read(8))
         if max(symbols) >= size:
             raise ValueError("a symbol is beyond its alphabet")
+        lengths = [0] * (max(symbols) + 1)
         for s in symbols:
             lengths[s] = 1
         return PrefixCode(lengths)
     of_lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
-    code = PrefixCode(of_lengths)
+    lengths, code = [0] * size, PrefixCode(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, table, mask = 0, 8, code.table, (1 << code.bits) - 1
+    ahead = held = 0
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        if held < 14:
+            byte, moved = bits.at >> 3, bits.at & 7
+            ahead, held = int.from_bytes(bits.data[byte : byte + 24], "little") >> moved, 192 - moved
+        entry = table[ahead & mask]
+        s, n = entry >> 4, entry & 15
+        ahead >>= n
+        held -= n
+        bits.at += n
         if s < 16:
             lengths[at] = s
             last = s or last
@@ -117,6 +115,7 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
             continue
         value, extra, least = ((last, 2, 3), (0, 3, 3), (0, 7, 11))[s - 16]
         n = least + bits.read(extra)
+        held = 0
         if at + n > size:
             raise ValueError("the code lengths run over")
         lengths[at : at + n] = [value] * n
@@ -124,29 +123,6 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
     return PrefixCode(lengths)
 
 
-#: The last set of prefix codes read and its bits: images of one writer often have the same codes.
-_LAST_CODES: list = [0, 0, (), None]
-
-
-def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
-    value, n, known, codes = _LAST_CODES
-    if known == sizes and bits.at + n <= bits.end and bits.span(bits.at, n) == value:
-        bits.at += n
-        return codes
-    start = bits.at
-    codes = [_read_code(bits, size) for size in sizes]
-    _LAST_CODES[:] = bits.span(start, bits.at - start), bits.at - start, sizes, codes
-    return codes
-
-
-def _value(bits: BitReader, symbol: int) -> int:
-    """A length or distance from its prefix symbol and extra bits."""
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     """The entropy-coded pixels as 32-bit ARGB numbers, row after row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -158,22 +134,62 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         across = -(-width >> shift)
         blocks = (_read_image(bits, across, -(-height >> shift), False) >> 8 & 0xFFFF).tolist()
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [_read_codes(bits, sizes) for _ in range(max(blocks) + 1 if blocks else 1)]
-    total = width * height
-    if not cache_bits and blocks is None and all(c.uniform for c in groups[0][:3]) and groups[0][3].only is not None:
-        return _read_literals(bits, total, groups[0][3].only)
-    out, cache = [0] * total, [0] * (1 << cache_bits)
-    at = cached = 0
+    groups = []
+    for _ in range(max(blocks) + 1 if blocks else 1):
+        codes = [_read_code(bits, size) for size in sizes]
+        # Where three colours take no bits, a literal is one look-up.
+        fixed = None if any(c.bits for c in codes[1:4]) else codes[3].only << 24 | codes[1].only << 16 | codes[2].only
+        groups.append((codes, codes[0].table, (1 << codes[0].bits) - 1, fixed))
+    total, shade = width * height, 32 - cache_bits
+    out, cache, slots = [0] * total, [0] * (1 << cache_bits), {}
+    at = 0
+    codes, table, mask, fixed = groups[0]
+    data, place, end = bits.data, bits.at, bits.end
+    # The next bits of the data: `held` of them in `ahead`, from bit `place` on; a symbol and a copy take at most 78.
+    ahead = held = 0
     while at < total:
-        green, red, blue, alpha, far = groups[blocks[(at // width >> shift) * across + (at % width >> shift)] if blocks else 0]
-        s = green.read(bits)
+        if blocks:
+            codes, table, mask, fixed = groups[blocks[(at // width >> shift) * across + (at % width >> shift)]]
+        if held < 80:
+            byte = place >> 3
+            ahead, held = int.from_bytes(data[byte : byte + 32], "little") >> (place & 7), 256 - (place & 7)
+        entry = table[ahead & mask]
+        n = entry & 15
+        ahead >>= n
+        held -= n
+        place += n
+        s = entry >> 4
         if s < 256:
-            r, b = red.read(bits), blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
+            if fixed is None:
+                bits.at, held = place, 0
+                r, b = codes[1].read(bits), codes[2].read(bits)
+                v = codes[3].read(bits) << 24 | r << 16 | s << 8 | b
+                place = bits.at
+            else:
+                v = fixed | s << 8
+            out[at] = v
             at += 1
+            if cache_bits:
+                if v not in slots:
+                    slots[v] = (_HASH * v & 0xFFFFFFFF) >> shade
+                cache[slots[v]] = v
         elif s < 280:
-            n = _value(bits, s - 256)
-            d = _value(bits, far.read(bits))
+            far = codes[4]
+            n, used = s - 255, 0
+            if n > 4:
+                used = (s - 258) >> 1
+                n = ((2 + (s & 1)) << used) + (ahead & ((1 << used) - 1)) + 1
+            entry = far.table[ahead >> used & ((1 << far.bits) - 1)]
+            used += entry & 15
+            s = entry >> 4
+            d = s + 1
+            if d > 4:
+                extra = (s - 2) >> 1
+                d = ((2 + (s & 1)) << extra) + (ahead >> used & ((1 << extra) - 1)) + 1
+                used += extra
+            ahead >>= used
+            held -= used
+            place += used
             if d > 120:
                 d -= 120
             else:
@@ -181,31 +197,22 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
                 d = max(1, x + y * width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + n):
-                out[i] = out[i - d]
+            part = out[at - d : at - d + n] if d >= n else (out[at - d : at] * (n // d + 1))[:n]
+            out[at : at + n] = part
             at += n
+            if cache_bits:
+                for v in part:
+                    cache[slots[v]] = v
         else:
-            while cached < at:
-                cache[(_HASH * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
-            out[at] = cache[s - 280]
+            v = out[at] = cache[s - 280]
             at += 1
-    return np.array(out, np.uint32)
-
-
-def _read_literals(bits: BitReader, total: int, alpha: int) -> np.ndarray:
-    """Pixels of one literal byte each for green, red and blue."""
-    n = 3 * total
-    if bits.at + 8 * n > bits.end:
+            if v not in slots:
+                slots[v] = (_HASH * v & 0xFFFFFFFF) >> shade
+                cache[slots[v]] = v
+    bits.at = place
+    if place > end:
         raise ValueError("the image data is cut off")
-    byte, shift = divmod(bits.at, 8)
-    raw = np.frombuffer(bits.data, np.uint8, offset=byte)[: n + 1]
-    raw = (raw[:n] >> shift) | (raw[1 : n + 1] << (8 - shift)) if shift else raw[:n]
-    bits.at += 8 * n
-    raw = _REVERSED[raw].reshape(-1, 3)
-    out = np.empty((total, 4), np.uint8)
-    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = raw[:, 2], raw[:, 0], raw[:, 1], alpha
-    return out.view("<u4").reshape(-1)
+    return np.array(out, np.uint32)
 
 
 def _channels(pixels: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
@@ -342,37 +349,41 @@ class BitWriter:
 def _code_lengths(counts: list[int], limit: int) -> list[int]:
     """Lengths of a prefix code for these counts; counts are flattened until no length passes the limit."""
     lengths = [0] * len(counts)
+    used = [s for s, n in enumerate(counts) if n]
+    if len(used) < 2:
+        for s in used:
+            lengths[s] = 1
+        return lengths
+    weights = [counts[s] for s in used]
     while True:
-        heap = [(n, s, (s,)) for s, n in enumerate(counts) if n]
-        if len(heap) < 2:
-            for _, s, _ in heap:
-                lengths[s] = 1
-            return lengths
+        heap = [(n, i) for i, n in enumerate(weights)]
         heapq.heapify(heap)
-        depth = dict.fromkeys((s for _, s, _ in heap), 0)
+        parent, made = [0] * (2 * len(used)), len(used)
         while len(heap) > 1:
-            (n, s, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            for x in a + b:
-                depth[x] += 1
-            heapq.heappush(heap, (n + m, s, a + b))
-        if max(depth.values()) <= limit:
-            for s, n in depth.items():
+            (n, i), (m, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = made
+            heapq.heappush(heap, (n + m, made))
+            made += 1
+        depth = [0] * made
+        for i in range(made - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(used)]) <= limit:
+            for s, n in zip(used, depth):
                 lengths[s] = n
             return lengths
-        counts = [(n + 1) // 2 for n in counts]
+        weights = [(n + 1) // 2 for n in weights]
 
 
 def _codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol to (code with its first bit lowest, length)."""
-    out, code = {}, 0
-    for n in range(1, max(lengths, default=0) + 1):
-        for s, m in enumerate(lengths):
-            if m == n:
-                out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-                code += 1
-        code <<= 1
-    if len(out) == 1:
-        out = dict.fromkeys(out, (0, 0))
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) == 1:
+        return {used[0][1]: (0, 0)}
+    out, code, before = {}, 0, 0
+    for n, s in used:
+        code <<= n - before
+        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
+        code, before = code + 1, n
     return out
 
 
@@ -384,9 +395,18 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
         bits.put(1, 1)
         bits.put(used[0], 8)
         return
+    # Runs of zeros from three on are one symbol with their length.
+    items, at = [], 0
+    for s in [*(s for s, n in enumerate(lengths) if n), len(lengths)]:
+        while s - at > 2:
+            run = min(s - at, 138)
+            items.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
+            at += run
+        items += [(n, 0, 0) for n in lengths[at : s + 1]]
+        at = s + 1
     counts = [0] * 19
-    for n in lengths:
-        counts[n] += 1
+    for s, *_ in items:
+        counts[s] += 1
     if sum(1 for n in counts if n) == 1:
         counts[0] += 1
     own = _code_lengths(counts, 7)
@@ -396,8 +416,9 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
     for s in _LENGTH_ORDER:
         bits.put(own[s], 3)
     bits.put(0, 1)
-    for n in lengths:
-        bits.put(*codes[n])
+    for s, extra, n in items:
+        bits.put(*codes[s])
+        bits.put(extra, n)
 
 
 def _symbol_of(value: int) -> tuple[int, int, int]:
@@ -491,33 +512,137 @@ def _argb(pixels: np.ndarray) -> list[int]:
     return (p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]).tolist()
 
 
-@functools.cache
-def _literal_codes() -> tuple[int, int]:
-    """The bits, and their number, of uniform codes for green, red and blue and of single symbols for alpha and distances."""
-    bits = BitWriter()
-    for size in (280, 256, 256):
-        _put_code(bits, [8] * 256 + [0] * (size - 256))
-    _put_code(bits, [0] * 255 + [1])
-    _put_code(bits, [1] + [0] * 39)
-    return bits.value, bits.n
-
-
-def encode_rgb(pixels: np.ndarray) -> bytes:
-    """An opaque (height, width, 3) array as literals under uniform eight-bit codes: all by array operations."""
-    height, width = pixels.shape[:2]
+def _matches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of copies, taken from the left, of the last place with the same LEAST_MATCH values."""
+    n = len(values) - LEAST_MATCH + 1
+    none = np.zeros(0, np.int64)
+    if n < 2:
+        return none, none, none
+    key = np.zeros(n, np.uint64)
+    for k in range(LEAST_MATCH):
+        key = key << np.uint64(8) | values[k : k + n].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    at = np.flatnonzero(before >= 0)
+    source = before[at]
+    # Eight values at a time; each place beyond the end differs from all others.
+    padded = np.concatenate([values.astype(np.uint8), np.zeros(MOST_MATCH + 8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.ascontiguousarray(eight).view("<u8").reshape(-1)
+    length, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    for k in range(0, MOST_MATCH, 8):
+        apart = eight[at[left] + k] ^ eight[source[left] + k]
+        same = apart == 0
+        ended = left[~same]
+        lowest = (apart & (~apart + np.uint64(1)))[~same]
+        length[ended] = k + (np.frexp(lowest.astype(np.float64))[1] - 1 >> 3)
+        left = left[same]
+        if not len(left):
+            break
+    length[left] = MOST_MATCH
+    length = np.minimum(length, len(values) - at)
+    taken, free = [], 0
+    for i, (start, n) in enumerate(zip(at.tolist(), length.tolist())):
+        if start >= free:
+            taken.append(i)
+            free = start + n
+    return at[taken], length[taken], at[taken] - source[taken]
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_symbol_of`` for arrays."""
+    v = values - 1
+    extra = np.where(v < 4, 0, np.frexp(np.maximum(v, 1))[1] - 2)
+    return np.where(v < 4, v, 2 * extra + 2 + (v >> extra & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+def _put_single(bits: BitWriter, symbol: int) -> None:
+    """The code of one 8-bit symbol that takes no bits."""
+    bits.put(0b101 | symbol << 3, 11)
+
+
+def _put_greens(bits: BitWriter, steps: list[int]) -> None:
+    """The image of a palette, by its steps: only green changes, and alpha steps to 255 at once."""
+    bits.put(0, 1)
+    counts = [0] * 280
+    for v in steps:
+        counts[v] += 1
+    lengths = _code_lengths(counts, MOST_BITS)
+    codes = _codes(lengths)
+    _put_code(bits, lengths)
+    _put_single(bits, 0)
+    _put_single(bits, 0)
+    if len(steps) > 1:
+        bits.put(0b111 | 255 << 11, 19)
+    else:
+        _put_single(bits, 255)
+    _put_single(bits, 0)
+    for i, v in enumerate(steps):
+        bits.put(*codes[v])
+        if len(steps) > 1:
+            bits.put(int(not i), 1)
+
+
+def encode_samples(samples: np.ndarray, width: int) -> bytes:
+    """8-bit samples, a multiple of ``width`` of them, as the green values of a palette image: matches, colour cache and fitted codes."""
+    height = len(samples) // width
     bits = _start(width, height)
-    bits.put(0, 3)  # no transform, no colour cache, no meta prefix codes
-    bits.put(*_literal_codes())
-    body = _REVERSED[pixels.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)]
-    head, shift = bits.take(), bits.n % 8
+    table, index = np.unique(samples, return_inverse=True)
+    bits.put(1, 1)
+    bits.put(PALETTE, 2)
+    bits.put(len(table) - 1, 8)
+    _put_greens(bits, np.diff(table, prepend=np.zeros(1, np.uint8)).tolist())
+    shift = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
     if shift:
-        whole = np.zeros(len(body) + 1, np.uint8)
-        whole[:-1] = body << shift
-        whole[1:] |= body >> (8 - shift)
-        whole[0] |= head[-1]
-        head = head[:-1]
-        return _file(head + whole.tobytes())
-    return _file(head + body.tobytes())
+        wide = np.zeros((height, -(-width >> shift) << shift), np.uint8)
+        wide[:, :width] = index.reshape(height, width)
+        index = sum(wide[:, i :: 1 << shift] << np.uint8(i * (8 >> shift)) for i in range(1 << shift)).reshape(-1)
+    values = index.astype(np.int64)
+    # A pixel is in the cache if the last one of its slot was the same.
+    slot = (_HASH * (0xFF000000 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    order = np.argsort(slot[values], kind="stable")
+    cached = np.zeros(len(values), bool)
+    cached[order[1:]] = values[order[1:]] == values[order[:-1]]
+    at, length, distance = _matches(values)
+    depth = np.zeros(len(values) + 1, np.int64)
+    depth[at] += 1
+    depth[at + length] -= 1
+    plain = np.flatnonzero(np.cumsum(depth[:-1]) == 0)
+    symbol, extra, size = _prefixed(length)
+    far, far_extra, far_size = _prefixed(distance + 120)
+    # A row a symbol: green symbol, its extra bits, distance symbol, its extra bits.
+    rows = np.zeros((len(plain) + len(at), 4), np.int64)
+    sizes = np.zeros_like(rows)
+    place = np.argsort(np.concatenate([plain, at]), kind="stable")
+    green = np.concatenate([np.where(cached[plain], 280 + slot[values[plain]], values[plain]), 256 + symbol])[place]
+    copies = place >= len(plain)
+    counts = [np.bincount(green, minlength=280 + (1 << CACHE_BITS)).tolist(), np.bincount(far, minlength=40).tolist()]
+    own = [_code_lengths(c, MOST_BITS) for c in counts]
+    bits.put(0, 1)
+    bits.put(1, 1)
+    bits.put(CACHE_BITS, 4)
+    bits.put(0, 1)
+    _put_code(bits, own[0])
+    for symbol in (0, 0, 255):
+        _put_single(bits, symbol)
+    _put_code(bits, own[1])
+    codes = []
+    for lengths in own:
+        codes.append(np.zeros((len(lengths), 2), np.int64))
+        for s, code in _codes(lengths).items():
+            codes[-1][s] = code
+    rows[:, 0], sizes[:, 0] = codes[0][green].T
+    rows[copies, 1], sizes[copies, 1] = extra, size
+    rows[copies, 2], sizes[copies, 2] = codes[1][far].T
+    rows[copies, 3], sizes[copies, 3] = far_extra, far_size
+    rows, sizes = rows.reshape(-1), sizes.reshape(-1)
+    field = np.repeat(np.arange(len(rows)), sizes)
+    offset = np.arange(len(field)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    body = (rows[field] >> offset & 1).astype(np.uint8)
+    head = np.unpackbits(np.frombuffer(bits.take(), np.uint8), bitorder="little")[: bits.n]
+    return _file(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
 
 
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, matches: bool = False, mode: int = 11, factors: tuple[int, int, int] = (3, 250, 17)) -> bytes:
