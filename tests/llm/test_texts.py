@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import urlparse
@@ -14,13 +15,14 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm import data
-from weftspark.llm import interpolation, webp
+from weftspark.llm import interpolation, secrets, webp
+from weftspark.llm.decontaminate import drop_leaks
 from weftspark.llm.interpolation import interpolated_scores, learn_weights
-from weftspark.llm.media import media_columns, media_digest
+from weftspark.llm.media import media_columns, media_digest, payload_image
 from weftspark.llm.personal_data import find_personal_data, personal_digest, redact
-from weftspark.llm.piece_dropout import PieceCodec, encode_pieces, piece_digest
+from weftspark.llm.piece_dropout import PieceCodec, occurrence_keys, encode_pieces, piece_digest
 from weftspark.llm.registry import TOKENIZERS
-from weftspark.llm.secrets import find_secrets, guess_segments, scan_secrets, secret_digest
+from weftspark.llm.secrets import RANKS, corpus_ranks, find_secrets, guess_segments, scan_secrets, secret_digest
 from weftspark.llm.shared import work_path
 from weftspark.llm.token_records import frame, read_index, read_records, record_digest, unframe, write_records
 from weftspark.llm.toxicity import chain_scores, drop_toxic, fit_chain, table_categories
@@ -48,12 +50,48 @@ def test_guess_costs_order_values():
         assert all(cost(v) <= cost(v[:i]) + cost(v[i:]) + 1 + 1e-9 for i in range(1, len(v)))
 
 
+def test_guess_cost_is_the_least_of_all_segmentations():
+    """Every split of short values, every kind that fits each part."""
+    ranks = {"pass": 2, "word": 5, "sun": 9}
+
+    def part_costs(v):
+        out = [sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in v)]
+        plain = v.lower().translate(str.maketrans(secrets.LOOKALIKE))
+        if len(v) > 1 and (v.lower() in ranks or plain in ranks):
+            out.append(secrets._word_cost(v, ranks))
+        if len(v) > 2 and all((a, b) in secrets._STEPS for a, b in zip(v.lower(), v.lower()[1:])):
+            out.append(math.log10(47 * len(v)))
+        out += [math.log10(130) for p in secrets._DATES[:1] if p.fullmatch(v)] + [math.log10(365 * 130) for p in secrets._DATES[1:] if p.fullmatch(v)]
+        for unit in range(1, len(v) // 2 + 1):
+            if len(v) % unit == 0 and v[:unit] * (len(v) // unit) == v and (unit > 1 or len(v) > 2):
+                out.append(sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in v[:unit]) + math.log10(len(v) // unit))
+        return out
+
+    def least(v):
+        return min([min(part_costs(v))] + [least(v[:i]) + 1 + min(part_costs(v[i:])) for i in range(1, len(v))])
+
+    rng = data.rng(21)
+    for v in ["password", "p4ssword", "Sun2019x", "ababab1", "qwerty1", "aaaa1111", *("".join(rng.choices("abp1s9-", k=rng.randrange(1, 8))) for _ in range(60))]:
+        assert guess_segments(v, ranks)[0] == pytest.approx(least(v)), v
+
+
+def test_long_values_take_time_in_proportion():
+    began = time.time()
+    guess_segments("ab1" * 20_000)
+    guess_segments("a" * 60_000)
+    assert time.time() - began < 60
+
+
 def test_secret_spans(spark):
     key = "AKIA" + "Q7" * 9
     text = f"é password=abc12345 x AKIA1 {key} 0123456789abcdef01234567 token: short pwd: x7Kq9zL2mW."
     spans = [(k, text[a:b]) for k, a, b, _ in find_secrets(text)]
     assert spans == [("assign", "password=abc12345"), ("access", key), ("hex", "0123456789abcdef01234567"), ("guess", "x7Kq9zL2mW")]
-    assert find_secrets("my password is required and the token was changed") == []
+    assert find_secrets("my password is required and the token was changed", {"required": 700, "change": 90}) == []
+    for v in ("qzxkvjwphtmrbn", "839201748362"):
+        assert [text_[a:b] for text_ in [f"the password is {v}"] for _, a, b, _ in find_secrets(text_)] == [v]
+    prose = ["they ask for whatever is required here"] * 5
+    assert corpus_ranks(data.documents(spark, prose))["required"] <= len(RANKS) + 9
     rows = by_id(secret_digest(scan_secrets(data.documents(spark, [text, None, ""]))))
     base = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in find_secrets(text) if k != "guess")
     assert rows[0]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and rows[0]["n_guess"] == 1
@@ -108,6 +146,18 @@ def test_pieces_equal_the_library_without_dropout_and_are_lossless_with_it():
     assert dropped.encode(words).tolist() == PieceCodec(PIECES).encode(words).tolist()
 
 
+def test_every_occurrence_is_segmented_by_its_own_draws():
+    codec, rng = PieceCodec(PIECES), data.rng(8)
+    text = " ".join(rng.choices(["international", "representation", "the", "étude", "a", "▁x", "中文", "y" * 50, "under-standing"], k=400))
+    units = re.findall(r" +[^ \n]*|\n+|[^ \n]+", " " + text)
+    for doc in (0, 7, -3):
+        keys = occurrence_keys(codec.seed, doc, len(units)).tolist()
+        assert codec.encode(text, doc).tobytes() == b"".join(codec._unit_ids(u, k) for u, k in zip(units, keys))
+    own = {tuple(codec.segment(" international", k)) for k in occurrence_keys(codec.seed, 5, 300).tolist()}
+    assert len(own) > 5
+    assert codec.encode(text, 1).tolist() != codec.encode(text, 2).tolist() and codec.decode(codec.encode(text, 2)) == text
+
+
 def test_pieces_odd_rows(spark):
     rows = piece_digest(encode_pieces(data.odd_documents(spark), PIECES)).collect()
     assert len(rows) == 13 and all(r["lossless"] for r in rows)
@@ -127,13 +177,28 @@ def test_webp_decodes_every_feature():
                 for bits in (0, 6):
                     for mode in range(14) if steps == (0,) and not bits else (11,):
                         assert (webp.decode(webp.encode(p, steps, bits, bool(bits), mode)) == p).all()
-        q = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
-        assert (webp.decode(webp.encode_rgb(q))[..., :3] == q).all()
-    for broken in (b"RIFF", webp.encode_rgb(q)[:40], webp.encode_rgb(q)[:-30]):
+        for colours in (1, 2, 4, 16, 256):
+            for q in (rng.integers(0, colours, h * w).astype(np.uint8) * np.uint8(7 if colours < 30 else 1), np.tile(np.arange(colours, dtype=np.uint8), h * w)[: h * w]):
+                assert (webp.decode(webp.encode_samples(q, w))[..., 1].reshape(-1) == q).all()
+    data_ = webp.encode_samples(rng.integers(0, 200, 576).astype(np.uint8), 576)
+    for broken in (b"RIFF", data_[:40], data_[:-60]):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(broken)
 
 
+def test_media_files_use_palette_cache_and_copies(monkeypatch):
+    """What the decoder meets in a file of the query: the transform, the cache bits, and fewer symbols than samples."""
+    text = np.frombuffer((b"some words and some more words, and again some words. " * 40)[:1728], np.uint8)
+    met, read = [], webp._read_image
+    monkeypatch.setattr(webp, "_read_image", lambda bits, w, h, main: (met.append((bits.peek(5) & 31, main)), read(bits, w, h, main))[1])
+    media = payload_image(text)
+    bits = webp.BitReader(media[20:])
+    assert bits.read(8) == 0x2F and bits.read(32) >> 28 == 0 and bits.read(1) == 1 and bits.read(2) == webp.PALETTE
+    assert webp.decode(media)[..., 1].tobytes() == text.tobytes()
+    assert met[-1] == (1 | webp.CACHE_BITS << 1, True) and len(met) == 2
+    assert len(webp._matches(text.astype(np.int64))[0]) > 5 and len(media) < len(text) // 4
+
+
 def test_media_payloads_round_trip(spark):
     rows = media_digest(media_columns(data.odd_documents(spark))).collect()
     texts = {**dict(enumerate(data.odd_texts())), 100: "", None: "no id at all here today"}
@@ -201,6 +266,16 @@ def test_later_models_learn_from_out_of_fold_predictions():
     assert ((folded[:, 0] > 0.5) == (y > 0)).all() and len(models[1]) == len(models[0]) + 1
 
 
+def test_clashing_names_and_labels(spark):
+    from pyspark.sql import functions as F
+
+    docs = data.documents(spark, ["mail a@b.cd now", None, ""]).withColumns({n: F.lit(1) for n in ("_scored", "_read", "_spans", "_span_key")})
+    labels = spark.createDataFrame([(0, 1, 0), (0, 1, 1), (1, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    assert drop_toxic(docs, table_categories(labels)).columns == docs.columns
+    assert drop_leaks(docs, spark.createDataFrame([(1, "no such text at all here")], "item_id long, text string")).count() == 3
+    assert redact(docs).columns == docs.columns and redact(docs).where("text like '%<EMAIL>%'").count() == 1
+
+
 def test_chain_without_labels(spark):
     given = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert drop_toxic(data.odd_documents(spark), table_categories(given)).count() == 13
@@ -277,6 +352,14 @@ def test_weights_follow_the_deleted_counts():
     assert all(sum(w) == pytest.approx(1) for w in learned.values())
 
 
+def test_frames_of_no_files_score_as_files_do(spark, tmp_path):
+    rng = data.rng(12)
+    own = data.documents(spark, [" ".join(data.words(rng, 30, 40)) for _ in range(80)]).repartition(4)
+    own.write.parquet(str(tmp_path / "docs"))
+    key = lambda r: (r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6))
+    assert sorted(map(key, interpolated_scores(own).collect())) == sorted(map(key, interpolated_scores(spark.read.parquet(str(tmp_path / "docs"))).collect()))
+
+
 def test_scores_odd_rows(spark, tmp_path):
     data.odd_documents(spark).write.parquet(str(tmp_path / "odd"))
     rows = interpolated_scores(spark.read.parquet(str(tmp_path / "odd"))).collect()

@@ -2,21 +2,25 @@
 
 A byte-pair agenda holds every candidate merge of neighbouring symbols, best
 score first and leftmost among equals. When a candidate is taken from the agenda
-a keyed hash of seed, variant, unit, merged piece and place says whether it is
-skipped; a skipped merge can come back only as another candidate, after a
-neighbour has changed. Short units go through their agendas side by side, one
-candidate of each a round, as rows of arrays. So segmentations vary with the seed and between the
-VARIANTS that documents are dealt to, are the same on every run and machine, and
-without dropout equal the library's. Characters outside the vocabulary, and the
-space mark itself where a text holds it, become byte pieces: decoding gives back
-every text.
+a keyed hash of seed, document, the unit's place in the document, merged piece and
+place in the unit says whether it is skipped; a skipped merge can come back only as
+another candidate, after a neighbour has changed. So every occurrence of a word is
+segmented by its own draws, the same on every run and machine, and without dropout
+as the library does. Characters outside the vocabulary, and the space mark itself
+where a text holds it, become byte pieces: decoding gives back every text.
 
 No piece of a vocabulary read here holds a space mark after another character or
 a line end, so merges never leave a unit (spaces and what follows them, up to the
-next space or line end), and each worker remembers the units that it has met.
-
-Edge cases: a null or empty text has no pieces, as in the library; the doc_id only picks the variant, null
-takes the first; repeated rows give repeated results; an empty table gives no
+next space or line end). A unit's run depends only on which of its events (candidates
+taken, in order) are skipped. Each worker remembers the runs that it has met as nodes
+of a tree: a node is a unit with the events skipped so far, and lists the events that
+follow; an occurrence whose draws skip none of these ends there, another one goes on
+to the node of the first that it skips. New nodes run side by side, one event of each
+a round, as rows of arrays; draws are arrays over all occurrences. Long units and
+those with unknown characters go through the agenda one by one.
+
+Edge cases: a null or empty text has no pieces, as in the library; a null doc_id
+draws as 0; rows of one doc_id and text give the same pieces; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -35,22 +38,34 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.text import mix, text_chunks
 
-SEED, DROPOUT, VARIANTS = 20240, 0.1, 2
-#: Units of a variant after which a Python worker starts a new memory; it keeps the one before, so frequent units stay.
-CACHE_UNITS = 150_000
+SEED, DROPOUT = 20240, 0.1
+#: Nodes after which a Python worker starts a new memory.
+CACHE_NODES = 400_000
 #: Symbols up to which units are merged side by side, in groups of no more symbols than these.
 SHORT_UNITS = (6, 9, 12, 16, 24, 40)
 MARK = "\u2581"
 #: Stands for a space mark of the text while merging: two characters, so no symbol of one character and no piece equals it.
 LITERAL = "\n\n"
 _UNITS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
-_SCATTER = 0x9E3779B1
+_FULL = (1 << 64) - 1
 _U = np.uint64
 
 
-def _draws(keys: np.ndarray, pieces: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The keyed hash of candidates, 32 bits: the unit's key, the merged piece's number and the place in the unit."""
-    return mix(mix(keys.astype(_U) << _U(32) ^ pieces.astype(_U)) + places.astype(_U)) >> _U(32)
+def _mixed(x: int) -> int:
+    """``mix`` of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _FULL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _FULL
+    return x ^ x >> 31
+
+
+def _event(piece: int, place: int) -> int:
+    """What a candidate adds to its draw."""
+    return _mixed(piece << 32 | place)
+
+
+def occurrence_keys(seed: int, doc: int, n: int) -> np.ndarray:
+    """The keys of a document's units, by their places; the draw of an event is the high half of mix(key ^ event)."""
+    return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(_mixed(_mixed(seed) + doc & _FULL)))
 
 
 class PieceCodec:
@@ -77,8 +92,7 @@ class PieceCodec:
             raise ValueError("the model has no byte pieces")
         self.kind = "H" if n <= 1 << 16 else "I"
         self._number_symbols(n)
-        #: By variant, the units met lately and those met before them.
-        self.known: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self._forget()
 
     def _number_symbols(self, n: int) -> None:
         """Numbers of characters, and a sorted table of the pairs of symbols that are a piece together.
@@ -97,22 +111,45 @@ class PieceCodec:
         self.of_char[32], self.of_char[ord(MARK)] = numbers.get(MARK, self.symbols - 1), self.symbols - 1
         rank = {score: k for k, score in enumerate(sorted(set(self.scores.values())))}
         rows = [(numbers[p[:k]] * self.symbols + numbers[p[k:]], rank[self.scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in numbers and p[k:] in numbers]
-        self.pairs, self.ranks, self.merged = (np.array(c, t) for c, t in zip(zip(*sorted(rows)) if rows else ((-1,), (-1,), (-1,)), (np.int64, np.int32, np.int32)))
+        pairs, ranks, merged = (np.array(c, t) for c, t in zip(zip(*sorted(rows)) if rows else ((-1,), (-1,), (-1,)), (np.int64, np.int32, np.int32)))
+        # An open table: a pair stands at its slot or, where that is taken, at the next free one.
+        self.shift = 64 - max(8, (16 * len(pairs)).bit_length())
+        self.pairs = np.full((1 << 64 - self.shift) + len(pairs), -1, np.int64)
+        self.ranks, self.merged = np.full(len(self.pairs), -1, np.int32), np.zeros(len(self.pairs), np.int32)
+        for at, pair, rank, number in zip(self._slots(pairs).tolist(), pairs.tolist(), ranks.tolist(), merged.tolist()):
+            while self.pairs[at] >= 0:
+                at += 1
+            self.pairs[at], self.ranks[at], self.merged[at] = pair, rank, number
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(self.shift)).astype(np.int64)
 
     def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and number of the piece that each pair would be; rank -1 where it is none."""
         wanted = left.astype(np.int64) * self.symbols + right
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.ranks[at], -1).astype(np.int32), self.merged[at]
-
-    def _key(self, unit: str, variant: int) -> int:
-        return zlib.crc32(unit.encode(), zlib.crc32(f"{self.seed}/{variant}".encode()))
-
-    def _side_by_side(self, units: list[str], variant: int) -> list[bytes | None]:
-        """The ids of units of at most SHORT_UNITS symbols; None for units with characters that are no piece."""
+        at = self._slots(wanted)
+        open_ = np.flatnonzero((self.pairs[at] != wanted) & (self.pairs[at] >= 0))
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[(self.pairs[at[open_]] != wanted[open_]) & (self.pairs[at[open_]] >= 0)]
+        return self.ranks[at], self.merged[at]
+
+    def _forget(self) -> None:
+        #: Root node by unit, child by (node, event); of each node its unit and skipped events, its ids, and its events in ``events``.
+        self.roots: dict[str, int] = {}
+        self.children: dict[tuple[int, int], int] = {}
+        self.made: list[tuple[str, tuple[int, ...]]] = []
+        self.results: list[bytes] = []
+        self.events, self.begins = np.zeros(0, _U), np.zeros(1, np.int64)
+
+    def _run(self, nodes: list[tuple[str, tuple[int, ...]]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+        """The ids of units and skipped events, None for units with characters that are no piece; the others' events after the last skipped one, node after node, and their numbers by node."""
+        units = [u for u, _ in nodes]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         chars = self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         begins, out = np.cumsum(sizes) - sizes, [None] * len(units)
+        none = np.zeros(0, np.int64)
+        events: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none.astype(_U))]
         for low, width in zip((0, *SHORT_UNITS), SHORT_UNITS):
             chosen = np.flatnonzero((sizes > low) & (sizes <= width))
             if not len(chosen):
@@ -127,14 +164,19 @@ class PieceCodec:
             agenda, piece = np.full((m, width + 1), -1, np.int32), np.zeros((m, width + 1), np.int32)
             both = inside[:, 1:]
             agenda[:, :-1][both], piece[:, :-1][both] = self._offers(own[:, :-1][both], own[:, 1:][both])
-            keys = np.fromiter((self._key(units[i], variant) for i in chosen.tolist()), _U, m)
-            alive, rows = inside.copy(), np.arange(m)
+            skips = [nodes[i][1] for i in chosen.tolist()]
+            first = np.array([x[-1] + 1 if x else 0 for x in skips])
+            skip = np.zeros((m, max(first.max(), 1)), bool)
+            skip[np.repeat(np.arange(m), [len(x) for x in skips]), [e for x in skips for e in x]] = True
+            alive, rows, turn, met = inside.copy(), np.arange(m), 0, []
             while len(rows):
                 i = agenda[rows].argmax(1)
                 open_ = agenda[rows, i] >= 0
                 rows, i = rows[open_], i[open_]
                 new = piece[rows, i]
-                skipped = _draws(keys[rows], new, i) < self.bar
+                met.append((rows, new, i))
+                skipped = skip[rows, turn] if turn < skip.shape[1] else np.zeros(len(rows), bool)
+                turn += 1
                 agenda[rows[skipped], i[skipped]] = -1
                 r, i, new = rows[~skipped], i[~skipped], new[~skipped]
                 j = following[r, i]
@@ -144,19 +186,56 @@ class PieceCodec:
                 agenda[r, i], piece[r, i] = self._offers(new, own[r, after])
                 rank, number = self._offers(own[r, prior], new)
                 agenda[r, prior], piece[r, prior] = rank, number
+            at, new, i = (np.concatenate(c) for c in zip(*met))
+            turns = np.repeat(np.arange(len(met)), [len(r) for r, *_ in met])
+            later = turns >= first[at]
             known = ~(alive & (own >= len(self.raw))).any(1)
+            later &= known[at]
+            events.append((chosen[at[later]], turns[later], mix(new[later].astype(_U) << _U(32) | i[later].astype(_U))))
             flat = own[alive].astype("<u2" if self.kind == "H" else "<u4")
-            ends = np.cumsum(alive.sum(1)) * flat.itemsize
+            bounds = [0, *(np.cumsum(alive.sum(1)) * flat.itemsize).tolist()]
             data = flat.tobytes()
-            for k, good, a, b in zip(chosen.tolist(), known.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            for number, good, a, b in zip(chosen.tolist(), known.tolist(), bounds, bounds[1:]):
                 if good:
-                    out[k] = data[a:b]
-        return out
-
-    def segment(self, unit: str, variant: int = 0) -> list[str]:
-        """The pieces of one unit of any length, spaces as marks; a mark in the text itself stays apart, as LITERAL."""
+                    out[number] = data[a:b]
+        at, turns, drawn = (np.concatenate(c) for c in zip(*events))
+        return out, drawn[np.lexsort((turns, at))], np.bincount(at, minlength=len(units))
+
+    def _add(self, nodes: list[tuple[str, tuple[int, ...]]]) -> list[int]:
+        """Numbers of new nodes; -1 for units that go one by one."""
+        if not nodes:
+            return []
+        ids, events, counts = self._run(nodes)
+        known = np.array([data is not None for data in ids])
+        numbers = np.where(known, len(self.made) + np.cumsum(known) - 1, -1).tolist()
+        self.made += [node for node, data in zip(nodes, ids) if data is not None]
+        self.results += [data for data in ids if data is not None]
+        self.events = np.concatenate([self.events, events])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[known])])
+        return numbers
+
+    def _settle(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The last node of each occurrence, from its root and key."""
+        nodes, rows = nodes.copy(), np.flatnonzero(nodes >= 0)
+        while self.bar and len(rows):
+            begin = self.begins[nodes[rows]]
+            n = self.begins[nodes[rows] + 1] - begin
+            owner = np.repeat(np.arange(len(rows)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            skipped = np.flatnonzero((mix(keys[rows][owner] ^ self.events[begin[owner] + place]) >> _U(32)) < self.bar)
+            own, first = np.unique(owner[skipped], return_index=True)
+            rows, place = rows[own], place[skipped[first]]
+            branch, back = np.unique(nodes[rows] << 16 | place, return_inverse=True)
+            pairs = [(b >> 16, b & 0xFFFF) for b in branch.tolist()]
+            new = [p for p in pairs if p not in self.children]
+            made = [(self.made[v][0], (*self.made[v][1], (self.made[v][1][-1] + 1 if self.made[v][1] else 0) + e)) for v, e in new]
+            self.children.update(zip(new, self._add(made)))
+            nodes[rows] = np.array([self.children[p] for p in pairs], np.int64)[back]
+        return nodes
+
+    def segment(self, unit: str, key: int | None = None) -> list[str]:
+        """The pieces of one unit of any length, spaces as marks, by its key's draws (none: nothing is skipped); a mark in the text itself stays apart, as LITERAL."""
         symbols: list[str | None] = [MARK if c == " " else LITERAL if c == MARK else c for c in unit]
-        key = np.array([self._key(unit, variant)], _U)
         n = len(symbols)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         scores, agenda = self.scores, []
@@ -173,7 +252,7 @@ class PieceCodec:
             _, i, j, merged = heapq.heappop(agenda)
             if symbols[i] is None or j >= n or symbols[j] is None or following[i] != j or symbols[i] + symbols[j] != merged:
                 continue
-            if self.bar and int(_draws(key, np.array([self.ids[merged]]), np.array([i]))[0]) < self.bar:
+            if key is not None and _mixed(key ^ _event(self.ids[merged], i)) >> 32 < self.bar:
                 continue
             symbols[i], symbols[j] = merged, None
             following[i] = following[j]
@@ -184,9 +263,9 @@ class PieceCodec:
                 offer(before[i], i)
         return [s for s in symbols if s is not None]
 
-    def _unit_ids(self, unit: str, variant: int) -> bytes:
+    def _unit_ids(self, unit: str, key: int | None) -> bytes:
         out: list[int] = []
-        for piece in self.segment(unit, variant):
+        for piece in self.segment(unit, key):
             number = self.ids.get(piece)
             if number is None:
                 out += [self.byte_ids[b] for b in (MARK if piece == LITERAL else piece).encode()]
@@ -194,31 +273,29 @@ class PieceCodec:
                 out.append(number)
         return array(self.kind, out).tobytes()
 
-    def _learn(self, units: list[str], variant: int) -> None:
-        """Put distinct units into the variant's memory."""
-        if not units:
-            return
-        young, old = self.known[variant]
-        young.update((u, old[u]) for u in units if u in old)
-        new = [u for u in units if u not in old]
-        short = [u for u in new if len(u) <= SHORT_UNITS[-1]]
-        young.update((u, ids) for u, ids in zip(short, self._side_by_side(short, variant)) if ids is not None)
-        young.update((u, self._unit_ids(u, variant)) for u in new if u not in young)
-
-    def encode_all(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """The ids of each text, in the variant given for it."""
+    def encode_all(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
+        """The ids of each text, drawn for its document."""
+        if len(self.made) > CACHE_NODES:
+            self._forget()
         units = [_UNITS.findall(" " + text) if text else [] for text in texts]
-        for variant in set(variants):
-            young, _ = self.known.setdefault(variant, ({}, {}))
-            self._learn(list(set().union(*(u for u, v in zip(units, variants) if v == variant)) - young.keys()), variant)
-        out = [np.frombuffer(b"".join(map(self.known[v][0].__getitem__, u)), np.dtype(self.kind)) for u, v in zip(units, variants)]
-        for variant in set(variants):
-            if len(self.known[variant][0]) > CACHE_UNITS:
-                self.known[variant] = {}, self.known[variant][0]
-        return out
-
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        return self.encode_all([text], [variant])[0]
+        new = [u for u in set().union(*units) if u not in self.roots]
+        short = [u for u in new if len(u) <= SHORT_UNITS[-1]]
+        self.roots.update(dict.fromkeys(new, -1))
+        self.roots.update(zip(short, self._add([(u, ()) for u in short])))
+        flat = [u for own in units for u in own]
+        keys = np.concatenate([np.zeros(0, _U), *(occurrence_keys(self.seed, doc, len(own)) for doc, own in zip(docs, units))])
+        nodes = self._settle(np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat)), keys)
+        parts = [self.results[v] if v >= 0 else b"" for v in nodes.tolist()]
+        for i in np.flatnonzero(nodes < 0).tolist():
+            parts[i] = self._unit_ids(flat[i], int(keys[i]) if self.bar else None)
+        for u in new:
+            if len(u) > SHORT_UNITS[-1]:
+                del self.roots[u]
+        ends = np.cumsum([0, *map(len, units)]).tolist()
+        return [np.frombuffer(b"".join(parts[a:b]), np.dtype(self.kind)) for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode(self, text: str, doc: int = 0) -> np.ndarray:
+        return self.encode_all([text], [doc])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text; the dummy prefix's space is taken off."""
@@ -242,8 +319,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, seed, dropout)
         for part in text_chunks(batches):
-            variants = [(doc or 0) * _SCATTER % (1 << 32) * VARIANTS >> 32 for doc in part.column("doc_id").to_pylist()]
-            found = own.encode_all(part.column("text").to_pylist(), variants)
+            found = own.encode_all(part.column("text").to_pylist(), [doc or 0 for doc in part.column("doc_id").to_pylist()])
             ids, decoded = [x.astype("<u4").tobytes() for x in found], [own.decode(x) for x in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
