@@ -59,8 +59,8 @@ from weftspark.llm.text import mix, shingle_sets, text_chunks, words
 SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
 FIRST_BAND, BAND_GROWTH = 64, 4
-#: Members of a group up to which its cell counts as rare; leaders of the first round over larger groups, and how often more each later round has.
-SMALL_GROUP, LEADERS = 32, 32
+#: Members of a group up to which its cell counts as rare; leaders of the first round over larger groups, and the root of how often more each later round has.
+SMALL_GROUP, LEADERS = 32, 64
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
@@ -291,7 +291,7 @@ def _led_pairs(held: DataFrame, turn: int, done: DataFrame) -> tuple[DataFrame,
 
     A leader is the member with the least excess of a salted part of its group; the parts grow in number with the rounds.
     """
-    parts = min(1 << 40, LEADERS ** (turn + 1))
+    parts = min(1 << 40, LEADERS ** (2 * turn + 1))
     best = held.groupBy("token", F.pmod(F.xxhash64(*NODE), F.lit(parts)).alias("part")).agg(F.min(F.struct("excess", *NODE, "class", *SHORT)).alias("first"))
     leaders = written(best.select("token", "first.*"), "leaders")
     lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("excess").alias("ea"), *(F.col(c).alias(f"{c}_a") for c in SHORT))
@@ -350,9 +350,10 @@ def link_components(docs: DataFrame) -> DataFrame:
         if held.isEmpty():
             break
         pairs, groups = _led_pairs(held, turn, done)
-        done = written(done.union(pairs), "done")
-        links = _verify(own, pairs)
         turn += 1
+        if pairs.isEmpty():
+            continue
+        done, links = done.union(pairs), _verify(own, pairs)
         if not links.isEmpty():
             component, waiting = _joined(component, links.union(waiting)), waiting.limit(0)
     component = _joined(component, waiting)
