@@ -1 +1 @@
-"""Package."""
+"""Column functions over paths and texts."""

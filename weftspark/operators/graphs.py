@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """node and the least number of edges from a root, up to ``hops``; edges(src, dst), roots(node).
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the cluster's checkpoint folder; a local folder only where none is set and the master is local."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="weft-graph-"))
+    return df.checkpoint()
+
+
+def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
+    """node and the least number of edges from a root; edges(src, dst), roots(node). Without ``hops`` until nothing new is reached.
 
-    Each round joins only the newest frontier, and drops nodes reached before.
+    Each round joins only the newest frontier, drops nodes reached before, and is settled before the next.
     """
-    known = roots.select("node", F.lit(0).alias("hops")).distinct()
-    frontier = known
-    for k in range(1, hops + 1):
+    edges = settled(edges.select("src", "dst"))
+    frontier = known = settled(roots.select("node", F.lit(0).alias("hops")).distinct())
+    k = 0
+    while k != hops:
+        k += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(known.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"))
+        frontier = settled(step.join(known.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops")))
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known
 

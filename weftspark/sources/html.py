@@ -12,22 +12,37 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+#: Elements whose text is their name or label; the text of others is not kept.
+NAMED = frozenset("a button caption h1 h2 h3 h4 h5 h6 label legend option summary title".split())
+
+
 class _Elements(HTMLParser):
-    """Elements with the ids of their open ancestors; an end tag closes what is open up to its element."""
+    """Elements with their attributes and open ancestors; an end tag closes what is open up to its element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[int, str, int, list[int], int]] = []
+        self.rows: list[list] = []
         self.open: list[tuple[str, int]] = []
 
+    def _add(self, tag: str, attrs: list) -> int:
+        held = {}
+        for name, value in attrs:
+            held.setdefault(name, value or "")
+        self.rows.append([len(self.rows), tag, len(self.open), [i for _, i in self.open], self.getpos()[0], [t for t, _ in self.open], held, "" if tag in NAMED else None])
+        return len(self.rows) - 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        at = len(self.rows)
-        self.rows.append((at, tag, len(self.open), [i for _, i in self.open], self.getpos()[0]))
+        at = self._add(tag, attrs)
         if tag not in VOID:
             self.open.append((tag, at))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.rows.append((len(self.rows), tag, len(self.open), [i for _, i in self.open], self.getpos()[0]))
+        self._add(tag, attrs)
+
+    def handle_data(self, data: str) -> None:
+        for tag, at in self.open:
+            if tag in NAMED:
+                self.rows[at][7] += data
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -36,7 +51,7 @@ class _Elements(HTMLParser):
                 return
 
 
-def parse_elements(html: str) -> list[tuple[int, str, int, list[int], int]]:
+def parse_elements(html: str) -> list[list]:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
@@ -44,11 +59,16 @@ def parse_elements(html: str) -> list[tuple[int, str, int, list[int], int]]:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, elem_id, tag, depth, ancestors, line of ``pages(page_id, html)``."""
+    """page_id, elem_id, tag, depth, ancestors, line, above (tags of the ancestors), attrs (first of a name wins), text (of named elements) of ``pages(page_id, html)``.
+
+    Every page has a row: one without elements has a row without a tag.
+    """
+    names = ["page_id", "elem_id", "tag", "depth", "ancestors", "line", "above", "attrs", "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, *e) for p, h in zip(frame["page_id"], frame["html"]) for e in parse_elements(h)]
-            yield pd.DataFrame(rows, columns=["page_id", "elem_id", "tag", "depth", "ancestors", "line"])
+            for at in range(0, len(frame), 64):
+                part = frame.iloc[at : at + 64]
+                yield pd.DataFrame([(p, *e) for p, h in zip(part["page_id"], part["html"]) for e in parse_elements(h) or [[-1, None, 0, [], 0, [], {}, None]]], columns=names)
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, elem_id int, tag string, depth int, ancestors array<int>, line int")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, elem_id int, tag string, depth int, ancestors array<int>, line int, above array<string>, attrs map<string,string>, text string")
