@@ -61,3 +61,16 @@ def filtered(actionables: DataFrame, category: str | None = None, severity: str
         if value is not None:
             actionables = actionables.where(F.col(name) == value)
     return actionables
+
+
+def selected(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """Which package of a workspace is scanned, and how it was found: the one asked for, else the root, else the only one; else the caller is asked.
+
+    asked(workspace, wanted), own(workspace, package, root).
+    """
+    told = asked.join(own, "workspace", "left").groupBy("workspace").agg(
+        F.max(F.when(F.col("package") == F.col("wanted"), F.col("package"))).alias("hit"), F.min(F.when(F.col("root"), F.col("package"))).alias("top"), F.count("package").alias("n"), F.min("package").alias("one")
+    )
+    hit, top, only = F.col("hit").isNotNull(), F.col("top").isNotNull(), F.col("n") == 1
+    package = F.when(hit, F.col("hit")).when(top, F.col("top")).when(only, F.col("one"))
+    return told.select("workspace", package.alias("package"), F.when(hit, "requested").when(top, "root").when(only, "only").when(F.col("n") == 0, "none").otherwise("ask").alias("how"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftspark.functions import paths, texts
-from weftspark.operators import series, workspaces
+from weftspark.operators import scoring, series, workspaces
+from weftspark.plans import registry
 from weftspark.plans.registry import query
 from weftspark.sources.tables import table
 
@@ -273,3 +274,70 @@ def q79_element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.sources import html
 
     return elements.page_findings(html.elements(table(spark, sf_dir, "pages"))).select("page_id", "rule", "status")
+
+
+_REDIRECTS = ("http://@/a?x=1", "https://www.@/a?x=1", "https://@/a?x=1", "https://@/b", "https://evil.example/a?x=1", "ftp://@/a?x=1")
+
+
+@query(f"""WITH hops AS (SELECT c_custkey, 'https://shop' || c_nationkey || '.example/a?x=1' AS asked, replace(([{_sql_list(_REDIRECTS)}])[c_custkey % {len(_REDIRECTS)} + 1], '@', 'shop' || c_nationkey || '.example') AS went FROM customer)
+SELECT c_custkey, went, regexp_matches(went, '^https?://') AND regexp_replace(regexp_extract(asked, '^https?://([^/]+)', 1), '^www\\.', '') = regexp_replace(regexp_extract(went, '^https?://([^/]+)', 1), '^www\\.', '')
+ AND NOT (starts_with(asked, 'https:') AND starts_with(went, 'http:')) AND regexp_extract(asked, '^[a-z]+://[^/]+(.*)$', 1) = regexp_extract(went, '^[a-z]+://[^/]+(.*)$', 1) AS canonical FROM hops""")
+def q80_canonical_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.functions import urls
+
+    site = F.concat(F.lit("shop"), F.col("c_nationkey").cast("string"), F.lit(".example"))
+    went = F.replace(F.element_at(F.array(*map(F.lit, _REDIRECTS)), (F.col("c_custkey") % len(_REDIRECTS) + 1).cast("int")), F.lit("@"), site)
+    hops = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://"), site, F.lit("/a?x=1")).alias("asked"), went.alias("went"))
+    return hops.select("c_custkey", "went", urls.canonical_redirect(F.col("asked"), F.col("went")).alias("canonical"))
+
+
+@query("SELECT n_nationkey AS i, CAST(floor(110 + sin(1.15 * n_nationkey) * 36 + 9 * n_nationkey + 0.5) AS BIGINT) AS value, CAST(greatest(64, ceil(1.5 * n_nationkey * 10)) AS BIGINT) AS points FROM nation")
+def q81_skeleton_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(i.alias("i"), series.skeleton_value(i).alias("value"), series.render_points(i * 10).alias("points"))
+
+
+@query("""WITH own AS (SELECT p_brand AS workspace, p_partkey AS package, p_size % 7 = 0 AS root FROM part WHERE p_partkey % 9 = 0), asked AS (SELECT DISTINCT p_brand AS workspace, CASE WHEN substr(p_brand, -1) IN ('1', '2') THEN 9 END AS wanted FROM part),
+told AS (SELECT a.workspace, max(CASE WHEN package = wanted THEN package END) AS hit, min(CASE WHEN root THEN package END) AS top, count(package) AS n, min(package) AS one FROM asked a LEFT JOIN own o ON o.workspace = a.workspace GROUP BY a.workspace)
+SELECT workspace, CASE WHEN hit IS NOT NULL THEN hit WHEN top IS NOT NULL THEN top WHEN n = 1 THEN one END AS package, CASE WHEN hit IS NOT NULL THEN 'requested' WHEN top IS NOT NULL THEN 'root' WHEN n = 1 THEN 'only' WHEN n = 0 THEN 'none' ELSE 'ask' END AS how FROM told""")
+def q82_project_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    own = parts.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("workspace"), F.col("p_partkey").alias("package"), (F.col("p_size") % 7 == 0).alias("root"))
+    asked = parts.select(F.col("p_brand").alias("workspace"), F.when(F.substring("p_brand", -1, 1).isin("1", "2"), 9).alias("wanted")).distinct()
+    return workspaces.selected(asked, own)
+
+
+@query("""SELECT c_custkey, kind = 'User' AND NOT regexp_matches(name, '\\[bot\\]$') AND regexp_matches(url, '^https://avatars\\.example/') AND n > 0 AS valid, regexp_replace(url, '\\?.*$', '') || '?s=64' AS avatar
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Bot' ELSE 'User' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN c_name || '[bot]' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'https://other.example/u' ELSE 'https://avatars.example/u?v=4' END AS url, c_custkey % 11 - 2 AS n FROM customer)""")
+def q83_valid_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k, F.when(k % 7 == 0, "Bot").otherwise("User").alias("kind"), F.when(k % 5 == 0, F.concat("c_name", F.lit("[bot]"))).otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 3 == 0, "https://other.example/u").otherwise("https://avatars.example/u?v=4").alias("url"), (k % 11 - 2).alias("n"),
+    )
+    valid = (F.col("kind") == "User") & ~F.col("name").endswith("[bot]") & F.col("url").startswith("https://avatars.example/") & (F.col("n") > 0)
+    return rows.select("c_custkey", valid.alias("valid"), F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("?s=64")).alias("avatar"))
+
+
+_RELEASES_SQL = "releases AS (SELECT p_brand AS package, (p_size % 4) || '.' || (p_partkey % 10) || '.0' || CASE WHEN p_partkey % 6 = 0 THEN '-rc.1' ELSE '' END AS version, DATE '2023-01-01' + CAST(p_partkey % 400 AS INTEGER) AS day FROM part)"
+
+
+@query(f"WITH {_RELEASES_SQL} SELECT package, count(*) AS versions, count(*) FILTER (contains(version, '-')) AS prereleases, min(day) AS first_day, arg_max(version, (day, version)) AS last_version FROM releases GROUP BY package")
+def q84_release_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    version = F.concat((size % 4).cast("string"), F.lit("."), (k % 10).cast("string"), F.lit(".0"), F.when(k % 6 == 0, "-rc.1").otherwise(""))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), version.alias("version"), F.date_add(F.lit("2023-01-01").cast("date"), (k % 400).cast("int")).alias("day"))
+    return rows.groupBy("package").agg(F.count("*").alias("versions"), F.count_if(F.contains("version", F.lit("-"))).alias("prereleases"), F.min("day").alias("first_day"), F.max_by("version", F.struct("day", "version")).alias("last_version"))
+
+
+@query(f"""WITH {registry._FINDINGS_SQL}, {registry._ACTIONABLES_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY page_id, work_group) AS members FROM actionables),
+items AS (SELECT page_id, CASE WHEN work_group IS NOT NULL AND members >= 2 THEN work_group ELSE id END AS item, min(priority) AS priority, min(disposition) AS disposition, sum(impact) AS impact, count(*) AS n FROM sized GROUP BY ALL)
+SELECT page_id, item, priority, disposition, impact, n, row_number() OVER (PARTITION BY page_id ORDER BY priority, disposition, impact DESC, item) AS place FROM items""")
+def q85_scoped_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Members of groups of two or more are one item, all others stand alone.
+    rows = scoring.actionables(registry._findings(spark, sf_dir))
+    members = F.count("*").over(Window.partitionBy("page_id", "work_group"))
+    item = F.when(F.col("work_group").isNotNull() & (F.col("members") >= 2), F.col("work_group")).otherwise(F.col("id"))
+    items = rows.withColumn("members", members).groupBy("page_id", item.alias("item")).agg(F.min("priority").alias("priority"), F.min("disposition").alias("disposition"), F.sum("impact").alias("impact"), F.count("*").alias("n"))
+    by = Window.partitionBy("page_id").orderBy("priority", "disposition", F.desc("impact"), "item")
+    return items.withColumn("place", F.row_number().over(by).cast("long"))

@@ -329,11 +329,15 @@ def q31_cache_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat_ws("\x1f", "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment"), 256).alias("cache_key"))
 
 
-@query("SELECT source, count(*) AS entries, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ' ' || sha256(text) || ' ' || CAST(n_chars AS VARCHAR) || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("""WITH lines AS (SELECT source, doc_id, doc_id // 1000 AS part, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ' ' || sha256(text) || ' ' || CAST(n_chars AS VARCHAR) || chr(10) AS line FROM documents),
+parts AS (SELECT source, part, count(*) AS n, sha256(string_agg(line, '' ORDER BY doc_id)) AS digest FROM lines GROUP BY ALL)
+SELECT source, CAST(sum(n) AS BIGINT) AS entries, sha256(string_agg(digest, '' ORDER BY part)) AS digest FROM parts GROUP BY source""")
 def q32_manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The digest of the digests of id ranges, in order: a source of any size is never one string.
     line = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(" "), F.sha2("text", 256), F.lit(" "), F.col("n_chars").cast("string"), F.lit("\n"))
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", line.alias("line"))
-    return lines.groupBy("source").agg(F.count("*").alias("entries"), F.sha2(F.expr("listagg(line, '') within group (order by line)"), 256).alias("digest"))
+    lines = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("part"), line.alias("line"))
+    parts = lines.groupBy("source", "part").agg(F.count("*").alias("n"), F.sha2(F.expr("listagg(line, '') within group (order by line)"), 256).alias("digest"))
+    return parts.groupBy("source").agg(F.sum("n").alias("entries"), F.sha2(F.expr("listagg(digest, '') within group (order by part)"), 256).alias("digest"))
 
 
 _PATH_SQL = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
@@ -382,8 +386,8 @@ def q35_greedy_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS running, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) <= 60000 AS within FROM documents")
 def q36_running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", running.alias("running"), (running <= 60_000).alias("within"))
+    running = series.running_total(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
+    return running.select("source", "doc_id", "running", (F.col("running") <= 60_000).alias("within"))
 
 
 @query("SELECT p_type, p_partkey, dropped FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS place, greatest(count(*) OVER (PARTITION BY p_type) - 25, 0) AS dropped FROM part) WHERE place <= 25")
