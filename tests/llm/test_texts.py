@@ -186,6 +186,22 @@ def test_webp_decodes_every_feature():
             webp.decode(broken)
 
 
+def test_webp_decodes_alike_side_by_side_and_symbol_by_symbol(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) + b" " for n in rng.integers(2, 9, 300)]
+    cases = [rng.integers(0, 256, 576 * 140), np.full(576 * 40, 7), np.repeat([3, 9], 576 * 20), np.frombuffer(b"".join(words[i] for i in (rng.zipf(1.3, 40000) % 300))[: 576 * 200], np.uint8)]
+    cases = [c.astype(np.uint8) for c in cases]
+    files = [webp.encode_samples(c, 576) for c in cases]
+    grey = np.zeros((20, 24, 4), np.uint8)
+    grey[..., 1], grey[..., 3] = rng.integers(0, 256, (20, 24)) % 40, 9
+    files.append(webp.encode(grey, (), 3, True))
+    side_by_side = [webp.decode(f) for f in files]
+    monkeypatch.setattr(webp, "_green_pixels", lambda *_: None)
+    for a, f in zip(side_by_side, files):
+        assert (a == webp.decode(f)).all()
+    assert all((a[..., 1].reshape(-1) == c).all() for a, c in zip(side_by_side, cases)) and (side_by_side[-1] == grey).all()
+
+
 def test_media_files_use_palette_cache_and_copies(monkeypatch):
     """What the decoder meets in a file of the query: the transform, the cache bits, and fewer symbols than samples."""
     text = np.frombuffer((b"some words and some more words, and again some words. " * 40)[:1728], np.uint8)

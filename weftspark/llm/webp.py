@@ -4,16 +4,17 @@ Written from the public specification of the lossless bitstream. Pixels are
 (height, width, 4) arrays of 8-bit red, green, blue, alpha. The decoder reads
 prefix codes (simple and normal), meta prefix images, back-references with the
 two-dimensional short distances, the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms, one table-driven loop over the
-symbols for every file. ``encode_samples`` writes a row of 8-bit samples as a palette
+cross-colour, subtract-green and palette transforms. Where one colour alone takes bits,
+symbols are looked up at every bit position by array operations and then followed from
+one to the next; other images are read symbol by symbol. ``encode_samples`` writes a row of 8-bit samples as a palette
 image with matches, colour cache and fitted prefix codes, made by array operations;
 ``encode`` takes any pixels and transforms.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -32,8 +33,15 @@ _NEAR = (
     (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 _HASH = 0x1E35A7BD
+#: An odd number whose products spread keys over the upper bits.
+_SPREAD = 0x9E3779B97F4A7C15
 #: Longest code of ``encode_samples``, colour cache bits, and least and greatest length of its matches.
-MOST_BITS, CACHE_BITS, LEAST_MATCH, MOST_MATCH = 11, 7, 6, 128
+MOST_BITS, CACHE_BITS, LEAST_MATCH, MOST_MATCH = 11, 9, 8, 4096
+#: Extra bits of the prefix symbols of lengths and distances, and a number above the bits of any code and its extra bits.
+_EXTRA, COPY = np.maximum(np.arange(40) - 2 >> 1, 0), 128
+_BEFORE = np.concatenate([np.zeros(256, np.uint8), (_EXTRA[:24] + COPY).astype(np.uint8), np.zeros(1 << 11, np.uint8)])
+#: Bytes whose bit positions are looked up at a time.
+AHEAD = 1 << 15
 
 
 class BitReader:
@@ -52,24 +60,39 @@ class BitReader:
         return value
 
 
+@cache
+def _reversed(bits: int) -> np.ndarray:
+    """The numbers of ``bits`` bits, each with its bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+@cache
+def _reversed_list() -> list[int]:
+    return _reversed(15).tolist()
+
+
 class PrefixCode:
-    """A canonical code as a table from the next bits to 16 times a symbol, plus its length."""
-
-    def __init__(self, lengths: list[int]):
-        used = sorted([(n, s) for s, n in enumerate(lengths) if n])
-        self.only = used[0][1] if len(used) == 1 else None if used else 0
-        self.bits = 0 if self.only is not None else used[-1][0]
-        if self.only is not None:
-            self.table = [self.only << 4]
+    """A canonical code as an array from the next bits to 16 times a symbol, plus its length."""
+
+    def __init__(self, used: list[tuple[int, int]]):
+        """``used`` holds (length, symbol)."""
+        used = sorted(used)
+        if len(used) < 2:
+            self.only, self.bits = used[0][1] if used else 0, 0
+            self.array = np.full(1, self.only << 4, np.uint16)
             return
-        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        if sum([1 << 15 - n for n, _ in used]) != 1 << 15:
             raise ValueError("the prefix code is not complete")
-        table, code, before = np.zeros(1 << self.bits, np.int32), 0, used[0][0]
-        for n, s in used:
-            code <<= n - before
-            table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = s << 4 | n
-            code, before = code + 1, n
-        self.table = table.tolist()
+        self.only, self.bits = None, used[-1][0]
+        entries = np.array([s << 4 | n for n, s in used], np.uint16)
+        self.array = np.repeat(entries, [1 << self.bits - n for n, _ in used])[_reversed(self.bits)]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
 
     def read(self, bits: BitReader) -> int:
         entry = self.table[bits.peek(self.bits)]
@@ -79,6 +102,11 @@ class PrefixCode:
         return entry >> 4
 
 
+@cache
+def _single_code(symbol: int) -> PrefixCode:
+    return PrefixCode([(1, symbol)])
+
+
 def _read_code(bits: BitReader, size: int) -> PrefixCode:
     if bits.read(1):
         two = bits.read(1)
@@ -87,14 +115,13 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
             symbols.append(bits.read(8))
         if max(symbols) >= size:
             raise ValueError("a symbol is beyond its alphabet")
-        lengths = [0] * (max(symbols) + 1)
-        for s in symbols:
-            lengths[s] = 1
-        return PrefixCode(lengths)
+        if not two:
+            return _single_code(symbols[0])
+        return PrefixCode([(1, s) for s in set(symbols)])
     of_lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
-    lengths, code = [0] * size, PrefixCode(of_lengths)
+    used, code = [], PrefixCode([(n, s) for s, n in enumerate(of_lengths) if n])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last, table, mask = 0, 8, code.table, (1 << code.bits) - 1
     ahead = held = 0
@@ -109,8 +136,9 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
         held -= n
         bits.at += n
         if s < 16:
-            lengths[at] = s
-            last = s or last
+            if s:
+                used.append((s, at))
+                last = s
             at += 1
             continue
         value, extra, least = ((last, 2, 3), (0, 3, 3), (0, 7, 11))[s - 16]
@@ -118,9 +146,110 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
         held = 0
         if at + n > size:
             raise ValueError("the code lengths run over")
-        lengths[at : at + n] = [value] * n
+        if value:
+            used += [(value, i) for i in range(at, at + n)]
         at += n
-    return PrefixCode(lengths)
+    return PrefixCode(used)
+
+
+def _prefix_values(symbols: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols, by the bits after these, and how many of the bits they take."""
+    extra = _EXTRA[symbols]
+    return np.where(symbols < 4, symbols, (2 + (symbols & 1) << extra) + (ahead & (1 << extra) - 1)) + 1, extra
+
+
+def _green_symbols(bits: BitReader, green: PrefixCode, far: PrefixCode, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of ``total`` pixels of which green alone takes bits, with the pixels that each makes and, for copies, its distance symbol's value.
+
+    What would start at each bit position of a part is looked up side by side; the true starts are those met from the first on.
+    """
+    data, start, found, made = np.frombuffer(bits.data, np.uint8), bits.at, [], 0
+    # Bits of a symbol; of a copy those before its distance code, plus COPY, and those from there on.
+    taken = (green.array & 15).astype(np.uint8) + _BEFORE[green.array >> 4]
+    onward = (far.array & 15).astype(np.uint8) + _EXTRA.astype(np.uint8)[far.array >> 4]
+    while made < total:
+        if start >= bits.end:
+            raise ValueError("the image data is cut off")
+        first = start >> 3
+        part = np.zeros(min(AHEAD, len(data) - first) + 8, np.uint8)
+        part[: len(data) - first] = data[first : first + len(part)]
+        eight = np.ndarray(len(part) - 8, "<i8", part, strides=(1,))
+        ahead = (eight[:, None] >> np.arange(8)).reshape(-1)
+        step = taken[ahead & (1 << green.bits) - 1]
+        copies = np.flatnonzero(step >= COPY)
+        before = step[copies] - np.uint8(COPY)
+        step[copies] = before + onward[ahead[copies] >> before & (1 << far.bits) - 1]
+        steps, at, own, limit = step.tobytes(), start & 7, [], len(step)
+        while at < limit:
+            own.append(at)
+            at += steps[at]
+        own, start = np.array(own), 8 * first + at
+        ahead = ahead[own]
+        entry = green.array[ahead & (1 << green.bits) - 1].astype(np.int64)
+        symbol = entry >> 4
+        makes, back = np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+        copied = np.flatnonzero((symbol > 255) & (symbol < 280))
+        rest = ahead[copied] >> (entry[copied] & 15)
+        makes[copied], used = _prefix_values(symbol[copied] - 256, rest)
+        rest >>= used
+        entry = far.array[rest & (1 << far.bits) - 1].astype(np.int64)
+        back[copied] = _prefix_values(entry >> 4, rest >> (entry & 15))[0]
+        ends = made + np.cumsum(makes)
+        if (made := int(ends[-1])) >= total:
+            last = int(np.searchsorted(ends, total))
+            if ends[last] > total:
+                raise ValueError("a back-reference leaves the image")
+            start = 8 * first + int(own[last]) + steps[own[last]]
+            symbol, makes, back = symbol[: last + 1], makes[: last + 1], back[: last + 1]
+        found.append((symbol, makes, back))
+    bits.at = start
+    if start > bits.end:
+        raise ValueError("the image data is cut off")
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _green_pixels(symbols: np.ndarray, makes: np.ndarray, back: np.ndarray, width: int, fixed: int, cache_bits: int) -> np.ndarray | None:
+    """The pixels of ``_green_symbols``; None if a place of the colour cache is read before a colour is in it."""
+    plain = np.flatnonzero((symbols < 256) | (symbols >= 280))
+    values = symbols[plain]
+    literal = values < 256
+    several = np.zeros(len(plain), bool)
+    if not literal.all():
+        slots = (_HASH * (fixed | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - cache_bits)
+        first, owner, owners = np.full(1 << cache_bits, len(plain)), np.zeros(1 << cache_bits, np.int64), {}
+        at = np.flatnonzero(literal)[::-1]
+        first[slots[values[at]]] = at
+        for v in np.unique(values[literal]).tolist():
+            owner[slots[v]] = v
+            owners.setdefault(int(slots[v]), []).append(v)
+        read = np.flatnonzero(~literal)
+        if (first[values[read] - 280] > read).any():
+            return None
+        # Colours get into the cache as literals first. Where a place has had several, the last one of the pixels counts.
+        crowded = np.zeros(1 << cache_bits, bool)
+        crowded[[slot for slot, colours in owners.items() if len(colours) > 1]] = True
+        several[read] = crowded[values[read] - 280]
+        values = np.where(literal, values, owner[np.maximum(values - 280, 0)])
+    given, out, sent = values.astype(np.uint8).tobytes(), bytearray(), 0
+    near = np.array([max(1, x + y * width) for x, y in _NEAR])
+    event = (makes > 0) & (symbols > 255) & (symbols < 280)
+    event[plain[several]] = True
+    place = np.flatnonzero(event)
+    before = np.searchsorted(plain, place)
+    distance = np.where(back[place] > 120, back[place] - 120, near[np.clip(back[place], 1, 120) - 1])
+    for upto, symbol, n, d in zip(before.tolist(), symbols[place].tolist(), makes[place].tolist(), distance.tolist()):
+        out += given[sent:upto]
+        sent = upto
+        if symbol >= 280:
+            out.append(max(owners[symbol - 280], key=out.rfind))
+            sent += 1
+            continue
+        at = len(out)
+        if d > at:
+            raise ValueError("a back-reference leaves the image")
+        out += out[at - d : at - d + n] if d >= n else (out[at - d :] * (n // d + 1))[:n]
+    out += given[sent:]
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
 
 
 def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -139,7 +268,16 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         codes = [_read_code(bits, size) for size in sizes]
         # Where three colours take no bits, a literal is one look-up.
         fixed = None if any(c.bits for c in codes[1:4]) else codes[3].only << 24 | codes[1].only << 16 | codes[2].only
-        groups.append((codes, codes[0].table, (1 << codes[0].bits) - 1, fixed))
+        groups.append((codes, fixed))
+    codes, fixed = groups[0]
+    # Copies take up to 28 bits beside those of their two codes; 57 are looked ahead.
+    if main and not blocks and fixed is not None and codes[0].bits and codes[0].bits + codes[4].bits <= 29:
+        start = bits.at
+        pixels = _green_pixels(*_green_symbols(bits, codes[0], codes[4], width * height), width, fixed, cache_bits)
+        if pixels is not None:
+            return pixels
+        bits.at = start
+    groups = [(codes, codes[0].table, (1 << codes[0].bits) - 1, fixed) for codes, fixed in groups]
     total, shade = width * height, 32 - cache_bits
     out, cache, slots = [0] * total, [0] * (1 << cache_bits), {}
     at = 0
@@ -162,8 +300,8 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         if s < 256:
             if fixed is None:
                 bits.at, held = place, 0
-                r, b = codes[1].read(bits), codes[2].read(bits)
-                v = codes[3].read(bits) << 24 | r << 16 | s << 8 | b
+                r, b, a = [c.read(bits) if c.bits else c.only for c in codes[1:4]]
+                v = a << 24 | r << 16 | s << 8 | b
                 place = bits.at
             else:
                 v = fixed | s << 8
@@ -349,25 +487,33 @@ class BitWriter:
 def _code_lengths(counts: list[int], limit: int) -> list[int]:
     """Lengths of a prefix code for these counts; counts are flattened until no length passes the limit."""
     lengths = [0] * len(counts)
-    used = [s for s, n in enumerate(counts) if n]
+    used = np.flatnonzero(counts).tolist()
     if len(used) < 2:
         for s in used:
             lengths[s] = 1
         return lengths
-    weights = [counts[s] for s in used]
+    used.sort(key=counts.__getitem__)
+    weights, size = [counts[s] for s in used], len(used)
     while True:
-        heap = [(n, i) for i, n in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, made = [0] * (2 * len(used)), len(used)
-        while len(heap) > 1:
-            (n, i), (m, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = made
-            heapq.heappush(heap, (n + m, made))
-            made += 1
+        # Sorted weights and the sums of pairs, which come in order too.
+        parent, sums, leaf, joined = [0] * (2 * size - 1), [], 0, 0
+        for made in range(size, 2 * size - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < size and (joined == len(sums) or weights[leaf] <= sums[joined]):
+                    total += weights[leaf]
+                    parent[leaf] = made
+                    leaf += 1
+                else:
+                    total += sums[joined]
+                    parent[size + joined] = made
+                    joined += 1
+            sums.append(total)
+        made = 2 * size - 1
         depth = [0] * made
         for i in range(made - 2, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(used)]) <= limit:
+        if max(depth[:size]) <= limit:
             for s, n in zip(used, depth):
                 lengths[s] = n
             return lengths
@@ -376,14 +522,13 @@ def _code_lengths(counts: list[int], limit: int) -> list[int]:
 
 def _codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol to (code with its first bit lowest, length)."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    used = sorted([(n, s) for s, n in enumerate(lengths) if n])
     if len(used) == 1:
         return {used[0][1]: (0, 0)}
-    out, code, before = {}, 0, 0
+    turned, place, out = _reversed_list(), 0, {}
     for n, s in used:
-        code <<= n - before
-        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
-        code, before = code + 1, n
+        out[s] = turned[place], n
+        place += 1 << 15 - n
     return out
 
 
@@ -397,7 +542,7 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
         return
     # Runs of zeros from three on are one symbol with their length.
     items, at = [], 0
-    for s in [*(s for s, n in enumerate(lengths) if n), len(lengths)]:
+    for s in [*used, len(lengths)]:
         while s - at > 2:
             run = min(s - at, 138)
             items.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
@@ -416,9 +561,12 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
     for s in _LENGTH_ORDER:
         bits.put(own[s], 3)
     bits.put(0, 1)
+    value = held = 0
     for s, extra, n in items:
-        bits.put(*codes[s])
-        bits.put(extra, n)
+        code, size = codes[s]
+        value |= (code | extra << size) << held
+        held += size + n
+    bits.put(value, held)
 
 
 def _symbol_of(value: int) -> tuple[int, int, int]:
@@ -518,37 +666,35 @@ def _matches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if n < 2:
         return none, none, none
-    key = np.zeros(n, np.uint64)
-    for k in range(LEAST_MATCH):
-        key = key << np.uint64(8) | values[k : k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    before = np.full(n, -1)
-    before[order[1:][same]] = order[:-1][same]
-    at = np.flatnonzero(before >= 0)
-    source = before[at]
-    # Eight values at a time; each place beyond the end differs from all others.
-    padded = np.concatenate([values.astype(np.uint8), np.zeros(MOST_MATCH + 8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    eight = np.ascontiguousarray(eight).view("<u8").reshape(-1)
-    length, left = np.zeros(len(at), np.int64), np.arange(len(at))
-    for k in range(0, MOST_MATCH, 8):
-        apart = eight[at[left] + k] ^ eight[source[left] + k]
-        same = apart == 0
-        ended = left[~same]
-        lowest = (apart & (~apart + np.uint64(1)))[~same]
-        length[ended] = k + (np.frexp(lowest.astype(np.float64))[1] - 1 >> 3)
-        left = left[same]
-        if not len(left):
-            break
-    length[left] = MOST_MATCH
-    length = np.minimum(length, len(values) - at)
-    taken, free = [], 0
-    for i, (start, n) in enumerate(zip(at.tolist(), length.tolist())):
-        if start >= free:
-            taken.append(i)
-            free = start + n
-    return at[taken], length[taken], at[taken] - source[taken]
+    padded = np.concatenate([values.astype(np.uint8), np.zeros(8, np.uint8)])
+    key = np.ndarray(n, "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * LEAST_MATCH) - 1)
+    # Sorted as one number with the place in its low bits; a long text's keys are cut, so they are compared again.
+    low = np.uint64(n.bit_length())
+    ordered = np.sort((key * np.uint64(_SPREAD) >> low << low) | np.arange(n, dtype=np.uint64))
+    order = (ordered & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+    same = ordered[1:] >> low == ordered[:-1] >> low
+    at, source = order[1:][same], order[:-1][same]
+    back = np.zeros(n, np.int64)
+    back[at] = np.where(key[at] == key[source], at - source, 0)
+    # A run of places with one distance is one copy, LEAST_MATCH - 1 longer than the run.
+    starts = np.flatnonzero(np.diff(back, prepend=0))
+    runs = np.diff(starts, append=n)
+    starts, runs = starts[back[starts] > 0], runs[back[starts] > 0]
+    pieces = -(-runs // (MOST_MATCH - LEAST_MATCH + 1))
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    ends = np.repeat(starts + runs, pieces) + LEAST_MATCH - 1
+    starts = np.repeat(starts, pieces) + within * (MOST_MATCH - LEAST_MATCH + 1)
+    ends = np.minimum(ends, starts + MOST_MATCH)
+    begun, ended, free, least = [], [], 0, LEAST_MATCH
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        if start < free:
+            start = free
+        if end - start >= least:
+            begun.append(start)
+            ended.append(end)
+            free = end
+    begun = np.array(begun, np.int64)
+    return begun, np.array(ended, np.int64) - begun, back[begun]
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -579,17 +725,20 @@ def _put_greens(bits: BitWriter, steps: list[int]) -> None:
     else:
         _put_single(bits, 255)
     _put_single(bits, 0)
+    alpha, value, held = int(len(steps) > 1), 0, 0
     for i, v in enumerate(steps):
-        bits.put(*codes[v])
-        if len(steps) > 1:
-            bits.put(int(not i), 1)
+        code, n = codes[v]
+        value |= (code | (not i and alpha) << n) << held
+        held += n + alpha
+    bits.put(value, held)
 
 
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
     """8-bit samples, a multiple of ``width`` of them, as the green values of a palette image: matches, colour cache and fitted codes."""
     height = len(samples) // width
     bits = _start(width, height)
-    table, index = np.unique(samples, return_inverse=True)
+    present = np.bincount(samples, minlength=256) > 0
+    table, index = np.flatnonzero(present).astype(np.uint8), (np.cumsum(present) - 1).astype(np.uint8)[samples]
     bits.put(1, 1)
     bits.put(PALETTE, 2)
     bits.put(len(table) - 1, 8)
@@ -602,24 +751,24 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     values = index.astype(np.int64)
     # A pixel is in the cache if the last one of its slot was the same.
     slot = (_HASH * (0xFF000000 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - CACHE_BITS)
-    order = np.argsort(slot[values], kind="stable")
+    order = np.argsort(slot.astype(np.uint16)[values], kind="stable")
     cached = np.zeros(len(values), bool)
     cached[order[1:]] = values[order[1:]] == values[order[:-1]]
     at, length, distance = _matches(values)
-    depth = np.zeros(len(values) + 1, np.int64)
-    depth[at] += 1
+    depth = np.zeros(len(values) + 1, np.int8)
+    depth[at] = 1
     depth[at + length] -= 1
-    plain = np.flatnonzero(np.cumsum(depth[:-1]) == 0)
+    own = np.cumsum(depth[:-1], dtype=np.int8) == 0
+    own[at] = True
+    # A symbol starts at each place that no copy covers, and at the copies' first ones.
+    place = np.flatnonzero(own)
+    copies = np.searchsorted(place, at)
     symbol, extra, size = _prefixed(length)
     far, far_extra, far_size = _prefixed(distance + 120)
-    # A row a symbol: green symbol, its extra bits, distance symbol, its extra bits.
-    rows = np.zeros((len(plain) + len(at), 4), np.int64)
-    sizes = np.zeros_like(rows)
-    place = np.argsort(np.concatenate([plain, at]), kind="stable")
-    green = np.concatenate([np.where(cached[plain], 280 + slot[values[plain]], values[plain]), 256 + symbol])[place]
-    copies = place >= len(plain)
-    counts = [np.bincount(green, minlength=280 + (1 << CACHE_BITS)).tolist(), np.bincount(far, minlength=40).tolist()]
-    own = [_code_lengths(c, MOST_BITS) for c in counts]
+    green = np.where(cached[place], 280 + slot[values[place]], values[place])
+    green[copies] = 256 + symbol
+    counts = [np.bincount(green, minlength=280 + (1 << CACHE_BITS)), np.bincount(far, minlength=40)]
+    own = [_code_lengths(c.tolist(), MOST_BITS) for c in counts]
     bits.put(0, 1)
     bits.put(1, 1)
     bits.put(CACHE_BITS, 4)
@@ -631,18 +780,26 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     codes = []
     for lengths in own:
         codes.append(np.zeros((len(lengths), 2), np.int64))
-        for s, code in _codes(lengths).items():
-            codes[-1][s] = code
-    rows[:, 0], sizes[:, 0] = codes[0][green].T
-    rows[copies, 1], sizes[copies, 1] = extra, size
-    rows[copies, 2], sizes[copies, 2] = codes[1][far].T
-    rows[copies, 3], sizes[copies, 3] = far_extra, far_size
-    rows, sizes = rows.reshape(-1), sizes.reshape(-1)
-    field = np.repeat(np.arange(len(rows)), sizes)
-    offset = np.arange(len(field)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    body = (rows[field] >> offset & 1).astype(np.uint8)
-    head = np.unpackbits(np.frombuffer(bits.take(), np.uint8), bitorder="little")[: bits.n]
-    return _file(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
+        known = _codes(lengths)
+        if known:
+            codes[-1][list(known)] = list(known.values())
+    # Of a symbol: its code, the length's extra bits, the distance's code and its extra bits, 50 bits at most.
+    value, held = codes[0][green].T.copy()
+    code, size_of = codes[1][far].T
+    value[copies] |= (extra | (code | far_extra << size_of) << size) << held[copies]
+    held[copies] += size + size_of + far_size
+    ends = bits.n + np.cumsum(held)
+    start = ends - held
+    # In words of 32 bits; no two symbols share a bit, so sums join them.
+    word, move, half = start >> 5, start & 31, (1 << 32) - 1
+    low, high = (value & half) << move, (value >> 32) << move
+    words = np.zeros((int(ends[-1]) >> 5) + 3)
+    for k, part in enumerate((low & half, (low >> 32) + (high & half), high >> 32)):
+        words += np.bincount(word + k, part, len(words))
+    body = words.astype(np.int64).astype("<u4").tobytes()[: int(ends[-1]) + 7 >> 3]
+    head = bits.take()
+    last = len(head) - 1
+    return _file(head[:last] + bytes([head[last] | body[last]]) + body[last + 1 :])
 
 
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, matches: bool = False, mode: int = 11, factors: tuple[int, int, int] = (3, 250, 17)) -> bytes:
