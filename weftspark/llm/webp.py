@@ -142,8 +142,10 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
             at += 1
             continue
         value, extra, least = ((last, 2, 3), (0, 3, 3), (0, 7, 11))[s - 16]
-        n = least + bits.read(extra)
-        held = 0
+        n = least + (ahead & (1 << extra) - 1)
+        ahead >>= extra
+        held -= extra
+        bits.at += extra
         if at + n > size:
             raise ValueError("the code lengths run over")
         if value:
@@ -179,11 +181,20 @@ def _green_symbols(bits: BitReader, green: PrefixCode, far: PrefixCode, total: i
         copies = np.flatnonzero(step >= COPY)
         before = step[copies] - np.uint8(COPY)
         step[copies] = before + onward[ahead[copies] >> before & (1 << far.bits) - 1]
-        steps, at, own, limit = step.tobytes(), start & 7, [], len(step)
+        # The place after one symbol, then after two, four and eight; places beyond the part stay.
+        limit = len(step)
+        hops = [np.arange(limit + COPY, dtype=np.int32)]
+        hops[0][:limit] += step
+        for _ in range(3):
+            hops.append(hops[-1][hops[-1]])
+        jump, at, own = memoryview(hops.pop()), start & 7, []
         while at < limit:
             own.append(at)
-            at += steps[at]
+            at = jump[at]
         own, start = np.array(own), 8 * first + at
+        while hops:
+            own = np.stack([own, hops.pop()[own]], 1).reshape(-1)
+        own = own[own < limit]
         ahead = ahead[own]
         entry = green.array[ahead & (1 << green.bits) - 1].astype(np.int64)
         symbol = entry >> 4
@@ -199,7 +210,7 @@ def _green_symbols(bits: BitReader, green: PrefixCode, far: PrefixCode, total: i
             last = int(np.searchsorted(ends, total))
             if ends[last] > total:
                 raise ValueError("a back-reference leaves the image")
-            start = 8 * first + int(own[last]) + steps[own[last]]
+            start = 8 * first + int(own[last]) + int(step[own[last]])
             symbol, makes, back = symbol[: last + 1], makes[: last + 1], back[: last + 1]
         found.append((symbol, makes, back))
     bits.at = start
@@ -208,6 +219,17 @@ def _green_symbols(bits: BitReader, green: PrefixCode, far: PrefixCode, total: i
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+@cache
+def _near_distances(width: int) -> np.ndarray:
+    return np.array([max(1, x + y * width) for x, y in _NEAR])
+
+
+@cache
+def _green_slots(fixed: int, cache_bits: int) -> np.ndarray:
+    """The places in the colour cache of the colours that differ from ``fixed`` in green."""
+    return (_HASH * (fixed | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
 def _green_pixels(symbols: np.ndarray, makes: np.ndarray, back: np.ndarray, width: int, fixed: int, cache_bits: int) -> np.ndarray | None:
     """The pixels of ``_green_symbols``; None if a place of the colour cache is read before a colour is in it."""
     plain = np.flatnonzero((symbols < 256) | (symbols >= 280))
@@ -215,7 +237,7 @@ def _green_pixels(symbols: np.ndarray, makes: np.ndarray, back: np.ndarray, widt
     literal = values < 256
     several = np.zeros(len(plain), bool)
     if not literal.all():
-        slots = (_HASH * (fixed | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - cache_bits)
+        slots = _green_slots(fixed, cache_bits)
         first, owner, owners = np.full(1 << cache_bits, len(plain)), np.zeros(1 << cache_bits, np.int64), {}
         at = np.flatnonzero(literal)[::-1]
         first[slots[values[at]]] = at
@@ -231,7 +253,7 @@ def _green_pixels(symbols: np.ndarray, makes: np.ndarray, back: np.ndarray, widt
         several[read] = crowded[values[read] - 280]
         values = np.where(literal, values, owner[np.maximum(values - 280, 0)])
     given, out, sent = values.astype(np.uint8).tobytes(), bytearray(), 0
-    near = np.array([max(1, x + y * width) for x, y in _NEAR])
+    near = _near_distances(width)
     event = (makes > 0) & (symbols > 255) & (symbols < 280)
     event[plain[several]] = True
     place = np.flatnonzero(event)
@@ -496,19 +518,20 @@ def _code_lengths(counts: list[int], limit: int) -> list[int]:
     weights, size = [counts[s] for s in used], len(used)
     while True:
         # Sorted weights and the sums of pairs, which come in order too.
-        parent, sums, leaf, joined = [0] * (2 * size - 1), [], 0, 0
+        leaves, sums = [*weights, float("inf")], [float("inf")] * size
+        parent, leaf, joined = [0] * (2 * size - 1), 0, 0
         for made in range(size, 2 * size - 1):
             total = 0
-            for _ in range(2):
-                if leaf < size and (joined == len(sums) or weights[leaf] <= sums[joined]):
-                    total += weights[leaf]
+            for _ in (0, 1):
+                if leaves[leaf] <= sums[joined]:
+                    total += leaves[leaf]
                     parent[leaf] = made
                     leaf += 1
                 else:
                     total += sums[joined]
                     parent[size + joined] = made
                     joined += 1
-            sums.append(total)
+            sums[made - size] = total
         made = 2 * size - 1
         depth = [0] * made
         for i in range(made - 2, -1, -1):
@@ -532,6 +555,9 @@ def _codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+_PLAIN_LENGTHS = [(n, 0, 0) for n in range(16)]
+
+
 def _put_code(bits: BitWriter, lengths: list[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n] or [0]
     if len(used) == 1 and used[0] < 256:
@@ -547,7 +573,9 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
             run = min(s - at, 138)
             items.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
             at += run
-        items += [(n, 0, 0) for n in lengths[at : s + 1]]
+        items += _PLAIN_LENGTHS[:1] * (s - at)
+        if s < len(lengths):
+            items.append(_PLAIN_LENGTHS[lengths[s]])
         at = s + 1
     counts = [0] * 19
     for s, *_ in items:
@@ -677,14 +705,17 @@ def _matches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     back = np.zeros(n, np.int64)
     back[at] = np.where(key[at] == key[source], at - source, 0)
     # A run of places with one distance is one copy, LEAST_MATCH - 1 longer than the run.
-    starts = np.flatnonzero(np.diff(back, prepend=0))
-    runs = np.diff(starts, append=n)
-    starts, runs = starts[back[starts] > 0], runs[back[starts] > 0]
-    pieces = -(-runs // (MOST_MATCH - LEAST_MATCH + 1))
-    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    ends = np.repeat(starts + runs, pieces) + LEAST_MATCH - 1
-    starts = np.repeat(starts, pieces) + within * (MOST_MATCH - LEAST_MATCH + 1)
-    ends = np.minimum(ends, starts + MOST_MATCH)
+    starts = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1])
+    ends = np.append(starts[1:], n)
+    copied = back[starts] > 0
+    starts, ends = starts[copied], ends[copied]
+    longest = MOST_MATCH - LEAST_MATCH + 1
+    if (ends - starts > longest).any():
+        pieces = -(-(ends - starts) // longest)
+        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(starts, pieces) + within * longest
+        ends = np.minimum(np.repeat(ends, pieces), starts + longest)
+    ends += LEAST_MATCH - 1
     begun, ended, free, least = [], [], 0, LEAST_MATCH
     for start, end in zip(starts.tolist(), ends.tolist()):
         if start < free:
@@ -750,7 +781,7 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
         index = sum(wide[:, i :: 1 << shift] << np.uint8(i * (8 >> shift)) for i in range(1 << shift)).reshape(-1)
     values = index.astype(np.int64)
     # A pixel is in the cache if the last one of its slot was the same.
-    slot = (_HASH * (0xFF000000 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    slot = _green_slots(0xFF000000, CACHE_BITS)
     order = np.argsort(slot.astype(np.uint16)[values], kind="stable")
     cached = np.zeros(len(values), bool)
     cached[order[1:]] = values[order[1:]] == values[order[:-1]]
@@ -782,7 +813,7 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
         codes.append(np.zeros((len(lengths), 2), np.int64))
         known = _codes(lengths)
         if known:
-            codes[-1][list(known)] = list(known.values())
+            codes[-1][list(known)] = np.array(list(zip(*known.values()))).T
     # Of a symbol: its code, the length's extra bits, the distance's code and its extra bits, 50 bits at most.
     value, held = codes[0][green].T.copy()
     code, size_of = codes[1][far].T
