@@ -6,14 +6,18 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftspark.llm.alignment import aligned_digest
 from weftspark.llm.decontaminate import find_leaks
 from weftspark.llm.interpolation import interpolated_scores
 from weftspark.llm.media import media_columns, media_digest
 from weftspark.llm.parity_join import link_components
+from weftspark.llm.periodic_runs import find_runs, planted, run_digest
 from weftspark.llm.personal_data import find_personal_data, personal_digest
 from weftspark.llm.piece_dropout import encode_pieces, piece_digest
 from weftspark.llm.secrets import scan_secrets, secret_digest
+from weftspark.llm.simhash_ring import near_duplicates
 from weftspark.llm.token_records import record_digest, token_records
 from weftspark.llm.toxicity import chain_scores, table_categories, toxic_digest
 from weftspark.llm.url_rules import judge_urls, rules_sql
@@ -75,8 +79,21 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(_docs(spark, sf_dir))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_digest(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return run_digest(find_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op3_decontaminate, op4_token_records, op5_pieces, op6_media, op7_url_rules, op8_toxicity, op9_personal_data, op10_interpolation)}
+    return {f.__name__: f for f in (op1_parity_join, op2_secrets, op3_decontaminate, op4_token_records, op5_pieces, op6_media, op7_url_rules, op8_toxicity, op9_personal_data, op10_interpolation, op11_simhash, op12_alignment, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
