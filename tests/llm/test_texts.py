@@ -90,7 +90,7 @@ def test_secret_spans(spark):
     assert find_secrets("my password is required and the token was changed", {"required": 700, "change": 90}) == []
     for v in ("qzxkvjwphtmrbn", "839201748362"):
         assert [text_[a:b] for text_ in [f"the password is {v}"] for _, a, b, _ in find_secrets(text_)] == [v]
-    prose = ["they ask for whatever is required here"] * 5
+    prose = [f"they ask for whatever is required here {i}" for i in range(200)]
     assert corpus_ranks(data.documents(spark, prose))["required"] <= len(RANKS) + 9
     rows = by_id(secret_digest(scan_secrets(data.documents(spark, [text, None, ""]))))
     base = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in find_secrets(text) if k != "guess")

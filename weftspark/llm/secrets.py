@@ -7,10 +7,19 @@ characters), dates, repeats, keyboard walks and sequences, and brute-force
 spans: a shortest path over the value's positions in which each further segment
 costs a factor of ten. Placeholders, plain words and walks such as ``qwerty12345``
 are cheap and left alone; random strings of any kind of characters are not. Words are
-ranked by how often chosen secrets hold them (WORDS), then by their counts over the
-whole corpus, made in Spark; the MOST_WORDS most frequent go to the tasks, at most
-half a megabyte. Words and repeated units are looked for up to LONGEST characters,
-walks and repeats of any length; the work is linear in the value.
+ranked by how often chosen secrets hold them (WORDS), then by the number of texts
+that hold them, counted in Spark over the whole corpus with every credential context
+and every assignment taken out, so that no secret ranks itself. A word needs
+LEAST_TEXTS texts that differ: texts set bits of a 64-bit mark by their hash, which
+copies of one text set alike, so as many bits as that prove as many texts. The
+MOST_WORDS first go to the tasks, at most a megabyte. Ranks follow the corpus that is
+given: to scan parts of it alike, make them once and hand them in.
+
+Words are looked for up to the longest that is ranked, walks and repeats of any
+length. Units of a repeat are looked for up to LONGEST characters: a longer unit
+alone takes more than LONGEST powers of ten of guesses, far above COSTLY, so what is
+a secret does not depend on it. The work is linear in the value and, by looking at
+neighbours only, in the spans of a text.
 
 Edge cases: a null or empty text has no spans; positions are code points, ends
 exclusive; ties between segmentations do not change the cost; repeated rows and
@@ -23,7 +32,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +46,10 @@ KINDS = ("assign", "access", "hex")
 ADDED = "guess"
 #: Log10 of the guesses from which a value in a credential context is a secret, and the least length of its core.
 COSTLY, LEAST = 8.0, 6
-#: Longest word and unit of a repeat; dates have ten characters, walks, repeats and brute force no limit.
+#: Longest unit of a repeat; dates have ten characters, walks, repeats and brute force no limit.
 LONGEST = 24
-#: Words of the corpus that are ranked, the bound of what is sent to the tasks, and their least length.
-MOST_WORDS, LEAST_WORD = 20_000, 3
+#: Words of the corpus that are ranked, the bound of what is sent to the tasks; their least length; texts that must hold one.
+MOST_WORDS, LEAST_WORD, LEAST_TEXTS = 20_000, 3, 24
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -64,7 +75,6 @@ WORDS = (
 WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "azertyuiop", "qwertzuiop", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 LOOKALIKE = {"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"}
 
-RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 _PLAIN = str.maketrans(LOOKALIKE)
 _DATES = tuple(
     re.compile(p)
@@ -78,6 +88,23 @@ _DATES = tuple(
 _STEPS = {(a, b) for row in WALKS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 
 
+class Ranks(dict):
+    """Words and their ranks, with the length of the longest."""
+
+    longest = 0
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.longest = max(map(len, self), default=0)
+
+
+RANKS = Ranks({w: i + 1 for i, w in enumerate(WORDS)})
+
+
+def _longest(ranks: dict[str, int]) -> int:
+    return ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
+
+
 def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
@@ -109,7 +136,7 @@ def guess_segments(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, li
     so_far = [0.0]
     for step in steps:
         so_far.append(so_far[-1] + step)
-    alike = [0] * (LONGEST + 1)
+    alike, reach = [0] * (LONGEST + 1), _longest(ranks)
     dates: dict[int, list[tuple[int, float]]] = {}
     for k, pattern in enumerate(_DATES):
         for i in range(n):
@@ -125,7 +152,7 @@ def guess_segments(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, li
         grown = brute[j - 1][0] + step
         brute.append((grown, brute[j - 1][1]) if grown <= fresh else (fresh, j - 1))
         found = [(brute[j][0], brute[j][1], "brute")]
-        for i in range(max(0, j - LONGEST), j - 1):
+        for i in range(max(0, j - reach), j - 1):
             if low[i:j] in ranks or plain[i:j] in ranks:
                 found.append((new(i) + _word_cost(value[i:j], ranks), i, "word"))
         found += [(new(i) + cost, i, "date") for i, cost in dates.get(j, ())]
@@ -152,34 +179,51 @@ def find_secrets(text: str, ranks: dict[str, int] = RANKS) -> list[tuple[str, in
     """Spans (kind, start, end, log10 of guesses of the value) by start, then kind: fixed patterns, and costly values in credential contexts."""
     low = text.lower()
     hinted = any(h in low for h in _HINTS)
-    base = []
+    base, costs = [], {}
+
+    def cost_of(value: str) -> float:
+        if value not in costs:
+            costs[value] = guess_segments(value, ranks)[0]
+        return costs[value]
+
     if hinted:
-        base += [("assign", *m.span(), guess_segments(m[2], ranks)[0]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        base += [("assign", *m.span(), cost_of(m[2])) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         base += [("access", *m.span(), None) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [("hex", *m.span(), None) for m in _HEX.finditer(text)]
+    added = []
     if hinted:
+        # Where the fixed patterns' spans begin, and how far they reach up to each of them.
+        ends = sorted((a, b) for _, a, b, _ in base)
+        starts, reach = [a for a, _ in ends], list(accumulate((b for _, b in ends), max))
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < LEAST or any(a < end and start < b for _, a, b, _ in base):
+            before = bisect_left(starts, end)
+            if len(value) < LEAST or before and reach[before - 1] > start:
                 continue
-            cost = guess_segments(value, ranks)[0]
+            cost = cost_of(value)
             if cost >= COSTLY:
-                base.append((ADDED, start, end, cost))
+                added.append((ADDED, start, end, cost))
     order = {k: i for i, k in enumerate((*KINDS, ADDED))}
-    return sorted(base, key=lambda s: (s[1], order[s[0]], s[2]))
+    return sorted(base + added, key=lambda s: (s[1], order[s[0]], s[2]))
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
 
 
-def corpus_ranks(docs: DataFrame) -> dict[str, int]:
-    """Ranks of WORDS, then of the corpus's most frequent words of ASCII letters, counted over every whole text; ties by the word."""
-    found = F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"[a-z]{{{LEAST_WORD},}}"), F.lit(0)))
-    counted = docs.select(found.alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("seen"))
-    top = counted.orderBy(F.desc("seen"), "word").limit(MOST_WORDS).collect()
-    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))}
+def corpus_ranks(docs: DataFrame) -> Ranks:
+    """Ranks of WORDS, then of the corpus's words of ASCII letters outside credential contexts, by the number of texts that hold them; ties by the word."""
+    text = F.col("text").cast("string")
+    outside = F.regexp_replace(F.regexp_replace(text, _ASSIGN.pattern, " "), _CONTEXT.pattern, " ")
+    # Most texts have no credential word at all.
+    outside = F.when(F.lower(text).rlike("|".join(_HINTS)), outside).otherwise(text)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(f"[a-z]{{{LEAST_WORD},}}"), F.lit(0)))
+    mark = F.expr("shiftleft(1L, cast(pmod(xxhash64(cast(text as string)), 64) as int))")
+    rows = docs.select(mark.alias("mark"), F.explode(found).alias("word"))
+    counted = rows.groupBy("word").agg(F.count("*").alias("texts"), F.bit_or("mark").alias("marks")).where(F.bit_count("marks") >= LEAST_TEXTS)
+    top = counted.orderBy(F.desc("texts"), "word").limit(MOST_WORDS).collect()
+    return Ranks({w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))})
 
 
 def scan_secrets(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
