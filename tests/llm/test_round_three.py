@@ -16,9 +16,9 @@ from tests.llm import data
 from weftspark.llm import simhash_ring as ring
 from weftspark.llm.alignment import aligned_digest, aligned_tokens, byte_letters
 from weftspark.llm.periodic_runs import find_runs, kept_words, lag_matches, planted, run_digest, word_runs
-from weftspark.llm.registry import TOKENIZERS
+from weftspark.llm.registry import tokenizer
 
-BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 
 
 # Periodic runs.

@@ -21,14 +21,14 @@ from weftspark.llm.interpolation import interpolated_scores, learn_weights
 from weftspark.llm.media import media_columns, media_digest, payload_image
 from weftspark.llm.personal_data import find_personal_data, personal_digest, redact
 from weftspark.llm.piece_dropout import PieceCodec, occurrence_keys, encode_pieces, piece_digest
-from weftspark.llm.registry import TOKENIZERS
+from weftspark.llm.registry import tokenizer
 from weftspark.llm.secrets import RANKS, corpus_ranks, find_secrets, guess_segments, scan_secrets, secret_digest
 from weftspark.llm.shared import work_path
 from weftspark.llm.token_records import frame, read_index, read_records, record_digest, unframe, write_records
 from weftspark.llm.toxicity import chain_scores, drop_toxic, fit_chain, table_categories
 from weftspark.llm.url_rules import judge_urls
 
-BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 
 
 def by_id(frame):

@@ -23,15 +23,13 @@ from weftspark.llm.toxicity import chain_scores, table_categories, toxic_digest
 from weftspark.llm.url_rules import judge_urls, rules_sql
 
 
-
-def _tokenizers() -> str:
-    """Folder of the public vocabulary files: WEFT_TOKENIZERS, else that of the package of these files."""
+def tokenizer(name: str) -> str:
+    """A public vocabulary file: in the folder WEFT_TOKENIZERS, else where the package of these files has it. Looked up when a query is called."""
+    if folder := os.environ.get("WEFT_TOKENIZERS"):
+        return os.path.join(folder, name)
     import public_tokenizers
 
-    return os.environ.get("WEFT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
-
-
-TOKENIZERS = _tokenizers()
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +49,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_digest(token_records(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return record_digest(token_records(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digest(encode_pieces(_docs(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return piece_digest(encode_pieces(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model")))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +82,7 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned_digest(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return aligned_digest(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
