@@ -16,7 +16,7 @@ from weftspark.llm.decontaminate import drop_leaks
 from weftspark.llm.parity_join import BROADCAST_IDS, link_components
 from weftspark.llm.personal_data import redact
 from weftspark.llm.piece_dropout import encode_pieces, piece_digest
-from weftspark.llm.registry import TOKENIZERS
+from weftspark.llm.registry import tokenizer
 from weftspark.llm.shared import broadcast_if_small, written
 from weftspark.llm.toxicity import drop_toxic, table_categories
 
@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece counts and checksums of the encoded texts, one row a document."""
-    return piece_digest(encode_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return piece_digest(encode_pieces(docs, tokenizer("piece_bpe_32k.model")))
 
 
 STAGES = [
