@@ -159,15 +159,19 @@ def find_runs(docs: DataFrame) -> DataFrame:
 
 def planted(doc_id: Column, text: Column) -> Column:
     """The text in which, for one id of ten, the words from some place on repeat 3 to 10 times and more; other texts, null ids included, as they are."""
-    words = F.filter(F.split(text, _WORDS), lambda w: w != "")
     mark = F.crc32(doc_id.cast("string"))
-    n = F.size(words).cast("long")
     g = F.floor(mark / 10)
-    a = g % n
-    period = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, (a + (i - a) % period).cast("int")))
-    whole = F.concat(F.slice(words, F.lit(1), a.cast("int")), repeated)
-    return F.when((mark % 10 == 0) & (n > 0), F.array_join(whole, " ")).otherwise(text)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, (a + (i - a) % period).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")).otherwise("")
+
+    # As the only element of an array the words are a value of their own, cut from the text once and not for every word.
+    words = F.array(F.filter(F.split(text, _WORDS), lambda w: w != ""))
+    return F.when((mark % 10 == 0) & text.isNotNull(), F.get(F.transform(words, repeated), F.lit(0))).otherwise(text)
 
 
 def run_digest(found: DataFrame) -> DataFrame:
