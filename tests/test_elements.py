@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftspark.operators import elements as el
+from weftspark.operators import scopes
 from weftspark.operators.graphs import reach
 from weftspark.sources.html import elements
 
@@ -54,3 +55,87 @@ def test_reach_of_a_chain_and_a_cycle(spark, hops):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (50, 51)], "src long, dst long")
     got = {r["node"]: r["hops"] for r in reach(edges, spark.createDataFrame([(0,)], "node long"), hops).collect()}
     assert got == {i: i for i in range(10 if hops is None else hops + 1)}
+
+
+# Scopes.
+
+
+def plain_nearest(points, spans):
+    """Each point's innermost span by trying every span."""
+    out = []
+    for key, at in points:
+        around = sorted((b - a, s) for k, s, a, b in spans if k == key and at is not None and a <= at < b)
+        ties = sum(size == around[0][0] for size, _ in around) if around else 0
+        out.append((key, at, around[0][1] if around else None, "none" if not ties else "resolved" if ties == 1 else "ambiguous"))
+    return out
+
+
+def nested_spans(rng, low, high, depth=0):
+    """Random spans that nest or stay apart, some of them twice and some that touch."""
+    out, at = [], low
+    while at < high and depth < 5:
+        a = rng.randrange(at, high)
+        b = rng.randrange(a, high + 1)
+        out += [(a, b)] * (1 + (rng.random() < 0.1))
+        if b > a:
+            out += nested_spans(rng, a, b, depth + 1)
+        at = max(b, a + 1)
+    return out
+
+
+def test_nearest_scopes_equal_every_span_tried(spark):
+    import random
+
+    rng = random.Random(7)
+    spans = [(k, i, a, b) for k in range(12) for i, (a, b) in enumerate(nested_spans(rng, 0, 60))]
+    spans = [(k, s, a, b) for k, s, a, b in spans if k != 3] + [(4, 999, None, 5)]
+    points = [(k, at) for k in range(13) for at in (*range(0, 62), None)]
+    got = scopes.nearest_scope(spark.createDataFrame(points, "k long, at long"), spark.createDataFrame(spans, "k long, scope long, start long, end long"), ["k"]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain_nearest(points, [s for s in spans if s[2] is not None])))
+
+
+def test_around_and_inside_equal_the_tree(spark):
+    import random
+
+    rng, pages = random.Random(3), []
+    for p in range(40):
+        html, open_tags = "", []
+        for _ in range(rng.randrange(60)):
+            if open_tags and rng.random() < 0.45:
+                html += f"</{open_tags.pop()}>"
+            else:
+                open_tags.append(rng.choice(("a", "nav", "div", "p")))
+                html += f"<{open_tags[-1]}>é{rng.randrange(9)}"
+        pages.append((p, html))
+    rows = elements(spark.createDataFrame(pages, "page_id long, html string")).where("tag is not null")
+    told = rows.withColumns({"in_nav": scopes.within(el.tag_is("nav")), "has_a": scopes.contains(el.tag_is("a"))})
+    told = scopes.with_owner(told, el.tag_is("nav", "div")).collect()
+    by = {}
+    for r in told:
+        by.setdefault(r.page_id, []).append(r)
+    for page, own in by.items():
+        html = dict(pages)[page]
+        for x in own:
+            above = [y for y in own if y.elem_id < x.elem_id <= y.last]
+            assert all(y.start < x.start and x.end <= y.end for y in above) and x.depth == len(above) and html[x.start : x.start + 1 + len(x.tag)] == "<" + x.tag
+            assert x.in_nav == any(y.tag == "nav" for y in above) and x.has_a == any(y.tag == "a" and x.elem_id < y.elem_id <= x.last for y in own)
+            assert x.owner == max((y.elem_id for y in above if y.tag in ("nav", "div")), default=None)
+            if x.tag in ("a", "nav"):
+                import re
+
+                assert x.text == re.sub("<[^>]*>", "", html[x.start : x.end])
+
+
+def test_names_count_their_pairs(spark):
+    rows = [(1, "a", 5), (1, "a", 3), (1, "a", 9), (1, "b", 1), (2, None, 4), (2, None, 2), (2, "a", 0)]
+    got = scopes.equal_names(spark.createDataFrame(rows, "page_id long, name string, at long"), ["page_id"]).collect()
+    assert {tuple(r) for r in got} == {(1, "a", 3, 3, 3, 5), (2, None, 2, 1, 2, 4)}
+
+
+def test_owners_limit_headings_and_references(spark):
+    html = "<h1>t</h1><article><h1 id='x'>a</h1><h2>b</h2><i aria-labelledby='x y'></i></article>\n<article><h3>c</h3><h5>d</h5><i aria-labelledby='x'></i><b id='z'></b><b id='z'></b><i aria-labelledby=' z '></i><i aria-labelledby=' '></i></article>"
+    rows = elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert {tuple(r) for r in el.heading_faults(rows, el.tag_is("article")).collect()} == {(1, 2, "skipped-level")}
+    assert sorted(tuple(r) for r in el.broken_references(rows, el.tag_is("article")).collect()) == [(1, 1, "y"), (1, 2, "x")]
+    states = el.reference_state(rows, "aria-labelledby", el.tag_is("article"))
+    assert [r.state for r in states.orderBy("elem_id").collect()] == ["missing", "missing", "ambiguous", "missing"]

@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspark.operators.scopes import contains, with_owner, within
+
 
 class ElementRule(NamedTuple):
     id: str
@@ -37,7 +39,7 @@ def filled(name: str) -> Column:
 
 def inside(*tags: str) -> Column:
     """Whether one of these elements is open around the element."""
-    return F.arrays_overlap("above", F.array(*map(F.lit, tags)))
+    return within(tag_is(*tags))
 
 
 def tag_is(*tags: str) -> Column:
@@ -78,35 +80,54 @@ def rules() -> tuple[ElementRule, ...]:
 def with_context(elements: DataFrame) -> DataFrame:
     """Adds labelled (a label of the page names the element's id) and named_by_image (an image inside has a text)."""
     labels = elements.where(tag_is("label") & filled("for")).select("page_id", attribute("for").alias("own_id"), F.lit(True).alias("labelled")).distinct()
-    images = elements.where(tag_is("img") & filled("alt")).select("page_id", F.explode("ancestors").alias("elem_id"), F.lit(True).alias("named_by_image")).distinct()
-    told = elements.withColumn("own_id", attribute("id")).join(labels, ["page_id", "own_id"], "left").join(images, ["page_id", "elem_id"], "left")
-    return told.na.fill(False, ["labelled", "named_by_image"])
+    told = elements.withColumn("own_id", attribute("id")).join(labels, ["page_id", "own_id"], "left").na.fill(False, ["labelled"])
+    return told.withColumn("named_by_image", contains(tag_is("img") & filled("alt")))
 
 
 def page_findings(elements: DataFrame, checks: Sequence[ElementRule] | None = None) -> DataFrame:
     """page_id, rule, category, severity, status (pass, fail, advisory), line of the first failure: one row a page and rule, in one aggregate."""
     checks = rules() if checks is None else checks
-    told = with_context(elements)
-    worst = [F.min(F.when(c.applies & ~c.holds, F.struct(F.lit(0).alias("rank"), "line")).when(c.applies & c.holds.isNull(), F.struct(F.lit(1).alias("rank"), "line"))).alias(f"r{k}") for k, c in enumerate(checks)]
+    # Rules may look around and inside an element: that is a sort of each page's elements, the same for all rules.
+    told = with_context(elements).select("page_id", "line", *(F.when(c.applies, F.coalesce(c.holds.cast("int"), F.lit(2))).alias(f"t{k}") for k, c in enumerate(checks)))
+    worst = [F.min(F.when(F.col(f"t{k}") == 0, F.struct(F.lit(0).alias("rank"), "line")).when(F.col(f"t{k}") == 2, F.struct(F.lit(1).alias("rank"), "line"))).alias(f"r{k}") for k in range(len(checks))]
     pages = told.groupBy("page_id").agg(*worst)
     rows = F.array(*(F.struct(F.lit(c.id).alias("rule"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.when(F.col(f"r{k}.rank") == 0, "fail").when(F.col(f"r{k}.rank") == 1, "advisory").otherwise("pass").alias("status"), F.col(f"r{k}.line").alias("line")) for k, c in enumerate(checks)))
     return pages.select("page_id", F.inline(rows))
 
 
-def heading_faults(elements: DataFrame) -> DataFrame:
-    """page_id, line, fault of headings that skip a level or are a second h1."""
-    levels = elements.where(tag_is("h1", "h2", "h3", "h4", "h5", "h6")).select("page_id", "elem_id", "line", F.substring("tag", 2, 1).cast("int").alias("level"))
-    by = Window.partitionBy("page_id").orderBy("elem_id")
+#: Elements that own the headings and ids inside them, unless one is asked for by other columns.
+SECTIONS = ("article", "section", "aside", "dialog", "nav", "template")
+
+
+def _owned(elements: DataFrame, owner: Column | None) -> DataFrame:
+    return elements.withColumn("owner", F.lit(None).cast("int")) if owner is None else with_owner(elements, owner)
+
+
+def heading_faults(elements: DataFrame, owner: Column | None = None) -> DataFrame:
+    """page_id, line, fault of headings that skip a level or are a second h1; each page by itself, or each nearest ``owner`` element by itself."""
+    levels = _owned(elements, owner).where(tag_is("h1", "h2", "h3", "h4", "h5", "h6")).select("page_id", "owner", "elem_id", "line", F.substring("tag", 2, 1).cast("int").alias("level"))
+    by = Window.partitionBy("page_id", "owner").orderBy("elem_id")
     firsts = F.sum((F.col("level") == 1).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     fault = F.when((F.col("level") == 1) & (firsts > 1), "second-h1").when(F.col("level") > F.lag("level").over(by) + 1, "skipped-level")
     return levels.select("page_id", "line", fault.alias("fault")).where("fault is not null")
 
 
-def broken_references(elements: DataFrame) -> DataFrame:
-    """page_id, line, missing: ids that aria attributes name and the page does not have; all of an attribute's ids must exist."""
+def broken_references(elements: DataFrame, owner: Column | None = None) -> DataFrame:
+    """page_id, line, missing: ids that aria attributes name and that the page, or the same nearest ``owner`` element, does not have; all of an attribute's ids must exist."""
     names = ("aria-labelledby", "aria-describedby", "aria-controls")
+    told = _owned(elements, owner).withColumn("scope", F.coalesce("owner", F.lit(-1)))
     used = reduce(or_, (filled(n) for n in names))
     tokens = F.explode(F.array_distinct(F.concat(*(F.split(F.trim(F.coalesce(attribute(n), F.lit(""))), r"\s+") for n in names))))
-    asked = elements.where(used).select("page_id", "line", tokens.alias("missing")).where("missing <> ''")
-    held = elements.where(filled("id")).select("page_id", attribute("id").alias("missing")).distinct()
-    return asked.join(held, ["page_id", "missing"], "left_anti").select("page_id", "line", "missing")
+    asked = told.where(used).select("page_id", "scope", "line", tokens.alias("missing")).where("missing <> ''")
+    held = told.where(filled("id")).select("page_id", "scope", attribute("id").alias("missing")).distinct()
+    return asked.join(held, ["page_id", "scope", "missing"], "left_anti").select("page_id", "line", "missing")
+
+
+def reference_state(elements: DataFrame, name: str, owner: Column | None = None) -> DataFrame:
+    """page_id, elem_id, line, state of every element that has the attribute ``name``: valid (all its ids are in scope), missing, or ambiguous (an id stands twice there)."""
+    told = _owned(elements, owner).withColumn("scope", F.coalesce("owner", F.lit(-1)))
+    held = told.where(filled("id")).groupBy("page_id", "scope", attribute("id").alias("token")).agg(F.count("*").alias("held"))
+    asked = told.where(attribute(name).isNotNull()).select("page_id", "scope", "elem_id", "line", F.explode_outer(F.filter(F.split(F.trim(attribute(name)), r"\s+"), lambda t: t != "")).alias("token"))
+    found = asked.join(held, ["page_id", "scope", "token"], "left").groupBy("page_id", "elem_id").agg(F.min("line").alias("line"), F.min(F.coalesce("held", F.lit(0))).alias("least"), F.max(F.coalesce("held", F.lit(0))).alias("most"))
+    state = F.when(F.col("least") == 0, "missing").when(F.col("most") > 1, "ambiguous").otherwise("valid")
+    return found.select("page_id", "elem_id", "line", state.alias("state"))

@@ -11,64 +11,99 @@ from pyspark.sql import DataFrame
 # Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-
 #: Elements whose text is their name or label; the text of others is not kept.
-NAMED = frozenset("a button caption h1 h2 h3 h4 h5 h6 label legend option summary title".split())
+NAMED = frozenset("a article button caption footer h1 h2 h3 h4 h5 h6 label legend nav option summary title".split())
+_SILENT = frozenset(("script", "style"))
+
+ELEMENT = "page_id long, elem_id int, last int, tag string, depth int, start int, end int, line int, attrs map<string,string>, text string"
 
 
 class _Elements(HTMLParser):
-    """Elements with their attributes and open ancestors; an end tag closes what is open up to its element."""
+    """Elements in document order with their spans; an end tag closes what is open up to its element."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[tuple[str, int]] = []
-
-    def _add(self, tag: str, attrs: list) -> int:
+        self.html, self.lines = html, [0]
+        for line in html.split("\n")[:-1]:
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
+        self.parts: list[str] = []
+        self.length = 0
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _add(self, tag: str, attrs: list) -> dict:
         held = {}
         for name, value in attrs:
             held.setdefault(name, value or "")
-        self.rows.append([len(self.rows), tag, len(self.open), [i for _, i in self.open], self.getpos()[0], [t for t, _ in self.open], held, "" if tag in NAMED else None])
-        return len(self.rows) - 1
+        at = self._at()
+        row = {"elem_id": len(self.rows), "last": len(self.rows), "tag": tag, "depth": len(self.open), "start": at, "end": at + len(self.get_starttag_text() or ""), "line": self.getpos()[0], "attrs": held, "text": (self.length, self.length)}
+        self.rows.append(row)
+        return row
+
+    def _close(self, row: dict, end: int) -> None:
+        row["last"], row["end"], row["text"] = len(self.rows) - 1, end, (row["text"][0], self.length)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        at = self._add(tag, attrs)
+        row = self._add(tag, attrs)
         if tag not in VOID:
-            self.open.append((tag, at))
+            self.open.append(row)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._add(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        for tag, at in self.open:
-            if tag in NAMED:
-                self.rows[at][7] += data
+        if not (self.open and self.open[-1]["tag"] in _SILENT):
+            self.parts.append(data)
+            self.length += len(data)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k]["tag"] == tag:
+                at = self._at()
+                for row in self.open[k + 1 :]:
+                    self._close(row, at)
+                self._close(self.open[k], self.html.find(">", at) + 1 or len(self.html))
                 del self.open[k:]
                 return
 
+    def ended(self) -> list[dict]:
+        for row in self.open:
+            self._close(row, len(self.html))
+        text = "".join(self.parts)
+        for row in self.rows:
+            a, b = row["text"]
+            row["text"] = text[a:b] if row["tag"] in NAMED else None
+        return self.rows
+
 
-def parse_elements(html: str) -> list[list]:
-    parser = _Elements()
+def parse_elements(html: str | None) -> list[dict]:
+    parser = _Elements(html or "")
     parser.feed(html or "")
     parser.close()
-    return parser.rows
+    return parser.ended()
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, elem_id, tag, depth, ancestors, line, above (tags of the ancestors), attrs (first of a name wins), text (of named elements) of ``pages(page_id, html)``.
-
-    Every page has a row: one without elements has a row without a tag.
+    """The elements of ``pages(page_id, html)`` in document order, as a nested set.
+
+    ``elem_id`` counts a page's elements from 0 and ``last`` is the largest elem_id inside
+    an element, so x is inside y where y.elem_id < x.elem_id <= y.last. ``start`` and ``end``
+    are its span in code points, end exclusive (an element without an end tag reaches to
+    where what is around it ends); attrs: the first of a name wins; text: what named
+    elements hold, without scripts and styles. Every page has a row: one without elements
+    has a row without a tag.
     """
-    names = ["page_id", "elem_id", "tag", "depth", "ancestors", "line", "above", "attrs", "text"]
+    names = [c.split()[0] for c in ELEMENT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 64):
                 part = frame.iloc[at : at + 64]
-                yield pd.DataFrame([(p, *e) for p, h in zip(part["page_id"], part["html"]) for e in parse_elements(h) or [[-1, None, 0, [], 0, [], {}, None]]], columns=names)
+                none = {"elem_id": -1, "last": -1, "depth": 0, "start": 0, "end": 0, "line": 0, "attrs": {}, "tag": None, "text": None}
+                yield pd.DataFrame([{"page_id": p, **e} for p, h in zip(part["page_id"], part["html"]) for e in parse_elements(h) or [none]], columns=names)
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, elem_id int, tag string, depth int, ancestors array<int>, line int, above array<string>, attrs map<string,string>, text string")
+    return pages.select("page_id", "html").mapInPandas(run, ELEMENT)
