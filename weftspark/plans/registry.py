@@ -33,6 +33,7 @@ def _load() -> None:
     """The modules that register further queries."""
     import weftspark.plans.more  # noqa: F401, PLC0415
     import weftspark.plans.trees  # noqa: F401, PLC0415
+    import weftspark.plans.walks  # noqa: F401, PLC0415
 
 
 def queries() -> dict[str, Query]:
