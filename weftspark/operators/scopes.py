@@ -23,6 +23,14 @@ def within(match: Column) -> Column:
     return F.coalesce(furthest >= F.col("elem_id"), F.lit(False))
 
 
+def within_mask(mask: Column, bits: int) -> Column:
+    """The bits that any element around this one has in a mask: one running value a bit, over one sort."""
+    out = F.lit(0)
+    for k in range(bits):
+        out = out.bitwiseOR(F.when(within(mask.bitwiseAND(F.lit(1 << k)) != 0), 1 << k).otherwise(0))
+    return out
+
+
 def contains(match: Column) -> Column:
     """Whether an element inside this one matches."""
     nearest = F.min(F.when(match, F.col("elem_id"))).over(_in_order().rowsBetween(1, Window.unboundedFollowing))

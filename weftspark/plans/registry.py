@@ -31,6 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules that register further queries."""
+    import weftspark.plans.bands  # noqa: F401, PLC0415
     import weftspark.plans.more  # noqa: F401, PLC0415
     import weftspark.plans.trees  # noqa: F401, PLC0415
     import weftspark.plans.walks  # noqa: F401, PLC0415
@@ -494,48 +495,6 @@ def q48_candidate_rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("place is not null").groupBy("stem").agg(F.min_by("p_partkey", F.struct("place", "p_partkey")).alias("p_partkey"))
 
 
-# Visibility bands: base, sm, md, lg, xl, 2xl.
-_BANDS = ("base", "sm", "md", "lg", "xl", "2xl")
-_CLASSES = ("block", "hidden", "hidden md:block", "md:hidden", "block lg:hidden", "hidden sm:flex xl:hidden", "flex", "max-md:hidden")
-
-
-def _bands(classes: str) -> list[bool]:
-    """Whether each band shows an element with these classes: later tokens of the same or a wider reach override."""
-    shown = [True] * len(_BANDS)
-    for token in sorted(classes.split(), key=lambda t: _BANDS.index(t.split(":")[0]) if ":" in t and not t.startswith("max-") else 0):
-        prefix, _, effect = token.rpartition(":")
-        first, last = (0, _BANDS.index(prefix[4:])) if prefix.startswith("max-") else (_BANDS.index(prefix or "base"), len(_BANDS))
-        for k in range(first, last):
-            shown[k] = effect != "hidden"
-    return shown
-
-
-def _band_rows() -> list[tuple[int, str, list[bool]]]:
-    return [(i, c, _bands(c)) for i, c in enumerate(_CLASSES)]
-
-
-_BANDS_SQL = "bands(class_id, classes, shown) AS (VALUES " + ", ".join(f"({i}, '{c}', [{', '.join(str(x).lower() for x in s)}])" for i, c, s in _band_rows()) + ")"
-
-
-def _band_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_band_rows(), "class_id int, classes string, shown array<boolean>")
-
-
-@query(f"WITH {_BANDS_SQL} SELECT p.page_id, b.classes, len(list_filter(b.shown, lambda x: x)) AS bands_shown, b.shown[1] AND NOT b.shown[6] AS small_only FROM pages p JOIN bands b ON b.class_id = p.page_id % {len(_CLASSES)}")
-def q49_visibility_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % len(_CLASSES)).cast("int").alias("class_id"))
-    shown = F.col("shown")
-    return pages.join(F.broadcast(_band_table(spark)), "class_id").select("page_id", "classes", F.size(F.filter(shown, lambda x: x)).cast("long").alias("bands_shown"), (F.element_at(shown, 1) & ~F.element_at(shown, 6)).alias("small_only"))
-
-
-@query(f"WITH {_BANDS_SQL} SELECT a.class_id AS a, b.class_id AS b, len(list_filter(list_zip(a.shown, b.shown), lambda x: x[1] AND x[2])) > 0 AS overlap FROM bands a JOIN bands b ON a.class_id < b.class_id")
-def q50_overlap_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _band_table(spark)
-    a, b = rows.alias("a"), rows.alias("b")
-    overlap = F.exists(F.zip_with("a.shown", "b.shown", lambda x, y: x & y), lambda x: x)
-    return a.join(b, F.col("a.class_id") < F.col("b.class_id")).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), overlap.alias("overlap"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, place FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_linenumber, l_partkey) AS place FROM lineitem) WHERE place <= 3")
 def q51_top3_culprits(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), F.desc("l_quantity"), "l_linenumber", "l_partkey")
