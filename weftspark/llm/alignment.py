@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.shared import written
 from weftspark.llm.text import raw_bytes, text_chunks
+from weftspark.llm.token_records import WordEncoder
 
 #: Id pairs that are broadcast at most (24 bytes each, about 100 MB as Spark's hashed table).
 BROADCAST_PAIRS = 1_000_000
@@ -68,13 +69,12 @@ class Pair:
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
-        letters, entries = byte_letters(), [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
+        self.a = WordEncoder(byte_level, literal=True)
+        vocabulary = self.a.tokenizer.get_vocab()
+        letters, entries = byte_letters(), [b""] * len(vocabulary)
+        for entry, i in vocabulary.items():
             entries[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         self.a_bytes = ByteVocabulary(entries)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -84,7 +84,7 @@ class Pair:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A over a space and the text, and of B over the text; none for an empty text."""
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode([" " + t for t in texts])]
         b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
         return [x if t else x[:0] for x, t in zip(a, texts)], [x if t else x[:0] for x, t in zip(b, texts)]
 

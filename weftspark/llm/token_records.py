@@ -104,15 +104,16 @@ class WordEncoder:
     vocabulary and never merges across a cut. Texts of ASCII and Latin letters
     are cut here by the same pattern, and each distinct piece is encoded once;
     texts with other characters, or with a special token's string, are encoded
-    whole.
+    whole. With ``literal`` the strings of special tokens are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
