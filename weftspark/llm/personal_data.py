@@ -41,6 +41,8 @@ TURNS, LEAST_SEEDS, SURE_PATTERN, SURE_INSTANCE = 3, 3, 0.5, 0.75
 LEAST_LENGTH = 6
 #: Code points before and after a candidate in which its context words are read.
 WINDOW = 80
+#: Spans of a text that are placed or masked as one list, so that very many spans do not copy one list or scan one text for each.
+BLOCK = 256
 
 # The contract's patterns; \G and the look-behind only forbid starts inside a run that an earlier start has tried.
 _FIXED = {
@@ -87,7 +89,6 @@ def _valid_span(kind: str, span: Column) -> Column:
 
 def _placed(hits: Column, gaps: Column, kind: Column) -> Column:
     """Spans of the matches from the texts between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
 
     def step(a: Column, x: Column) -> Column:
@@ -95,7 +96,18 @@ def _placed(hits: Column, gaps: Column, kind: Column) -> Column:
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def block(held: Column, a: Column, i: Column) -> Column:
+        # A list grows by being copied, so long ones are made of short ones.
+        own = F.aggregate(F.slice(held, i * BLOCK + 1, F.lit(BLOCK)), F.struct(a["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(a["out"], F.array(own["out"])).alias("out"))
+
+    def placed(held: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, start, lambda a, i: block(held, a, i), lambda a: F.flatten(a["out"]))
+
+    # The pairs are one value in here, not made anew for every block.
+    return F.get(F.transform(F.array(pairs), placed), F.lit(0))
 
 
 def _with_spans(rows: DataFrame, name: str, patterns: dict[str, str], needs: dict[str, str | None]) -> DataFrame:
@@ -122,29 +134,44 @@ def _context_word(text: Column, last: bool) -> Column:
 def _candidates(rows: DataFrame) -> DataFrame:
     """Rows (row, key, base, gaps, hits) to one row for each span that begins in a word with a digit or an at sign, or for the word: key, start, end, instance, seed, patterns.
 
-    Places are running sums over a row's words, and contexts come from the texts between them, so the work is linear in the text.
+    Words and spans are rows of their own. Places of words are running sums, contexts come from the texts between words, and
+    a word meets the spans around it as running values over both in order, so the work is that of two sorts of a text's words.
     """
-    cut = rows.where(F.size("hits") > 0).select("row", "key", "base", F.posexplode(F.arrays_zip("gaps", "hits")).alias("pos", "w")).select("row", "key", "base", "pos", F.col("w.gaps").alias("gap"), F.coalesce("w.hits", F.lit("")).alias("hit"))
+    nothing, no_span, no_word = F.lit(""), F.lit(None).cast(_SPAN[6:-1]), F.lit(None).cast("struct<gaps:string,hits:string>")
+    parts = F.concat(
+        F.transform(F.arrays_zip("gaps", "hits"), lambda w, i: F.struct(i.alias("pos"), w.alias("w"), no_span.alias("span"))),
+        F.transform("base", lambda s: F.struct(F.lit(-1).alias("pos"), no_word.alias("w"), s.alias("span"))),
+    )
+    cut = rows.where(F.size("hits") > 0).select("row", "key", F.explode(parts).alias("p")).select("row", "key", "p.pos", F.coalesce("p.w.gaps", nothing).alias("gap"), F.coalesce("p.w.hits", nothing).alias("hit"), "p.span")
     by = Window.partitionBy("row").orderBy("pos")
     tail, head = F.expr(f"right(gap, {WINDOW})"), F.expr(f"left(gap, {WINDOW})")
     placed = cut.withColumns({
         "word_end": F.sum(F.length("gap") + F.length("hit")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
-        "left": F.concat(F.coalesce(F.lag(F.expr(f"right(hit, {WINDOW})")).over(by), F.lit("")), tail),
-        "right": F.concat(F.coalesce(F.lead(head).over(by), F.lit("")), F.coalesce(F.lead(F.expr(f"left(hit, {WINDOW})")).over(by), F.lit(""))),
-    }).where("hit <> ''").withColumn("word_start", F.col("word_end") - F.length("hit"))
-    inner = F.regexp_extract("hit", r"^[^A-Za-z0-9]*+(.*?)[^A-Za-z0-9]*$", 1)
-    before = F.regexp_extract("hit", r"^([^A-Za-z0-9]*+)", 1)
-    overlap = F.filter("base", lambda s: (s["start"] < F.col("word_end")) & (s["end"] > F.col("word_start")))
-    # A span belongs to the word in which it begins; a word that only continues one is no candidate.
-    inside = F.exists(overlap, lambda s: s["start"] < F.col("word_start"))
-    begun = F.filter(overlap, lambda s: s["start"] >= F.col("word_start"))
-    named = placed.where(~inside | (F.size(begun) > 0)).select("key", "word_start", "left", "right", inner.alias("inner"), (F.col("word_start") + F.length(before)).alias("start"), begun.alias("overlap"))
-    near, far = _context_word(F.col("left"), True), _context_word(F.regexp_replace("left", r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*$", ""), True)
-    after = _context_word(F.col("right"), False)
+        "left": F.concat(F.coalesce(F.lag(F.expr(f"right(hit, {WINDOW})")).over(by), nothing), tail),
+        "right": F.concat(F.coalesce(F.lead(head).over(by), nothing), F.coalesce(F.lead(F.expr(f"left(hit, {WINDOW})")).over(by), nothing)),
+    }).where("hit <> '' or span is not null")
+    is_word = F.col("span").isNull()
+    at = F.when(is_word, F.col("word_end") - F.length("hit")).otherwise(F.col("span.start"))
+    ordered = placed.select("row", "key", at.alias("at"), "span", F.when(is_word, F.struct("word_end", "left", "right", "hit")).alias("word"))
+    # Words before spans of the same place: what stands before a word and ends after its start only goes on in it.
+    both = Window.partitionBy("row").orderBy("at", F.col("span").isNotNull())
+    told = ordered.withColumns({
+        "inside": F.coalesce(F.max("span.end").over(both.rowsBetween(Window.unboundedPreceding, -1)) > F.col("at"), F.lit(False)),
+        # Words do not overlap, so only what comes next can begin in one.
+        "begun": F.coalesce(F.lead("span.start").over(both) < F.col("word.word_end"), F.lit(False)),
+        "around": F.last("word", ignorenulls=True).over(both.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    # A span is read in the word in which it begins; a word in which none begins stands for itself.
+    named = told.where((F.col("span").isNull() & ~F.col("inside") & ~F.col("begun")) | (F.col("span").isNotNull() & (F.col("at") < F.col("around.word_end"))))
+    inner = F.regexp_extract("around.hit", r"^[^A-Za-z0-9]*+(.*?)[^A-Za-z0-9]*$", 1)
+    before = F.regexp_extract("around.hit", r"^([^A-Za-z0-9]*+)", 1)
+    near, far = _context_word(F.col("around.left"), True), _context_word(F.regexp_replace("around.left", r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*$", ""), True)
+    after = _context_word(F.col("around.right"), False)
+    first = F.col("around.word_end") - F.length("around.hit") + F.length(before)
     out = named.select(
-        "key", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("inner")).cast("int").alias("end"),
-        F.explode(F.when(F.size("overlap") > 0, F.transform("overlap", lambda s: F.lower(s["value"]))).otherwise(F.array(F.lower("inner")))).alias("instance"),
-        (F.size("overlap") > 0).alias("seed"),
+        "key", first.cast("int").alias("start"), (first + F.length(inner)).cast("int").alias("end"),
+        F.lower(F.coalesce("span.value", inner)).alias("instance"),
+        F.col("span").isNotNull().alias("seed"),
         F.array(F.concat_ws(" ", F.lit("<"), far, near), F.concat_ws(" ", F.lit("="), near, F.lit("_"), after)).alias("patterns"),
     )
     return out.where(F.col("seed") | (F.length("instance") >= LEAST_LENGTH))
@@ -200,15 +227,22 @@ def personal_digest(found: DataFrame) -> DataFrame:
 
 def _masked(content: Column, spans: Column) -> Column:
     """The text with each span, in order of start, replaced by its kind; a span that begins inside an earlier one is part of it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(content, a["at"] + 1, s["start"] - a["at"])
+    def step(part: Column, low: Column, a: Column, s: Column) -> Column:
+        gap = F.substring(part, a["at"] - low + 1, s["start"] - a["at"])
         kept = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
         return F.when(s["start"] >= a["at"], kept).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    rest = lambda a: F.concat(a["out"], F.substring(content, a["at"] + 1, F.length(content)))
-    return F.aggregate(spans, start, step, rest)
+    def block(a: Column, i: Column) -> Column:
+        own = F.slice(spans, i * BLOCK + 1, F.lit(BLOCK))
+        # The part of the text that these spans cover is cut out once, and is a value of its own in here.
+        part = F.array(F.substring(content, a["at"] + 1, F.greatest(F.array_max(F.transform(own, lambda s: s["end"])) - a["at"], F.lit(0))))
+        done = F.get(F.transform(part, lambda p: F.aggregate(own, F.struct(a["at"].alias("at"), F.lit("").alias("out")), lambda x, s: step(p, a["at"], x, s))), F.lit(0))
+        return F.struct(done["at"].alias("at"), F.concat(a["out"], F.array(done["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(content, a["at"] + 1, F.length(content)))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), start, block, rest)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
