@@ -33,7 +33,8 @@ def within_mask(mask: Column, bits: int) -> Column:
 
 def contains(match: Column) -> Column:
     """Whether an element inside this one matches."""
-    nearest = F.min(F.when(match, F.col("elem_id"))).over(_in_order().rowsBetween(1, Window.unboundedFollowing))
+    # From the end backwards: a frame that reaches to the end would be read again for every row.
+    nearest = F.min(F.when(match, F.col("elem_id"))).over(Window.partitionBy("page_id").orderBy(F.desc("elem_id")).rowsBetween(Window.unboundedPreceding, -1))
     return F.coalesce(nearest <= F.col("last"), F.lit(False))
 
 
