@@ -28,21 +28,40 @@ def regex_escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
+#: Code points that must not cross a JSON boundary as themselves, besides those that JSON escapes anyway.
+BOUNDARY = "<>&" + "".join(map(chr, [*range(0x7F, 0xA0), *range(0x2028, 0x202F), *range(0x2066, 0x206A)]))
+
+
 def boundary_escaped(text: Column) -> Column:
-    """``<``, ``>`` and ``&`` as JSON escapes."""
-    for c, code in (("<", "003c"), (">", "003e"), ("&", "0026")):
-        text = F.replace(text, F.lit(c), F.lit(f"\\u{code}"))
-    return text
+    """``<``, ``>``, ``&``, later controls, line and paragraph marks and marks of direction as JSON escapes."""
+    code = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))
+    safe = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.contains(F.lit(BOUNDARY), c) & (c != ""), code(c)).otherwise(c)), "")
+    return F.when(text.rlike(f"[{BOUNDARY}]"), safe).otherwise(text)
 
 
 def offsets(text: Column, word: str) -> Column:
-    """0-based places of all occurrences of a fixed word, left to right, without overlaps."""
-    lengths = F.transform(F.split(text, rf"\Q{word}\E", -1), lambda p: F.length(p))
-    ends = F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(word))
-    return F.slice(ends, 1, F.size(lengths) - 1)
+    """0-based places of all occurrences of a fixed word, left to right, without overlaps.
+
+    One pass carries the place; places are gathered as one growing text, which is split at the end.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, part: F.struct((a["at"] + F.length(part) + len(word)).alias("at"), F.concat(a["out"], F.lit(","), (a["at"] + F.length(part)).cast("string")).alias("out"))
+    parts = F.split(text, rf"\Q{word}\E", -1)
+    blocks = F.transform(F.array(parts), lambda own: F.aggregate(F.slice(own, F.lit(1), F.size(own) - 1), start, step, lambda a: F.substring(a["out"], 2, 1 << 30)))
+    found = F.get(blocks, F.lit(0))
+    return F.when(found == "", F.array().cast("array<int>")).otherwise(F.split(found, ",").cast("array<int>"))
+
+
+# The marks of thousands.
+MARKS = ("", "K", "M", "B", "T")
 
 
 def compact_number(n: Column) -> Column:
-    """1234 as 1.2K, 5600000 as 5.6M."""
-    short = lambda by, mark: F.concat(F.format_string("%.1f", F.floor(n / by * 10) / 10), F.lit(mark))
-    return F.when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 1000, short(1000, "K")).otherwise(n.cast("string"))
+    """A whole number in its largest unit with at most one decimal, halves away from zero: 1000 is 1K, 1250 is 1.3K, 999950 is 1M."""
+    size = F.abs(n)
+    tenths = [size * 10 if k == 0 else F.floor((size + 50 * 1000 ** (k - 1)) / (100 * 1000 ** (k - 1))) for k in range(len(MARKS))]
+    shown = lambda t, mark: F.concat(F.floor(t / 10).cast("string"), F.when(t % 10 != 0, F.concat(F.lit("."), (t % 10).cast("string"))).otherwise(""), F.lit(mark))
+    out = shown(tenths[-1], MARKS[-1])
+    for k in range(len(MARKS) - 2, -1, -1):
+        out = F.when(tenths[k] < 10_000, shown(tenths[k], MARKS[k])).otherwise(out)
+    return F.concat(F.when(n < 0, "-").otherwise(""), out)

@@ -124,14 +124,14 @@ def q64_rule_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, CASE WHEN regexp_matches(v, '^[A-Za-z0-9_./:@+-]+$') THEN v ELSE '''' || replace(v, '''', '''"''"''') || '''' END AS quoted,
-replace(replace(replace(v, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS escaped, regexp_replace(v, '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') AS pattern,
-coalesce(nullif(substr(trim(regexp_replace(regexp_replace(v, '[\\x00-\\x1f\\x7f-\\x9f]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 160), ''), 'unknown element') AS shown
-FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'it''s <' || c_name || '> & (more)' WHEN 2 THEN '  ' || chr(9) || c_mktsegment || chr(10) || 'x  ' WHEN 3 THEN ' ' ELSE 'a.b*c[' || c_custkey || ']' END AS v FROM customer)""")
+replace(replace(replace(replace(replace(replace(v, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), chr(8238), '\\u202e'), chr(8232), '\\u2028'), chr(133), '\\u0085') AS escaped, regexp_replace(v, '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') AS pattern,
+coalesce(nullif(substr(trim(regexp_replace(regexp_replace(translate(v, chr(133) || chr(8232) || chr(8238), '   '), '[\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 160), ''), 'unknown element') AS shown
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'it''s <' || c_name || '> & (more)' WHEN 2 THEN '  ' || chr(9) || c_mktsegment || chr(10) || 'x  ' WHEN 3 THEN ' ' ELSE 'a.b*c[' || chr(8238) || c_custkey || chr(8232) || ']' || chr(133) END AS v FROM customer)""")
 def q65_safe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("c_custkey") % 5
     v = (
         F.when(kind == 0, F.col("c_name")).when(kind == 1, F.concat(F.lit("it's <"), "c_name", F.lit("> & (more)"))).when(kind == 2, F.concat(F.lit("  \t"), "c_mktsegment", F.lit("\nx  ")))
-        .when(kind == 3, " ").otherwise(F.concat(F.lit("a.b*c["), F.col("c_custkey").cast("string"), F.lit("]")))
+        .when(kind == 3, " ").otherwise(F.concat(F.lit("a.b*c[\u202e"), F.col("c_custkey").cast("string"), F.lit("\u2028]\x85")))
     )
     rows = table(spark, sf_dir, "customer").select("c_custkey", v.alias("v"))
     return rows.select("c_custkey", texts.shell_quoted(F.col("v")).alias("quoted"), texts.boundary_escaped(F.col("v")).alias("escaped"), texts.regex_escaped(F.col("v")).alias("pattern"), texts.descriptor(F.col("v")).alias("shown"))
@@ -143,9 +143,14 @@ def q66_match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(texts.offsets(F.col("p_name"), "e").cast("array<string>"), ",").alias("places"))
 
 
-@query("SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', floor(n / 100000) / 10) WHEN n >= 1000 THEN printf('%.1fK', floor(n / 100) / 10) ELSE CAST(n AS VARCHAR) END AS compact, strftime(o_orderdate, '%b') || ' ' || day(o_orderdate) AS short_day, CAST(o_orderdate AS DATE) - 1 AS last_day FROM (SELECT *, CAST(floor(o_totalprice * 5) AS BIGINT) AS n FROM orders)")
+@query("""WITH sized AS (SELECT *, CAST(floor(o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 9 WHEN 2 THEN 5000 ELSE 0.002 END) AS BIGINT) AS n FROM orders),
+units AS (SELECT o_orderkey, o_orderdate, n, list_filter([(0, 10, ''), (1, 100, 'K'), (2, 100000, 'M'), (3, 100000000, 'B')], lambda u: (CASE WHEN u[1] = 0 THEN n * 10 ELSE (n * 2 + u[2]) // (u[2] * 2) END) < 10000)[1] AS u FROM sized),
+tenths AS (SELECT *, CASE WHEN u[1] = 0 THEN n * 10 ELSE (n * 2 + u[2]) // (u[2] * 2) END AS t FROM units)
+SELECT o_orderkey, (t // 10) || CASE WHEN t % 10 > 0 THEN '.' || (t % 10) ELSE '' END || u[3] AS compact, strftime(o_orderdate, '%b') || ' ' || day(o_orderdate) AS short_day, CAST(o_orderdate AS DATE) - 1 AS last_day FROM tenths""")
 def q67_number_and_day_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").withColumn("n", F.floor(F.col("o_totalprice") * 5).cast("long"))
+    kind = F.col("o_orderkey") % 4
+    scale = F.when(kind == 0, 1.0).when(kind == 1, 9.0).when(kind == 2, 5000.0).otherwise(0.002)
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.floor(F.col("o_totalprice") * scale).cast("long"))
     return rows.select("o_orderkey", texts.compact_number(F.col("n")).alias("compact"), F.date_format("o_orderdate", "MMM d").alias("short_day"), F.date_sub(F.to_date("o_orderdate"), 1).alias("last_day"))
 
 
@@ -188,7 +193,7 @@ def q70_interval_and_last_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DAYS_SQL}, placed AS (SELECT *, lag(day) OVER w AS before, lag(n) OVER w AS n_before, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS back FROM days WINDOW w AS (PARTITION BY event_type ORDER BY day))
-SELECT event_type, day + CAST(k * coalesce(day - before, 1) AS INTEGER) AS day, round(greatest(0, n + k * coalesce(CAST(n - n_before AS DOUBLE) / (day - before), 0) * coalesce(day - before, 1)), 6) AS n FROM placed, range(1, 6) t(k) WHERE back = 1""")
+SELECT event_type, day + CAST(k * coalesce(day - before, 1) AS INTEGER) AS day, round(n + k * coalesce(CAST(n - n_before AS DOUBLE) / (day - before), 0) * coalesce(day - before, 1), 6) AS n FROM placed, range(1, 6) t(k) WHERE back = 1""")
 def q71_projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.projected(series.last_segment(_days(spark, sf_dir), "event_type", "day", "n"), "event_type", "day", "n", 5)
 
@@ -276,19 +281,30 @@ def q79_element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.page_findings(html.elements(table(spark, sf_dir, "pages"))).select("page_id", "rule", "status")
 
 
-_REDIRECTS = ("http://@/a?x=1", "https://www.@/a?x=1", "https://@/a?x=1", "https://@/b", "https://evil.example/a?x=1", "ftp://@/a?x=1")
+_HOPS = ("http://@/a", "https://@/b?x=1", "https://www.@/", "https://@:443/c", "https://@:8443/", "http://www.@/a", "https://u:p@@/", "https://shop.other.example/", "HTTPS://WWW.@", "ftp://@/")
+_ASKED = ("http://@/a", "https://@/", "https://www.@/x", "http://@:8080/", "https://www.a.@/")
+_HOPS_SQL = f"""asked AS (SELECT c_custkey, replace(([{_sql_list(_ASKED)}])[c_custkey % {len(_ASKED)} + 1], '@', 'shop' || c_nationkey || '.example') AS first, list_transform([c_custkey, c_custkey // 10, c_custkey // 7 + c_nationkey], lambda i: replace(([{_sql_list(_HOPS)}])[i % {len(_HOPS)} + 1], '@', 'shop' || c_nationkey || '.example')) AS hops FROM customer),
+urls AS (SELECT c_custkey, unnest(list_prepend(first, hops)) AS url, unnest(range(4)) AS k FROM asked),
+parts AS (SELECT c_custkey, k, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host, regexp_extract(url, '://[^/?#:]+:([0-9]+)', 1) AS port, NOT regexp_matches(url, '://[^/]*@') AND regexp_matches(lower(url), '^https?:') AS fine FROM urls),
+origins AS (SELECT c_custkey, k, scheme, host, CASE WHEN port = CASE scheme WHEN 'http' THEN '80' ELSE '443' END THEN '' ELSE port END AS port, fine FROM parts),
+aliases AS (SELECT *, CASE WHEN starts_with(host, 'www.') AND len(string_split(host, '.')) = 3 THEN substr(host, 5) WHEN NOT starts_with(host, 'www.') AND len(string_split(host, '.')) = 2 THEN 'www.' || host END AS alias FROM origins),
+walk AS (SELECT c_custkey, 0 AS k, host AS first_host, alias, scheme, host, port, false AS renamed, false AS raised, fine FROM aliases WHERE k = 0
+ UNION ALL SELECT w.c_custkey, o.k, first_host, w.alias, o.scheme, o.host, o.port, renamed OR o.host <> w.host, raised OR o.scheme <> w.scheme,
+ w.fine AND o.fine AND (o.host = w.host OR NOT renamed AND w.host = first_host AND coalesce(o.host = w.alias, false)) AND CASE WHEN o.scheme <> w.scheme THEN NOT raised AND w.scheme = 'http' AND o.scheme = 'https' AND w.port = '' AND o.port = '' ELSE o.port = w.port END
+ FROM walk w JOIN origins o ON o.c_custkey = w.c_custkey AND o.k = w.k + 1)"""
 
 
-@query(f"""WITH hops AS (SELECT c_custkey, 'https://shop' || c_nationkey || '.example/a?x=1' AS asked, replace(([{_sql_list(_REDIRECTS)}])[c_custkey % {len(_REDIRECTS)} + 1], '@', 'shop' || c_nationkey || '.example') AS went FROM customer)
-SELECT c_custkey, went, regexp_matches(went, '^https?://') AND regexp_replace(regexp_extract(asked, '^https?://([^/]+)', 1), '^www\\.', '') = regexp_replace(regexp_extract(went, '^https?://([^/]+)', 1), '^www\\.', '')
- AND NOT (starts_with(asked, 'https:') AND starts_with(went, 'http:')) AND regexp_extract(asked, '^[a-z]+://[^/]+(.*)$', 1) = regexp_extract(went, '^[a-z]+://[^/]+(.*)$', 1) AS canonical FROM hops""")
+@query(f"WITH RECURSIVE {_HOPS_SQL} SELECT c_custkey, bool_and(fine) FILTER (k = 1) AS one_hop, bool_and(fine) FILTER (k = 3) AS canonical FROM walk GROUP BY c_custkey")
 def q80_canonical_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.functions import urls
 
-    site = F.concat(F.lit("shop"), F.col("c_nationkey").cast("string"), F.lit(".example"))
-    went = F.replace(F.element_at(F.array(*map(F.lit, _REDIRECTS)), (F.col("c_custkey") % len(_REDIRECTS) + 1).cast("int")), F.lit("@"), site)
-    hops = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://"), site, F.lit("/a?x=1")).alias("asked"), went.alias("went"))
-    return hops.select("c_custkey", "went", urls.canonical_redirect(F.col("asked"), F.col("went")).alias("canonical"))
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    site = F.concat(F.lit("shop"), nation.cast("string"), F.lit(".example"))
+    pick = lambda kinds, n: F.replace(F.get(F.array(*map(F.lit, kinds)), (n % len(kinds)).cast("int")), F.lit("@"), site)
+    hops = F.array(pick(_HOPS, k), pick(_HOPS, F.floor(k / 10)), pick(_HOPS, F.floor(k / 7) + nation))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", pick(_ASKED, k).alias("first"), hops.alias("hops"))
+    follows = lambda n: urls.canonical_redirects(F.col("first"), F.slice("hops", 1, n))
+    return asked.select("c_custkey", follows(1).alias("one_hop"), follows(3).alias("canonical"))
 
 
 @query("SELECT n_nationkey AS i, CAST(floor(110 + sin(1.15 * n_nationkey) * 36 + 9 * n_nationkey + 0.5) AS BIGINT) AS value, CAST(greatest(64, ceil(1.5 * n_nationkey * 10)) AS BIGINT) AS points FROM nation")
