@@ -26,7 +26,9 @@ of fewest private bits for their size first, and a member drops out as soon as i
 could link with none that is left, even if nothing else differed. A passage that
 many otherwise different texts share therefore makes no pairs of these texts, and
 copies of one text are one class after few rounds. Hot cells are aggregated before
-they are shuffled and joined by cell with the few leaders of a round.
+they are shuffled and joined by cell with the leaders of a round: one of each group
+at first, eight times as many in each later round, which only what is still of
+several classes reaches.
 
 Members of those groups carry a parity sketch of SHORT_BITS bits besides: a pair
 whose short sketches differ in too many bits is never made.
@@ -59,8 +61,10 @@ from weftspark.llm.text import mix, shingle_sets, text_chunks, words
 SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
 FIRST_BAND, BAND_GROWTH = 64, 4
-#: Members of a group up to which its cell counts as rare; leaders of the first round over larger groups, and the root of how often more each later round has.
-SMALL_GROUP, LEADERS = 32, 64
+#: Members of a group up to which its cell counts as rare; how many times more leaders a larger group has in each round than in the one before, from one on.
+SMALL_GROUP, LEADERS = 32, 8
+#: Earlier cells of two lists that are compared before a pair is made once more.
+LOOK_BACK = 12
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
@@ -290,16 +294,22 @@ def _led_pairs(held: DataFrame, turn: int, done: DataFrame) -> tuple[DataFrame,
     """Written pairs (a, b) of a round's leaders with the other members, and the members without the leaders.
 
     A leader is the member with the least excess of a salted part of its group; the parts grow in number with the rounds.
+    Two documents that share a passage meet in each of its cells. Where one of the LOOK_BACK cells before this one in
+    the leader's list is among those before it in the other's, and the leader leads there too, they have met there
+    already, or before; so a pair is made few times.
     """
-    parts = min(1 << 40, LEADERS ** (2 * turn + 1))
-    best = held.groupBy("token", F.pmod(F.xxhash64(*NODE), F.lit(parts)).alias("part")).agg(F.min(F.struct("excess", *NODE, "class", *SHORT)).alias("first"))
-    leaders = written(best.select("token", "first.*"), "leaders")
-    lead = leaders.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("excess").alias("ea"), *(F.col(c).alias(f"{c}_a") for c in SHORT))
-    rest = held.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("excess").alias("eb"), *SHORT)
+    parts = min(1 << 40, LEADERS**turn)
+    best = held.groupBy("token", F.pmod(F.xxhash64(*NODE), F.lit(parts)).alias("part")).agg(F.min(F.struct("excess", *NODE)).alias("first"))
+    leads = best.select("token", *(F.col(f"first.{c}").alias(c) for c in NODE), F.lit(True).alias("leads"))
+    earlier = Window.partitionBy(*NODE).orderBy("token").rowsBetween(-LOOK_BACK, -1)
+    marked = held.join(leads, ["token", *NODE], "left")
+    listed = written(marked.withColumns({"before": F.collect_list("token").over(earlier), "met": F.collect_list(F.when(F.col("leads"), F.col("token"))).over(earlier)}), "listed")
+    lead = listed.where("leads").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("excess").alias("ea"), "met", *(F.col(c).alias(f"{c}_a") for c in SHORT))
+    rest = listed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("excess").alias("eb"), "before", *SHORT)
     apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in SHORT))
     fits = (F.col("ca") != F.col("cb")) & (F.col("ea") + F.col("eb") <= 0) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & (apart * (OF + SHARE) <= (F.col("na") + F.col("nb")) * (OF - SHARE))
-    pairs = rest.join(lead, "token").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    others = held.join(leaders.select("token", *NODE), ["token", *NODE], "left_anti").drop("class")
+    pairs = rest.join(lead, "token").where(fits & ~F.arrays_overlap("met", "before")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    others = listed.where("leads is null").drop("class", "leads", "before", "met")
     return written(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), others
 
 
