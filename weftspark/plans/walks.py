@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.operators import expansion
 from weftspark.plans.registry import query
 from weftspark.sources.tables import table
+from weftspark.streaming import job_queue
 
 # Render edges between nations, one a supplier: every other one is guarded, some hide bands.
 _RENDERS_SQL = """renders AS (SELECT s_suppkey AS edge, s_nationkey AS src, s_suppkey % 25 AS dst, CASE WHEN s_suppkey % 2 = 0 THEN 'g' || s_suppkey % 3 END AS guard, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN 'yes' ELSE 'no' END END AS branch,
@@ -79,3 +80,16 @@ def q95_resolved_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.filter(F.array(*(F.when(test, F.struct(dst.cast("long").alias("dst"), F.lit(star).alias("star"))) for test, dst, star in kinds)), lambda x: x.isNotNull())
     aliases = parts.select(k.alias("src"), F.inline(given))
     return expansion.resolve(aliases, parts.where("p_size % 10 = 7").select(k.alias("node")), parts.select(k.alias("node")), _HOPS)
+
+
+@query()
+def q97_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every event asks something of a job of its user's queue; answers depend on all that came before in the queue.
+    k = F.col("event_id")
+    kinds = ("publish", "claim", "claim", "cache", "fail", "finish", "claim", "publish", "fail", "finish")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 64).cast("string")).alias("queue"), k.alias("seq"), at.alias("at_ms"), F.concat(F.lit("j"), F.pmod(F.crc32(k.cast("string")), F.lit(9)).cast("string")).alias("job"),
+        F.get(F.array(*map(F.lit, kinds)), (F.floor(k / 3) % len(kinds)).cast("int")).alias("kind"), (at + (k % 5) * 20_000_000).alias("until_ms"), (k % 4 > 0).alias("retry"),
+    )
+    return job_queue.batch_decisions(rows, job_queue.Policy(lease_ms=40_000_000, job_ms=400_000_000))
