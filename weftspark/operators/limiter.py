@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.operators.folds import ordered_fold
+
 
 class LimitRule(NamedTuple):
     name: str
@@ -64,16 +65,14 @@ def replay(requests: DataFrame, rules: tuple[LimitRule, ...], shard: str) -> Dat
 
     The shard must hold every request that shares an identity under these rules:
     the client for client rules alone, a connected component of clients and
-    repositories where rules of both scopes must admit together.
+    repositories where rules of both scopes must admit together. Requests are read in order and
+    only the counters are held, so memory does not follow the length of a shard's history.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        counters, out = Counters(), []
-        for r in frame.sort_values(["ts_ms", "seq"]).itertuples(index=False):
-            out.append((r.seq, *admit(counters, rules, int(r.ts_ms), {"client": r.client, "repository": r.repository})))
-        return pd.DataFrame(out, columns=["seq", "allowed", "denied_by", "retry_at_ms"]).astype({"retry_at_ms": "Int64"})
+    def step(counters: Counters, r: Any) -> tuple:
+        return (r.seq, *admit(counters, rules, int(r.ts_ms), {"client": r.client, "repository": r.repository}))
 
-    return requests.groupBy(shard).applyInPandas(run, "seq long, allowed boolean, denied_by string, retry_at_ms long")
+    return ordered_fold(requests, shard, ["ts_ms", "seq"], lambda _: Counters(), step, "seq long, allowed boolean, denied_by string, retry_at_ms long")
 
 
 def retry_seconds(retry_at_ms: str, now_ms: str):
