@@ -27,7 +27,7 @@ could link with none that is left, even if nothing else differed. A passage that
 many otherwise different texts share therefore makes no pairs of these texts, and
 copies of one text are one class after few rounds. Hot cells are aggregated before
 they are shuffled and joined by cell with the leaders of a round: one of each group
-at first, eight times as many in each later round, which only what is still of
+at first, LEADERS times as many in each later round, which only what is still of
 several classes reaches.
 
 Members of those groups carry a parity sketch of SHORT_BITS bits besides: a pair
@@ -62,7 +62,7 @@ SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
 FIRST_BAND, BAND_GROWTH = 64, 4
 #: Members of a group up to which its cell counts as rare; how many times more leaders a larger group has in each round than in the one before, from one on.
-SMALL_GROUP, LEADERS = 32, 8
+SMALL_GROUP, LEADERS = 32, 64
 #: Earlier cells of two lists that are compared before a pair is made once more.
 LOOK_BACK = 12
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
