@@ -139,3 +139,15 @@ def test_owners_limit_headings_and_references(spark):
     assert sorted(tuple(r) for r in el.broken_references(rows, el.tag_is("article")).collect()) == [(1, 1, "y"), (1, 2, "x")]
     states = el.reference_state(rows, "aria-labelledby", el.tag_is("article"))
     assert [r.state for r in states.orderBy("elem_id").collect()] == ["missing", "missing", "ambiguous", "missing"]
+
+
+def test_character_references_need_their_semicolon():
+    from weftspark.sources.html import parse_elements
+
+    html = "<article>a &ampLy &lt;b&gt; &amp;lt; &copy &copyx; &#x27;&#39 &</article><a href='?a=1&b=2&amp;c'>\n&amp</a>"
+    rows = parse_elements(html)
+    texts = [e["text"] if isinstance(e, dict) else e.text for e in rows]
+    assert texts == ["a &ampLy <b> &lt; &copy &copyx; '&#39 &", "\n&amp"]
+    last = rows[-1]
+    attrs, start, end = (last["attrs"], last["start"], last["end"]) if isinstance(last, dict) else (last.attrs, last.start, last.end)
+    assert attrs == {"href": "?a=1&b=2&c"} and html[start:end] == html[html.index("<a href") :]
