@@ -118,3 +118,25 @@ def test_elements_close_unclosed_children():
     assert tags["p"][3] == [] and tags["br"][2] == 1
     inner = rows[-1]
     assert inner[1] == "a" and [rows[i][1] for i in inner[3]] == ["p", "button"]
+
+
+def test_nearest_point_orders_days_not_probes(spark):
+    from datetime import date, timedelta
+
+    from weftspark.operators.series import nearest_point
+
+    start, dates = date(2023, 12, 20), (0, 9, 14, 15, 40, 100)
+    points = spark.createDataFrame([(start + timedelta(d),) for d in dates], "day date")
+    asked = [start + timedelta(d) for d in range(-40, 160)]
+    probes = spark.createDataFrame([*enumerate(asked), (999, None)], "probe long, day date")
+    want = {i: min((start + timedelta(d) for d in dates), key=lambda p: (abs((p - a).days), p)) for i, a in enumerate(asked)}
+    got = {r.probe: r.nearest for r in nearest_point(probes, points).collect()}
+    got.pop(999, None)
+    assert got == want
+    # 60,000 probes of one month: a frame read again for every row would take minutes.
+    import time
+
+    many = spark.range(60_000).select(F.col("id").alias("probe"), F.lit(start).alias("day"))
+    began = time.time()
+    assert nearest_point(many, spark.createDataFrame([(start + timedelta(1),)], "day date")).groupBy("nearest").count().collect()[0]["count"] == 60_000
+    assert time.time() - began < 20
