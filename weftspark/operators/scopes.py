@@ -72,9 +72,22 @@ def nearest_scope(points: DataFrame, scopes: DataFrame, keys: list[str]) -> Data
 
 
 def with_owner(elements: DataFrame, match: Column, name: str = "owner") -> DataFrame:
-    """The elements with the elem_id of the nearest element around each that matches; null without one."""
-    scopes = elements.where(match).select("page_id", F.col("elem_id").alias("scope"), (F.col("elem_id") + 1).alias("start"), (F.col("last") + 1).alias("end"))
-    return nearest_scope(elements.withColumn("at", F.col("elem_id")), scopes, ["page_id"]).drop("at", "state").withColumnRenamed("scope", name)
+    """The elements with the elem_id of the nearest element around each that matches; null without one, or without a page_id.
+
+    One pass over the elements: each is an event where it stands, and one that matches also opens
+    and closes a scope, so what made the elements is not run again for the scopes.
+    """
+    event = lambda at, order, delta: F.struct(at.cast("long").alias("_at"), F.lit(order).alias("_order"), F.lit(delta).alias("_delta"))
+    here, opens, closes = event(F.col("elem_id"), 2, 0), event(F.col("elem_id") + 1, 1, 1), event(F.col("last") + 1, 0, -1)
+    scope = F.coalesce(match, F.lit(False)) & F.col("page_id").isNotNull() & (F.col("last") > F.col("elem_id"))
+    # A scope's own events carry no more of the element than its number.
+    events = elements.select(F.struct(*elements.columns).alias("_row"), F.when(scope, F.array(here, opens, closes)).otherwise(F.array(here)).alias("_events"))
+    events = events.select("_row", F.inline("_events")).select(F.col("_row.page_id").alias("page_id"), "_at", "_order", "_delta", F.when(F.col("_order") == 1, F.col("_row.elem_id")).alias("_scope"), F.when(F.col("_order") == 2, F.col("_row")).alias("_row"))
+    by = lambda *keys: Window.partitionBy(*keys).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    deep = events.withColumn("_depth", F.sum("_delta").over(by("page_id"))).where("_order > 0")
+    found = deep.withColumn("_found", F.last("_scope", ignorenulls=True).over(by("page_id", "_depth"))).where("_order = 2")
+    owner = F.when(F.col("_depth") > 0, F.col("_found"))
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in elements.columns), owner.alias(name))
 
 
 def equal_names(named: DataFrame, keys: list[str]) -> DataFrame:

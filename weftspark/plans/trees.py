@@ -9,7 +9,7 @@ from weftspark.operators import elements as rules
 from weftspark.operators import scopes
 from weftspark.plans.registry import query
 from weftspark.sources.html import elements
-from weftspark.sources.tables import table
+from weftspark.sources.tables import spread, table
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,8 @@ def _made_page() -> Column:
 
 
 def _made(spark: SparkSession, sf_dir: str, html: Column) -> DataFrame:
-    return elements(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand"), "p_partkey")
+    return elements(parts.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 _RULE_TESTS = {
