@@ -71,3 +71,12 @@ def test_alternatives_states_and_overlaps(spark):
         assert (got[i].both.hidden, got[i].both.unknown) == (mask(joint, "hidden"), mask(joint, "unknown"))
         assert got[i].small == (x[0] != "hidden" and x[5] == "hidden")
     assert {r.overlap for r in got.values()} == {True, False, None}
+
+
+def test_short_rows_are_dealt_before_their_classes_are_folded(spark):
+    from weftspark.plans.registry import queries
+
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("q49_visibility_bands", "q50_overlap_tristate", "q96_visibility_of_ancestors"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [p_partkey" in plan and f"{4 * cores}" in plan

@@ -72,10 +72,11 @@ def class_alternatives(parts: Column) -> Column:
 
 def merged_visibility(alternatives: Column) -> Column:
     """The state over alternative token lists; all bands are unknown where they are null."""
-    masks = F.transform(alternatives, tokens_hidden)
-    always = F.reduce(masks, F.lit(ALL), lambda a, m: a.bitwiseAND(m))
-    never = F.bitwise_not(F.reduce(masks, F.lit(0), lambda a, m: a.bitwiseOR(m))).bitwiseAND(F.lit(ALL))
-    return F.when(alternatives.isNull(), state(F.lit(0), F.lit(ALL))).otherwise(state(always, F.lit(ALL).bitwiseAND(F.bitwise_not(always.bitwiseOR(never)))))
+    # Each list is folded once: what hides always and what hides at all are carried together.
+    start = F.struct(F.lit(ALL).alias("always"), F.lit(0).alias("ever"))
+    both_ways = lambda held, m: F.struct(held["always"].bitwiseAND(m).alias("always"), held["ever"].bitwiseOR(m).alias("ever"))
+    told = F.reduce(F.transform(alternatives, tokens_hidden), start, both_ways, lambda s: state(s["always"], s["ever"].bitwiseAND(F.bitwise_not(s["always"]))))
+    return F.coalesce(told, state(F.lit(0), F.lit(ALL)))
 
 
 def both(left: Column, right: Column) -> Column:

@@ -9,7 +9,7 @@ from weftspark.functions import visibility as seen
 from weftspark.operators import scopes
 from weftspark.plans.registry import query
 from weftspark.sources.html import elements
-from weftspark.sources.tables import table
+from weftspark.sources.tables import spread, table
 
 _PLAIN = ("block", "hidden", "flex", "text-sm", "!hidden")
 _VARIANTS = ("sm", "md", "lg", "max-md", "hover", "md:max-xl", "2xl")
@@ -30,6 +30,10 @@ def _classes(k: Column, size: Column) -> Column:
     return F.concat(pick(_PLAIN, size % 5), F.lit(" "), pick(_VARIANTS, k % 7), F.lit(":"), pick(_UTILITIES, size % 3), F.lit("  "), pick(_LAST, k % 4))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+
+
 # A band's state is that of its token of the highest rank: with variants before without, then the later one.
 _CASCADE_SQL = f"""display(utility, shown) AS (VALUES ('block', true), ('flex', true), ('grid', true), ('inline', true), ('hidden', false)), bands(band, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(seen.BANDS))}),
 tokens AS (SELECT id, place, string_split(token, ':')[:-2] AS variants, ltrim(string_split(token, ':')[-1], '!') AS utility FROM (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT id, list_filter(string_split(classes, ' '), lambda x: x <> '') AS t FROM strings))),
@@ -42,7 +46,7 @@ masks AS (SELECT id, CAST(sum(CASE WHEN hidden THEN 1 << band ELSE 0 END) AS INT
 
 @query(f"WITH strings AS (SELECT p_partkey AS id, {_classes_sql('p_partkey', 'p_size')} AS classes FROM part), {_CASCADE_SQL} SELECT id AS p_partkey, hidden, 6 - bit_count(hidden) AS bands_shown, hidden & 1 = 0 AND hidden & 32 > 0 AS small_only FROM masks")
 def q49_visibility_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = table(spark, sf_dir, "part").select("p_partkey", seen.merged_visibility(F.array(seen.class_tokens(_classes(F.col("p_partkey"), F.col("p_size"))))).alias("v"))
+    told = _parts(spark, sf_dir).select("p_partkey", seen.merged_visibility(F.array(seen.class_tokens(_classes(F.col("p_partkey"), F.col("p_size"))))).alias("v"))
     return told.select("p_partkey", F.col("v.hidden").alias("hidden"), (len(seen.BANDS) - F.bit_count("v.hidden")).alias("bands_shown"), seen.small_only(F.col("v")).alias("small_only"))
 
 
@@ -56,7 +60,7 @@ def q50_overlap_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     always, more = seen.class_tokens(_classes(k + 1, size + 2)), seen.class_tokens(_classes(k + 3, size + 1))
     nothing = F.expr("cast(array() as array<string>)")
     parts = F.when(size % 11 == 0, F.array_repeat(F.array(nothing, more), 6)).otherwise(F.array(F.array(always), F.array(nothing, more)))
-    told = table(spark, sf_dir, "part").select("p_partkey", seen.merged_visibility(F.array(seen.class_tokens(_classes(k, size)))).alias("one"), seen.merged_visibility(seen.class_alternatives(parts)).alias("two"))
+    told = _parts(spark, sf_dir).select("p_partkey", seen.merged_visibility(F.array(seen.class_tokens(_classes(k, size)))).alias("one"), seen.merged_visibility(seen.class_alternatives(parts)).alias("two"))
     return told.select("p_partkey", F.col("two.hidden").alias("hidden"), F.col("two.unknown").alias("unknown"), seen.overlap(F.col("one"), F.col("two")).alias("overlap"))
 
 
@@ -66,6 +70,6 @@ def q96_visibility_of_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An element is hidden where it or anything around it is.
     k, size = F.col("p_partkey"), F.col("p_size")
     html = F.concat(F.lit("<div class='"), _classes(k, size), F.lit("'><section class='"), _classes(k + 1, size + 2), F.lit("'><p class='"), _classes(k + 2, size + 1), F.lit("'>x</p></section><i></i></div>"))
-    rows = elements(table(spark, sf_dir, "part").select(k.alias("page_id"), html.alias("html")))
+    rows = elements(_parts(spark, sf_dir).select(k.alias("page_id"), html.alias("html")))
     own = rows.withColumn("own", seen.tokens_hidden(seen.class_tokens(F.coalesce(F.element_at("attrs", F.lit("class")), F.lit("")))))
     return own.select(F.col("page_id").alias("p_partkey"), "tag", F.col("own").bitwiseOR(scopes.within_mask(F.col("own"), len(seen.BANDS))).alias("hidden"))
