@@ -140,3 +140,24 @@ def test_nearest_point_orders_days_not_probes(spark):
     began = time.time()
     assert nearest_point(many, spark.createDataFrame([(start + timedelta(1),)], "day date")).groupBy("nearest").count().collect()[0]["count"] == 60_000
     assert time.time() - began < 20
+
+
+def test_fold_of_blocks_equals_the_fold_of_rows(spark):
+    from weftspark.operators.folds import _blocks, ordered_fold, ordered_fold_of_blocks
+
+    rows = spark.range(30_000).selectExpr("id as seq", "id * 7919 % 1000 as at", "case when id % 10 = 0 then id % 30 else 5 end as shard", "cast(id % 13 as string) as name")
+    step = lambda held, r: (held.append(r.seq % 97) or r.seq, (sum(held[-5:]) * 31 + len(held)) % 1009, r.name)
+    told = [fold(rows, "shard", ["at", "seq"], lambda _: [], step, "seq long, state long, name string") for fold in (ordered_fold, ordered_fold_of_blocks)]
+    plain, packed = (sorted(map(tuple, t.collect())) for t in told)
+    assert plain == packed and len(packed) == 30_000
+    # The task that folds a shard orders far fewer rows than the shard has.
+    assert _blocks(rows, "shard", ["at", "seq"]).count() < 300
+    empty = ordered_fold_of_blocks(rows.where("seq < 0"), "shard", ["at", "seq"], lambda _: [], step, "seq long, state long, name string")
+    assert empty.count() == 0
+
+
+def test_large_shards_of_the_limiter_are_packed(spark):
+    from weftspark.plans.registry import queries
+
+    plan = queries()["q25_limiter_atomic_multi_rule"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" in plan and "MapInArrow" in plan

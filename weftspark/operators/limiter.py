@@ -7,7 +7,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.operators.folds import ordered_fold
+from weftspark.operators.folds import ordered_fold, ordered_fold_of_blocks
 
 
 class LimitRule(NamedTuple):
@@ -60,19 +60,21 @@ def admit(counters: Counters, rules: tuple[LimitRule, ...], now: int, identities
     return True, None, None
 
 
-def replay(requests: DataFrame, rules: tuple[LimitRule, ...], shard: str) -> DataFrame:
+def replay(requests: DataFrame, rules: tuple[LimitRule, ...], shard: str, few_shards: bool = False) -> DataFrame:
     """Decisions of ``requests(seq, ts_ms, client, repository, <shard>)`` in order of time within each shard.
 
     The shard must hold every request that shares an identity under these rules:
     the client for client rules alone, a connected component of clients and
     repositories where rules of both scopes must admit together. Requests are read in order and
-    only the counters are held, so memory does not follow the length of a shard's history.
+    only the counters are held. ``few_shards`` says that a shard may hold most of the requests: they
+    are then sorted by ranges on all cores, and a shard's task sorts packed blocks of them.
     """
 
     def step(counters: Counters, r: Any) -> tuple:
         return (r.seq, *admit(counters, rules, int(r.ts_ms), {"client": r.client, "repository": r.repository}))
 
-    return ordered_fold(requests, shard, ["ts_ms", "seq"], lambda _: Counters(), step, "seq long, allowed boolean, denied_by string, retry_at_ms long")
+    fold = ordered_fold_of_blocks if few_shards else ordered_fold
+    return fold(requests, shard, ["ts_ms", "seq"], lambda _: Counters(), step, "seq long, allowed boolean, denied_by string, retry_at_ms long")
 
 
 def retry_seconds(retry_at_ms: str, now_ms: str):
