@@ -250,3 +250,18 @@ def test_groups_are_readable(spark):
     bpe, pieces = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     sides = [[bpe.decode([int(i) for i in g.split("|")[0].split(",")]), "".join(pieces.id_to_piece(int(i)) for i in g.split("|")[1].split(","))] for g in row.groups.split(";")]
     assert all(x == y.replace("▁", " ") for x, y in sides) and len(sides) == row.n_groups
+
+
+def test_new_words_are_encoded_in_runs_with_the_same_ids():
+    import public_tokenizers
+
+    from weftspark.llm.token_records import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [f" {a}{b}" for a in ("thly", "Ärm", "ouble", "x", "ÿøn") for b in ("shansh", "é", "Q", "ting")] * 40
+    texts = ["".join(words) + " it's 12 %%% \n\n end", "", " a  b\tc ", "Ġ a", "漢字 kanji"]
+    encode, asked = WordEncoder(path), []
+    whole = encode._whole
+    encode._whole = lambda pieces: (asked.extend(pieces), whole(pieces))[1]
+    assert encode.encode(texts) == whole(texts)
+    assert not any(p.startswith(" ") and p[1:].isalpha() and p.isascii() for p in asked)

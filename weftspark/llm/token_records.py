@@ -43,6 +43,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
 # Fixed value: the vocabulary's published pattern, for the characters above.
 _PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_SPACED = re.compile(rf" [{_LETTERS}]+")
+#: Pieces that the library encodes as one text.
+RUN = 256
 _HEAD = struct.Struct("<QI")
 _OWN = struct.Struct("<qB")
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8")])
@@ -115,18 +118,37 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # Ids whose bytes begin with a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> list[tuple[str, bytes]]:
+        """The pieces with their ids. Words after a space are cut apart in any text, so they go to the library in runs; each begins with the only id that holds a space."""
+        spaced = list(filter(_SPACED.fullmatch, new))
+        others = [p for p in new if not _SPACED.fullmatch(p)]
+        runs, out = [spaced[i : i + RUN] for i in range(0, len(spaced), RUN)], []
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            cuts = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(run):
+                others += run
+                continue
+            data = ids.astype(self.dtype).tobytes()
+            out += [(p, data[a:b]) for p, a, b in zip(run, cuts, [*cuts[1:], len(data)])]
+        return out + list(zip(others, self._whole(others)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         cut = [_PIECES.findall(t) if p else [] for t, p in zip(texts, plain)]
         new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self._whole(new)))
+        self.known.update(self._pieces(new))
         rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
         return [b"".join(map(self.known.__getitem__, c)) if p else next(rest) for c, p in zip(cut, plain)]
 
