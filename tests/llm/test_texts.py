@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from urllib.parse import urlparse
@@ -158,6 +159,26 @@ def test_every_occurrence_is_segmented_by_its_own_draws():
     assert codec.encode(text, 1).tolist() != codec.encode(text, 2).tolist() and codec.decode(codec.encode(text, 2)) == text
 
 
+def test_what_is_remembered_of_pieces_is_small_and_goes_with_the_task(spark):
+    codec, rng = PieceCodec(PIECES), data.rng(11)
+    text = " ".join("".join(rng.choices("etaoinshr", k=8)) for _ in range(60_000))
+    tracemalloc.start()
+    codec.encode(text)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60_000 * 700, held
+
+    def left(batches):
+        from weftspark.llm.piece_dropout import codec
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(codec(PIECES).roots)])], ["n"])
+
+    one = spark.createDataFrame([(1, "some words that are remembered")], "doc_id long, text string").coalesce(1)
+    assert encode_pieces(one, PIECES).count() == 1 and encode_pieces(one, PIECES).select("decoded").collect()[0][0] == "some words that are remembered"
+    assert spark.range(0, 64, 1, 16).mapInArrow(left, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 def test_pieces_odd_rows(spark):
     rows = piece_digest(encode_pieces(data.odd_documents(spark), PIECES)).collect()
     assert len(rows) == 13 and all(r["lossless"] for r in rows)

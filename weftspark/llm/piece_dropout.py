@@ -12,7 +12,7 @@ where a text holds it, become byte pieces: decoding gives back every text.
 No piece of a vocabulary read here holds a space mark after another character or
 a line end, so merges never leave a unit (spaces and what follows them, up to the
 next space or line end). A unit's run depends only on which of its events (candidates
-taken, in order) are skipped. Each worker remembers the runs that it has met as nodes
+taken, in order) are skipped. Each task remembers the runs that it has met as nodes
 of a tree: a node is a unit with the events skipped so far, and lists the events that
 follow; an occurrence whose draws skip none of these ends there, another one goes on
 to the node of the first that it skips. New nodes run side by side, one event of each
@@ -39,10 +39,16 @@ from pyspark.sql import functions as F
 from weftspark.llm.text import mix, text_chunks
 
 SEED, DROPOUT = 20240, 0.1
-#: Nodes after which a Python worker starts a new memory.
-CACHE_NODES = 400_000
+#: Nodes after which a task starts a new memory; none is kept beyond the task.
+CACHE_NODES = 600_000
 #: Symbols up to which units are merged side by side, in groups of no more symbols than these.
 SHORT_UNITS = (6, 9, 12, 16, 24, 40)
+#: New nodes up to which they are merged in fewer such groups.
+FEW = 3000
+#: Columns of a node: where its unit's symbols begin and how many there are, the node before it and the turn that was skipped (-1: a root), and the ends of its ids and events.
+SYMBOLS, SIZE, PARENT, TURN, IDS, EVENTS = range(6)
+#: Stands for a node that no occurrence has reached so far.
+NOT_MADE = -2
 MARK = "\u2581"
 #: Stands for a space mark of the text while merging: two characters, so no symbol of one character and no piece equals it.
 LITERAL = "\n\n"
@@ -68,6 +74,26 @@ def occurrence_keys(seed: int, doc: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(_mixed(_mixed(seed) + doc & _FULL)))
 
 
+class Rows:
+    """Numbers, or rows of them, that are added to; ``all`` is a view of those so far."""
+
+    def __init__(self, kind, width: int = 0):
+        self.held = np.zeros((1024, width) if width else 1024, kind)
+        self.all = self.held[:0]
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.all)
+        if n + len(more) > len(self.held):
+            held = np.zeros((n + len(more) + n // 2, *self.held.shape[1:]), self.held.dtype)
+            held[:n] = self.all
+            self.held = held
+        self.held[n : n + len(more)] = more
+        self.all = self.held[: n + len(more)]
+
+
 class PieceCodec:
     """Encoder and decoder of one byte-pair SentencePiece model with byte fallback."""
 
@@ -135,102 +161,134 @@ class PieceCodec:
         return self.ranks[at], self.merged[at]
 
     def _forget(self) -> None:
-        #: Root node by unit, child by (node, event); of each node its unit and skipped events, its ids, and its events in ``events``.
+        #: Root node by unit; NODE columns in ``nodes``, the symbols of root nodes, and of all nodes their ids and their events, with the node that follows where one is skipped.
         self.roots: dict[str, int] = {}
-        self.children: dict[tuple[int, int], int] = {}
-        self.made: list[tuple[str, tuple[int, ...]]] = []
-        self.results: list[bytes] = []
-        self.events, self.begins = np.zeros(0, _U), np.zeros(1, np.int64)
-
-    def _run(self, nodes: list[tuple[str, tuple[int, ...]]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-        """The ids of units and skipped events, None for units with characters that are no piece; the others' events after the last skipped one, node after node, and their numbers by node."""
-        units = [u for u, _ in nodes]
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        chars = self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        begins, out = np.cumsum(sizes) - sizes, [None] * len(units)
+        self.nodes, self.chars, self.ids_of, self.events, self.child = Rows(np.int64, 6), Rows(np.int32), Rows("<u2" if self.kind == "H" else "<u4"), Rows(_U), Rows(np.int32)
+
+    def _run(self, chars: np.ndarray, sizes: np.ndarray, parents: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of units, each with the node before it and the turn skipped after that (-1: none): whether all their symbols are pieces, ids and how many, events after the last skipped one and how many."""
+        begins, first = np.cumsum(sizes) - sizes, turns + 1
         none = np.zeros(0, np.int64)
-        events: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none.astype(_U))]
-        for low, width in zip((0, *SHORT_UNITS), SHORT_UNITS):
+        events, pieces = [(none, none, none.astype(_U))], [(none, none)]
+        known = np.ones(len(sizes), bool)
+        widths = SHORT_UNITS if len(sizes) > FEW else SHORT_UNITS[1::2]
+        for low, width in zip((0, *widths), widths):
             chosen = np.flatnonzero((sizes > low) & (sizes <= width))
             if not len(chosen):
                 continue
-            m, last = len(chosen), self.symbols - 1
+            m, last, wide = len(chosen), self.symbols - 1, width + 1
             # Column `width` stands beyond both ends: its symbol is in no pair.
-            own = np.full((m, width + 1), last, np.int32)
-            inside = np.arange(width + 1) < sizes[chosen, None]
-            own[inside] = chars[(begins[chosen, None] + np.arange(width + 1))[inside]]
-            following = np.tile(np.append(np.arange(1, width + 1), width).astype(np.int32), (m, 1))
-            before = np.tile(np.append(width, np.arange(width)).astype(np.int32), (m, 1))
-            agenda, piece = np.full((m, width + 1), -1, np.int32), np.zeros((m, width + 1), np.int32)
+            inside = np.arange(wide) < sizes[chosen, None]
+            own = np.full((m, wide), last, np.int32)
+            own[inside] = chars[(begins[chosen, None] + np.arange(wide))[inside]]
+            following = np.tile(np.append(np.arange(1, wide), width), m)
+            before = np.tile(np.append(width, np.arange(width)), m)
+            agenda, piece = np.full((m, wide), -1, np.int32), np.zeros((m, wide), np.int32)
             both = inside[:, 1:]
             agenda[:, :-1][both], piece[:, :-1][both] = self._offers(own[:, :-1][both], own[:, 1:][both])
-            skips = [nodes[i][1] for i in chosen.tolist()]
-            first = np.array([x[-1] + 1 if x else 0 for x in skips])
-            skip = np.zeros((m, max(first.max(), 1)), bool)
-            skip[np.repeat(np.arange(m), [len(x) for x in skips]), [e for x in skips for e in x]] = True
-            alive, rows, turn, met = inside.copy(), np.arange(m), 0, []
+            skip = np.zeros((m, max(int(first[chosen].max()), 1)), bool)
+            at, node, turn = np.arange(m), parents[chosen], turns[chosen]
+            while len(at := at[(more := turn >= 0)]):
+                node, turn = node[more], turn[more]
+                skip[at, turn] = True
+                node, turn = self.nodes.all[node, PARENT], self.nodes.all[node, TURN]
+            flat_own, flat_piece, alive, flat_alive = own.reshape(-1), piece.reshape(-1), inside, inside.reshape(-1)
+            rows, turn, met = np.arange(m), 0, []
+            rest = agenda
             while len(rows):
-                i = agenda[rows].argmax(1)
-                open_ = agenda[rows, i] >= 0
-                rows, i = rows[open_], i[open_]
-                new = piece[rows, i]
+                i = rest.argmax(1)
+                open_ = rest[np.arange(len(rows)), i] >= 0
+                if not open_.all():
+                    # Rows whose agenda is empty leave it.
+                    rows, i, rest = rows[open_], i[open_], rest[open_]
+                    if not len(rows):
+                        break
+                base = rows * wide
+                new = flat_piece[base + i]
                 met.append((rows, new, i))
-                skipped = skip[rows, turn] if turn < skip.shape[1] else np.zeros(len(rows), bool)
+                flat, here = rest.reshape(-1), np.arange(0, len(rows) * wide, wide)
+                if turn < skip.shape[1]:
+                    skipped = skip[rows, turn]
+                    flat[(here + i)[skipped]] = -1
+                    go = ~skipped
+                    base, here, i, new = base[go], here[go], i[go], new[go]
                 turn += 1
-                agenda[rows[skipped], i[skipped]] = -1
-                r, i, new = rows[~skipped], i[~skipped], new[~skipped]
-                j = following[r, i]
-                after, prior = following[r, j], before[r, i]
-                own[r, i], alive[r, j], agenda[r, j] = new, False, -1
-                following[r, i], before[r, after] = after, i
-                agenda[r, i], piece[r, i] = self._offers(new, own[r, after])
-                rank, number = self._offers(own[r, prior], new)
-                agenda[r, prior], piece[r, prior] = rank, number
-            at, new, i = (np.concatenate(c) for c in zip(*met))
-            turns = np.repeat(np.arange(len(met)), [len(r) for r, *_ in met])
-            later = turns >= first[at]
-            known = ~(alive & (own >= len(self.raw))).any(1)
-            later &= known[at]
-            events.append((chosen[at[later]], turns[later], mix(new[later].astype(_U) << _U(32) | i[later].astype(_U))))
-            flat = own[alive].astype("<u2" if self.kind == "H" else "<u4")
-            bounds = [0, *(np.cumsum(alive.sum(1)) * flat.itemsize).tolist()]
-            data = flat.tobytes()
-            for number, good, a, b in zip(chosen.tolist(), known.tolist(), bounds, bounds[1:]):
-                if good:
-                    out[number] = data[a:b]
-        at, turns, drawn = (np.concatenate(c) for c in zip(*events))
-        return out, drawn[np.lexsort((turns, at))], np.bincount(at, minlength=len(units))
-
-    def _add(self, nodes: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-        """Numbers of new nodes; -1 for units that go one by one."""
-        if not nodes:
-            return []
-        ids, events, counts = self._run(nodes)
-        known = np.array([data is not None for data in ids])
-        numbers = np.where(known, len(self.made) + np.cumsum(known) - 1, -1).tolist()
-        self.made += [node for node, data in zip(nodes, ids) if data is not None]
-        self.results += [data for data in ids if data is not None]
-        self.events = np.concatenate([self.events, events])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[known])])
+                place = base + i
+                j = following[place]
+                other = base + j
+                after, prior = following[other], before[place]
+                flat_own[place], flat_alive[other], flat[here + j] = new, False, -1
+                following[place], before[base + after] = after, i
+                ranks, numbers = self._offers(np.concatenate([new, flat_own[base + prior]]), np.concatenate([flat_own[base + after], new]))
+                k = len(new)
+                flat[here + i], flat_piece[place] = ranks[:k], numbers[:k]
+                flat[here + prior], flat_piece[base + prior] = ranks[k:], numbers[k:]
+            if met:
+                at, new, i = (np.concatenate(c) for c in zip(*met))
+                done = np.repeat(np.arange(len(met)), [len(r) for r, *_ in met])
+                later = done >= first[chosen[at]]
+                events.append((chosen[at[later]], done[later], mix(new[later].astype(_U) << _U(32) | i[later].astype(_U))))
+            known[chosen] = ~(alive & (own >= len(self.raw))).any(1)
+            pieces.append((np.repeat(chosen, alive.sum(1)), own[alive]))
+        at, done, drawn = (np.concatenate(c) for c in zip(*events))
+        good = known[at]
+        at, done, drawn = at[good], done[good], drawn[good]
+        order = np.argsort(at << 16 | done)
+        owner, ids = (np.concatenate(c) for c in zip(*pieces))
+        owner, ids = owner[known[owner]], ids[known[owner]]
+        n = len(sizes)
+        return known, ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n), drawn[order], np.bincount(at, minlength=n)
+
+    def _add(self, chars: np.ndarray, sizes: np.ndarray, parents: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes, by their units' symbols; -1 for units that go one by one."""
+        known, ids, n_ids, events, n_events = self._run(chars, sizes, parents, turns)
+        numbers = np.where(known, len(self.nodes) + np.cumsum(known) - 1, -1)
+        begins = np.cumsum(sizes) - sizes
+        symbols = np.where(parents < 0, len(self.chars) + begins, self.nodes.all[parents, SYMBOLS] if len(self.nodes) else 0)
+        if (parents < 0).all():
+            self.chars.add(chars)
+        ends, event_ends = len(self.ids_of) + np.cumsum(n_ids), len(self.events) + np.cumsum(n_events)
+        self.nodes.add(np.stack([symbols, sizes, parents, turns, ends, event_ends], 1)[known])
+        self.ids_of.add(ids)
+        self.events.add(events)
+        self.child.add(np.full(len(events), NOT_MADE, np.int32))
         return numbers
 
+    def _add_roots(self, units: list[str]) -> np.ndarray:
+        if not units:
+            return np.zeros(0, np.int64)
+        none = np.full(len(units), -1)
+        return self._add(self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)], np.fromiter(map(len, units), np.int64, len(units)), none, none)
+
+    def _span(self, nodes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the nodes' ids or events begin, and how many they have."""
+        ends = self.nodes.all[:, column]
+        begin = np.where(nodes > 0, ends[nodes - 1], 0)
+        return begin, ends[nodes] - begin
+
     def _settle(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The last node of each occurrence, from its root and key."""
         nodes, rows = nodes.copy(), np.flatnonzero(nodes >= 0)
         while self.bar and len(rows):
-            begin = self.begins[nodes[rows]]
-            n = self.begins[nodes[rows] + 1] - begin
-            owner = np.repeat(np.arange(len(rows)), n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            skipped = np.flatnonzero((mix(keys[rows][owner] ^ self.events[begin[owner] + place]) >> _U(32)) < self.bar)
-            own, first = np.unique(owner[skipped], return_index=True)
-            rows, place = rows[own], place[skipped[first]]
-            branch, back = np.unique(nodes[rows] << 16 | place, return_inverse=True)
-            pairs = [(b >> 16, b & 0xFFFF) for b in branch.tolist()]
-            new = [p for p in pairs if p not in self.children]
-            made = [(self.made[v][0], (*self.made[v][1], (self.made[v][1][-1] + 1 if self.made[v][1] else 0) + e)) for v, e in new]
-            self.children.update(zip(new, self._add(made)))
-            nodes[rows] = np.array([self.children[p] for p in pairs], np.int64)[back]
+            begin, n = self._span(nodes[rows], EVENTS)
+            ends = np.cumsum(n)
+            slot = np.repeat(begin - ends + n, n) + np.arange(ends[-1])
+            skipped = np.flatnonzero((mix(np.repeat(keys[rows], n) ^ self.events.all[slot]) >> _U(32)) < self.bar)
+            own = np.searchsorted(ends, skipped, "right")
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            own, slot = own[first], slot[skipped[first]]
+            rows, begin = rows[own], begin[own]
+            new = np.flatnonzero(self.child.all[slot] == NOT_MADE)
+            if len(new):
+                made, at = np.unique(slot[new], return_index=True)
+                parents = nodes[rows[new[at]]]
+                symbols, sizes, _, turns, *_ = self.nodes.all[parents].T
+                upto = np.cumsum(sizes)
+                chars = self.chars.all[np.repeat(symbols - upto + sizes, sizes) + np.arange(upto[-1])]
+                numbers = self._add(chars, sizes, parents, turns + 1 + made - begin[new[at]])
+                self.child.all[made] = numbers
+            nodes[rows] = self.child.all[slot]
+            rows = rows[nodes[rows] >= 0]
         return nodes
 
     def segment(self, unit: str, key: int | None = None) -> list[str]:
@@ -275,24 +333,33 @@ class PieceCodec:
 
     def encode_all(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
         """The ids of each text, drawn for its document."""
-        if len(self.made) > CACHE_NODES:
+        if len(self.nodes) > CACHE_NODES:
             self._forget()
-        units = [_UNITS.findall(" " + text) if text else [] for text in texts]
-        new = [u for u in set().union(*units) if u not in self.roots]
+        flat, counts = [], []
+        for text in texts:
+            own = _UNITS.findall(" " + text) if text else []
+            flat += own
+            counts.append(len(own))
+        new = set(flat).difference(self.roots)
         short = [u for u in new if len(u) <= SHORT_UNITS[-1]]
         self.roots.update(dict.fromkeys(new, -1))
-        self.roots.update(zip(short, self._add([(u, ()) for u in short])))
-        flat = [u for own in units for u in own]
-        keys = np.concatenate([np.zeros(0, _U), *(occurrence_keys(self.seed, doc, len(own)) for doc, own in zip(docs, units))])
+        self.roots.update(zip(short, self._add_roots(short).tolist()))
+        keys = np.concatenate([np.zeros(0, _U), *(occurrence_keys(self.seed, doc, n) for doc, n in zip(docs, counts))])
         nodes = self._settle(np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat)), keys)
-        parts = [self.results[v] if v >= 0 else b"" for v in nodes.tolist()]
-        for i in np.flatnonzero(nodes < 0).tolist():
-            parts[i] = self._unit_ids(flat[i], int(keys[i]) if self.bar else None)
+        single = np.flatnonzero(nodes < 0)
+        apart = [np.frombuffer(self._unit_ids(flat[i], int(keys[i]) if self.bar else None), self.ids_of.all.dtype) for i in single.tolist()]
         for u in new:
             if len(u) > SHORT_UNITS[-1]:
                 del self.roots[u]
-        ends = np.cumsum([0, *map(len, units)]).tolist()
-        return [np.frombuffer(b"".join(parts[a:b]), np.dtype(self.kind)) for a, b in zip(ends[:-1], ends[1:])]
+        begin, n = self._span(nodes, IDS) if len(self.nodes) else (np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64))
+        # Units that went one by one stand behind the ids of the nodes.
+        ids = np.concatenate([self.ids_of.all, *apart]) if apart else self.ids_of.all
+        n[single] = [len(x) for x in apart]
+        begin[single] = len(self.ids_of) + np.cumsum(n[single]) - n[single]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_all([text], [doc])[0]
@@ -306,7 +373,7 @@ _CODECS: dict[tuple[str, int, float], PieceCodec] = {}
 
 
 def codec(path: str, seed: int = SEED, dropout: float = DROPOUT) -> PieceCodec:
-    """One codec a Python worker, model file and setting."""
+    """One codec a Python worker, model file and setting; what it remembers of texts goes with the task."""
     key = path, seed, dropout
     if key not in _CODECS:
         _CODECS[key] = PieceCodec(path, seed, dropout)
@@ -322,6 +389,8 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float
             found = own.encode_all(part.column("text").to_pylist(), [doc or 0 for doc in part.column("doc_id").to_pylist()])
             ids, decoded = [x.astype("<u4").tobytes() for x in found], [own.decode(x) for x in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "text", "ids", "decoded"])
+        # The worker lives on, in later stages too.
+        own._forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
