@@ -179,6 +179,18 @@ def test_what_is_remembered_of_pieces_is_small_and_goes_with_the_task(spark):
     assert spark.range(0, 64, 1, 16).mapInArrow(left, "n long").agg({"n": "max"}).first()[0] == 0
 
 
+def test_workers_give_freed_memory_back_at_the_end_of_a_task(monkeypatch):
+    from weftspark.llm import parity_join
+    from weftspark.llm import text as texts
+
+    given = []
+    for module in (texts, parity_join):
+        monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    rows = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    assert [c.num_rows for c in texts.text_chunks(iter([rows, rows]))] == [3, 3] and len(given) == 1
+    assert list(parity_join._compare(iter([]))) == list(parity_join._near_enough(iter([]))) == [] and len(given) == 3
+
+
 def test_pieces_odd_rows(spark):
     rows = piece_digest(encode_pieces(data.odd_documents(spark), PIECES)).collect()
     assert len(rows) == 13 and all(r["lossless"] for r in rows)

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.components import connected_components
 from weftspark.llm.shared import broadcast_if_small, written
-from weftspark.llm.text import mix, shingle_sets, text_chunks, words
+from weftspark.llm.text import give_back, mix, shingle_sets, text_chunks, words
 
 SHARE, OF = 75, 100
 #: Sizes below this are sketched with one cell a shingle; bands from here grow by BAND_GROWTH.
@@ -209,6 +209,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = int((both[1:] == both[:-1]).sum())
             linked.append(OF * common >= SHARE * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+    give_back()
 
 
 def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,7 @@ def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist())
         keep = [differing_bits(x, y) * (OF + SHARE) <= (OF - SHARE) * (na + nb) for na, nb, x, y in rows]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def _near_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:

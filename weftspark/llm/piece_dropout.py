@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.text import mix, text_chunks
+from weftspark.llm.text import give_back, mix, text_chunks
 
 SEED, DROPOUT = 20240, 0.1
 #: Nodes after which a task starts a new memory; none is kept beyond the task.
@@ -391,6 +391,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "text", "ids", "decoded"])
         # The worker lives on, in later stages too.
         own._forget()
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
