@@ -248,6 +248,25 @@ def test_media_files_use_palette_cache_and_copies(monkeypatch):
     assert len(webp._matches(text.astype(np.int64))[0]) > 5 and len(media) < len(text) // 4
 
 
+def test_media_files_share_their_side_codes_and_need_no_search_in_the_cache(monkeypatch):
+    """One code a file is fitted, and no place of the cache has several colours that are read from it."""
+    made, fit = [], webp._code_lengths
+    monkeypatch.setattr(webp, "_code_lengths", lambda counts, limit: (made.append(len(counts)), fit(counts, limit))[1])
+    webp._fixed_codes(True), webp._fixed_codes(False)
+    made.clear()
+    rng = np.random.default_rng(3)
+    for n in (576, 576 * 9):
+        samples = rng.integers(0, 250, n).astype(np.uint8)
+        file = webp.encode_samples(samples, 576)
+        assert made == [280 + (1 << webp.CACHE_BITS), 19]
+        made.clear()
+        slots, found = webp._green_slots(0xFF000000, webp.CACHE_BITS), []
+        monkeypatch.setattr(webp, "_green_pixels", lambda symbols, *rest, f=webp._green_pixels: (found.append(symbols), f(symbols, *rest))[1])
+        assert (webp.decode(file)[..., 1].reshape(-1) == samples).all()
+        read = {s - 280 for s in found[0].tolist() if s >= 280}
+        assert read and all(sum(slots[v] == place for v in range(len(np.unique(samples)))) == 1 for place in read)
+
+
 def test_media_payloads_round_trip(spark):
     rows = media_digest(media_columns(data.odd_documents(spark))).collect()
     texts = {**dict(enumerate(data.odd_texts())), 100: "", None: "no id at all here today"}

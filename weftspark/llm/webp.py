@@ -37,6 +37,9 @@ _HASH = 0x1E35A7BD
 _SPREAD = 0x9E3779B97F4A7C15
 #: Longest code of ``encode_samples``, colour cache bits, and least and greatest length of its matches.
 MOST_BITS, CACHE_BITS, LEAST_MATCH, MOST_MATCH = 11, 9, 8, 4096
+#: Code lengths that hold in all files of ``encode_samples``, so that neither side fits or reads them: of the steps of a palette, and of distances.
+PALETTE_LENGTHS = [10, 1, 3, 3, 9, 9, 9, *[10] * 249, *[0] * 24]
+FAR_LENGTHS = [*[7] * 13, 6, *[4] * 12, *[6] * 3, *[7] * 11]
 #: Extra bits of the prefix symbols of lengths and distances, and a number above the bits of any code and its extra bits.
 _EXTRA, COPY = np.maximum(np.arange(40) - 2 >> 1, 0), 128
 _BEFORE = np.concatenate([np.zeros(256, np.uint8), (_EXTRA[:24] + COPY).astype(np.uint8), np.zeros(1 << 11, np.uint8)])
@@ -108,6 +111,11 @@ def _single_code(symbol: int) -> PrefixCode:
 
 
 def _read_code(bits: BitReader, size: int) -> PrefixCode:
+    if bits.peek(11) & 0b111 == 0b101:
+        symbol = bits.read(11) >> 3
+        if symbol >= size:
+            raise ValueError("a symbol is beyond its alphabet")
+        return _single_code(symbol)
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)]
@@ -124,17 +132,17 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
     used, code = [], PrefixCode([(n, s) for s, n in enumerate(of_lengths) if n])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last, table, mask = 0, 8, code.table, (1 << code.bits) - 1
-    ahead = held = 0
+    ahead, held, place = 0, 0, bits.at
     while at < size and left:
         left -= 1
         if held < 14:
-            byte, moved = bits.at >> 3, bits.at & 7
+            byte, moved = place >> 3, place & 7
             ahead, held = int.from_bytes(bits.data[byte : byte + 24], "little") >> moved, 192 - moved
         entry = table[ahead & mask]
         s, n = entry >> 4, entry & 15
         ahead >>= n
         held -= n
-        bits.at += n
+        place += n
         if s < 16:
             if s:
                 used.append((s, at))
@@ -145,15 +153,51 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
         n = least + (ahead & (1 << extra) - 1)
         ahead >>= extra
         held -= extra
-        bits.at += extra
+        place += extra
         if at + n > size:
             raise ValueError("the code lengths run over")
         if value:
             used += [(value, i) for i in range(at, at + n)]
         at += n
+    bits.at = place
     return PrefixCode(used)
 
 
+@cache
+def _fixed_codes(palette: bool) -> tuple[int, int, list[PrefixCode]]:
+    """The codes that are the same in all files of ``encode_samples`` as bits, their number, and the codes: all five of a palette of several colours, or those after green."""
+    bits = BitWriter()
+    if palette:
+        _put_code(bits, PALETTE_LENGTHS)
+        _put_single(bits, 0)
+        _put_single(bits, 0)
+        bits.put(0b111 | 255 << 11, 19)
+        _put_single(bits, 0)
+    else:
+        for symbol in (0, 0, 255):
+            _put_single(bits, symbol)
+        _put_code(bits, FAR_LENGTHS)
+    reader = BitReader(bits.take() + bytes(8))
+    return bits.value, bits.n, [_read_code(reader, n) for n in ((len(PALETTE_LENGTHS),) if palette else ()) + (256, 256, 256, len(FAR_LENGTHS))]
+
+
+def _known_codes(bits: BitReader, palette: bool) -> list[PrefixCode] | None:
+    """The fixed codes, if they come next: they are compared as a whole and not read again."""
+    value, n, codes = _fixed_codes(palette)
+    byte, moved = bits.at >> 3, bits.at & 7
+    if bits.at + n > bits.end or int.from_bytes(bits.data[byte : byte + (n + moved + 7 >> 3)], "little") >> moved & (1 << n) - 1 != value:
+        return None
+    bits.at += n
+    return codes
+
+
+def _read_codes(bits: BitReader, sizes: tuple[int, ...]) -> list[PrefixCode]:
+    if sizes[0] == len(PALETTE_LENGTHS) and (known := _known_codes(bits, True)):
+        return known
+    green = _read_code(bits, sizes[0])
+    return [green, *(_known_codes(bits, False) or [_read_code(bits, size) for size in sizes[1:]])]
+
+
 def _prefix_values(symbols: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths or distances of prefix symbols, by the bits after these, and how many of the bits they take."""
     extra = _EXTRA[symbols]
@@ -177,16 +221,16 @@ def _green_symbols(bits: BitReader, green: PrefixCode, far: PrefixCode, total: i
         part[: len(data) - first] = data[first : first + len(part)]
         eight = np.ndarray(len(part) - 8, "<i8", part, strides=(1,))
         ahead = (eight[:, None] >> np.arange(8)).reshape(-1)
-        step = taken[ahead & (1 << green.bits) - 1]
+        step = taken.take(ahead & (1 << green.bits) - 1)
         copies = np.flatnonzero(step >= COPY)
         before = step[copies] - np.uint8(COPY)
         step[copies] = before + onward[ahead[copies] >> before & (1 << far.bits) - 1]
         # The place after one symbol, then after two, four and eight; places beyond the part stay.
         limit = len(step)
-        hops = [np.arange(limit + COPY, dtype=np.int32)]
+        hops = [np.arange(limit + COPY)]
         hops[0][:limit] += step
         for _ in range(3):
-            hops.append(hops[-1][hops[-1]])
+            hops.append(hops[-1].take(hops[-1]))
         jump, at, own = memoryview(hops.pop()), start & 7, []
         while at < limit:
             own.append(at)
@@ -241,15 +285,15 @@ def _green_pixels(symbols: np.ndarray, makes: np.ndarray, back: np.ndarray, widt
         first, owner, owners = np.full(1 << cache_bits, len(plain)), np.zeros(1 << cache_bits, np.int64), {}
         at = np.flatnonzero(literal)[::-1]
         first[slots[values[at]]] = at
-        for v in np.unique(values[literal]).tolist():
-            owner[slots[v]] = v
+        colours = np.flatnonzero(np.bincount(values[at], minlength=256))
+        owner[slots[colours]] = colours
+        crowded = np.bincount(slots[colours], minlength=1 << cache_bits) > 1
+        for v in colours[crowded[slots[colours]]].tolist():
             owners.setdefault(int(slots[v]), []).append(v)
         read = np.flatnonzero(~literal)
         if (first[values[read] - 280] > read).any():
             return None
         # Colours get into the cache as literals first. Where a place has had several, the last one of the pixels counts.
-        crowded = np.zeros(1 << cache_bits, bool)
-        crowded[[slot for slot, colours in owners.items() if len(colours) > 1]] = True
         several[read] = crowded[values[read] - 280]
         values = np.where(literal, values, owner[np.maximum(values - 280, 0)])
     given, out, sent = values.astype(np.uint8).tobytes(), bytearray(), 0
@@ -287,7 +331,7 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = []
     for _ in range(max(blocks) + 1 if blocks else 1):
-        codes = [_read_code(bits, size) for size in sizes]
+        codes = _read_codes(bits, sizes)
         # Where three colours take no bits, a literal is one look-up.
         fixed = None if any(c.bits for c in codes[1:4]) else codes[3].only << 24 | codes[1].only << 16 | codes[2].only
         groups.append((codes, fixed))
@@ -481,10 +525,10 @@ def decode(data: bytes) -> np.ndarray:
             p = _cross(p, _block_values(extra, w, height, shift), 1)
         elif kind == PALETTE:
             depth = 8 >> shift
-            index = np.stack([p[..., 1] >> (depth * i) & ((1 << depth) - 1) for i in range(1 << shift)], -1).reshape(height, -1)[:, :w]
+            index = p[..., 1] if not shift else np.stack([p[..., 1] >> (depth * i) & ((1 << depth) - 1) for i in range(1 << shift)], -1).reshape(height, -1)[:, :w]
             full = np.zeros((256, 4), np.uint8)
             full[: len(extra)] = extra
-            p = full[index]
+            p = full.view(np.uint32)[:, 0][index].view(np.uint8).reshape(height, w, 4)
         else:
             modes = _block_values(extra, w, height, shift)[..., 1].reshape(-1).tolist()
             rest, done = p.reshape(-1, 4).tolist(), []
@@ -555,6 +599,18 @@ def _codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _code_columns(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``_codes`` as arrays by symbol: codes and their lengths, 0 for those without."""
+    sizes = np.array(lengths)
+    used = np.flatnonzero(sizes)
+    if len(used) == 1:
+        return np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    used, code = used[np.argsort(sizes[used], kind="stable")], np.zeros(len(sizes), np.int64)
+    takes = 1 << 15 - sizes[used]
+    code[used] = _reversed(15)[np.cumsum(takes) - takes]
+    return code, sizes
+
+
 _PLAIN_LENGTHS = [(n, 0, 0) for n in range(16)]
 
 
@@ -730,6 +786,18 @@ def _matches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_symbol_of`` for arrays."""
+    if not len(values) or values.max() < 1 << 14:
+        return tuple(column.take(values) for column in _prefixes())
+    return _computed_prefixes(values)
+
+
+@cache
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of ``_symbol_of`` by value; the first row stands for none."""
+    return _computed_prefixes(np.maximum(np.arange(1 << 14), 1))
+
+
+def _computed_prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = values - 1
     extra = np.where(v < 4, 0, np.frexp(np.maximum(v, 1))[1] - 2)
     return np.where(v < 4, v, 2 * extra + 2 + (v >> extra & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
@@ -740,27 +808,30 @@ def _put_single(bits: BitWriter, symbol: int) -> None:
     bits.put(0b101 | symbol << 3, 11)
 
 
+@cache
+def _step_codes() -> list[tuple[int, int]]:
+    codes = _codes(PALETTE_LENGTHS)
+    return [codes[s] for s in range(256)]
+
+
+@cache
+def _far_codes() -> tuple[np.ndarray, np.ndarray]:
+    return _code_columns(FAR_LENGTHS)
+
+
 def _put_greens(bits: BitWriter, steps: list[int]) -> None:
     """The image of a palette, by its steps: only green changes, and alpha steps to 255 at once."""
     bits.put(0, 1)
-    counts = [0] * 280
-    for v in steps:
-        counts[v] += 1
-    lengths = _code_lengths(counts, MOST_BITS)
-    codes = _codes(lengths)
-    _put_code(bits, lengths)
-    _put_single(bits, 0)
-    _put_single(bits, 0)
-    if len(steps) > 1:
-        bits.put(0b111 | 255 << 11, 19)
-    else:
-        _put_single(bits, 255)
-    _put_single(bits, 0)
-    alpha, value, held = int(len(steps) > 1), 0, 0
+    if len(steps) == 1:
+        for symbol in (steps[0], 0, 0, 255, 0):
+            _put_single(bits, symbol)
+        return
+    bits.put(*_fixed_codes(True)[:2])
+    codes, value, held = _step_codes(), 0, 0
     for i, v in enumerate(steps):
         code, n = codes[v]
-        value |= (code | (not i and alpha) << n) << held
-        held += n + alpha
+        value |= (code | (not i) << n) << held
+        held += n + 1
     bits.put(value, held)
 
 
@@ -780,11 +851,14 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
         wide[:, :width] = index.reshape(height, width)
         index = sum(wide[:, i :: 1 << shift] << np.uint8(i * (8 >> shift)) for i in range(1 << shift)).reshape(-1)
     values = index.astype(np.int64)
-    # A pixel is in the cache if the last one of its slot was the same.
+    # Colours that have their place in the cache alone are read from it after their first pixel; those that share one are written out.
     slot = _green_slots(0xFF000000, CACHE_BITS)
-    order = np.argsort(slot.astype(np.uint16)[values], kind="stable")
-    cached = np.zeros(len(values), bool)
-    cached[order[1:]] = values[order[1:]] == values[order[:-1]]
+    first = np.full(256, len(values))
+    first[values[::-1]] = np.arange(len(values) - 1, -1, -1)
+    met = np.flatnonzero(first < len(values))
+    alone = np.bincount(slot[met], minlength=1 << CACHE_BITS)[slot] == 1
+    cached = alone[values]
+    cached[first[met]] = False
     at, length, distance = _matches(values)
     depth = np.zeros(len(values) + 1, np.int8)
     depth[at] = 1
@@ -798,25 +872,17 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     far, far_extra, far_size = _prefixed(distance + 120)
     green = np.where(cached[place], 280 + slot[values[place]], values[place])
     green[copies] = 256 + symbol
-    counts = [np.bincount(green, minlength=280 + (1 << CACHE_BITS)), np.bincount(far, minlength=40)]
-    own = [_code_lengths(c.tolist(), MOST_BITS) for c in counts]
+    lengths = _code_lengths(np.bincount(green, minlength=280 + (1 << CACHE_BITS)).tolist(), MOST_BITS)
     bits.put(0, 1)
     bits.put(1, 1)
     bits.put(CACHE_BITS, 4)
     bits.put(0, 1)
-    _put_code(bits, own[0])
-    for symbol in (0, 0, 255):
-        _put_single(bits, symbol)
-    _put_code(bits, own[1])
-    codes = []
-    for lengths in own:
-        codes.append(np.zeros((len(lengths), 2), np.int64))
-        known = _codes(lengths)
-        if known:
-            codes[-1][list(known)] = np.array(list(zip(*known.values()))).T
+    _put_code(bits, lengths)
+    bits.put(*_fixed_codes(False)[:2])
+    code_of, size_by = _code_columns(lengths)
     # Of a symbol: its code, the length's extra bits, the distance's code and its extra bits, 50 bits at most.
-    value, held = codes[0][green].T.copy()
-    code, size_of = codes[1][far].T
+    value, held = code_of.take(green), size_by.take(green)
+    code, size_of = _far_codes()[0].take(far), _far_codes()[1].take(far)
     value[copies] |= (extra | (code | far_extra << size_of) << size) << held[copies]
     held[copies] += size + size_of + far_size
     ends = bits.n + np.cumsum(held)
