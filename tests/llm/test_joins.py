@@ -181,3 +181,22 @@ def test_items_without_spaces_and_repeated_characters_are_found():
     changed = "".join("Z" if i % 9 == 0 else c for i, c in enumerate(solid))
     got = leaks_in(ItemIndex([(1, solid), (2, "x" * 90)]), pa.array([f"a {solid} b", f"a {changed} b", "x" * 3000, "nothing at all"]))
     assert [(r, i, e) for r, i, e, *_ in got] == [(0, 1, 0), (1, 1, 9), (2, 2, 0)]
+
+
+def test_texts_are_cut_into_cells_once(spark, monkeypatch):
+    """The sizes of the cells' groups come from the same pass and shuffle as their rows."""
+    texts, plain = {i: " ".join(f"w{(i % 40) * 50 + k}" for k in range(30)) for i in range(100)}, parity_join._first_tokens
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def told():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        yield from plain(told())
+
+    monkeypatch.setattr(parity_join, "_first_tokens", counted)
+    found = linked(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert found == {i: (26, i % 40) for i in texts}
+    assert seen.value == len(texts)

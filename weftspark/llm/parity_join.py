@@ -251,6 +251,16 @@ def _rare_pairs(rare: DataFrame, component: DataFrame, done: DataFrame) -> DataF
     return written(pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
 
 
+def _shared_cells(tokens: DataFrame) -> DataFrame:
+    """Rows of cells that several documents list, with the least of these (hub) and whether they are more than SMALL_GROUP.
+
+    Hardly any cell of a task comes twice, so sums before the shuffle and a join with them would be a second round of all cells.
+    """
+    group = Window.partitionBy("token")
+    held = tokens.withColumns({"size": F.count("*").over(group), "hub": F.min("doc_id").over(group)}).where("size > 1")
+    return held.select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent"))
+
+
 def _private(rows: DataFrame) -> DataFrame:
     """NODE and private, the number of a set's cells that no other set of the rows (NODE, token) holds; sets without any are left out."""
     alone = rows.groupBy("token").agg(F.count("*").alias("held"), *(F.min(c).alias(c) for c in NODE)).where("held = 1")
@@ -332,9 +342,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     members = written(filled.select("doc_id", *same).join(classes.drop("bits"), same).select("doc_id", "rep", "n").distinct(), "members")
     reps = written(classes.select("rep", "n", "bits"), "reps")
 
-    tokens = own.mapInArrow(_first_tokens, "token long, doc_id long")
-    known = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
-    shared = written(tokens.join(known, "token").select("token", "doc_id", "hub", (F.col("size") > SMALL_GROUP).alias("frequent")), "shared")
+    shared = written(_shared_cells(own.mapInArrow(_first_tokens, "token long, doc_id long")), "shared")
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Each with the document that is the smallest of most of its cells' groups: this links most copies.
