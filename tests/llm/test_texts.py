@@ -461,3 +461,22 @@ def test_known_pieces_are_looked_up_once():
     asked.clear()
     assert encoder.encode([*texts, "two new"]) == [*plain, np.array(encoder.tokenizer.encode("two new").ids, "<u2").tobytes()]
     assert [k for kind, k in asked if kind == "again"] == [" new"] and [k for kind, k in asked if kind == "get"][-2:] == ["two", " new"]
+
+
+def test_rare_colours_take_one_symbol(monkeypatch):
+    """Only frequent colours get a second symbol, a place of the cache, so codes are shorter; zeros between lengths are the same runs."""
+    made, put = [], webp._put_code
+    monkeypatch.setattr(webp, "_put_code", lambda bits, lengths: (made.append(lengths), put(bits, lengths)))
+    samples = np.random.default_rng(3).permutation(np.repeat(np.arange(40, dtype=np.uint8), [9] * 32 + [540] * 8))
+    file = webp.encode_samples(samples, 576)
+    assert (webp.decode(file)[..., 1].reshape(-1) == samples).all()
+    green = [x for x in made if len(x) == 280 + (1 << webp.CACHE_BITS)][-1]
+    read = {s - 280 for s, n in enumerate(green) if n and s >= 280}
+    slots = webp._green_slots(0xFF000000, webp.CACHE_BITS)
+    often = {int(slots[v]) for v in range(256) if (samples == v).sum() >= 16}
+    assert read and read <= often
+    for lengths in ([0] * 150 + [1, 1], [1, 0, 0, 1], [2, 2] + [0] * 139 + [1], [1] + [0] * 300 + [1, 0, 0]):
+        bits = webp.BitWriter()
+        put(bits, lengths)
+        code = webp._read_code(webp.BitReader(bits.take() + bytes(8)), len(lengths))
+        assert sorted({e >> 4 for e in code.table}) == [s for s, n in enumerate(lengths) if n]

@@ -37,6 +37,8 @@ _HASH = 0x1E35A7BD
 _SPREAD = 0x9E3779B97F4A7C15
 #: Longest code of ``encode_samples``, colour cache bits, and least and greatest length of its matches.
 MOST_BITS, CACHE_BITS, LEAST_MATCH, MOST_MATCH = 11, 9, 8, 4096
+#: Colours of at least one in so many pixels are read from the cache.
+OFTEN = 256
 #: Code lengths that hold in all files of ``encode_samples``, so that neither side fits or reads them: of the steps of a palette, and of distances.
 PALETTE_LENGTHS = [10, 1, 3, 3, 9, 9, 9, *[10] * 249, *[0] * 24]
 FAR_LENGTHS = [*[7] * 13, 6, *[4] * 12, *[6] * 3, *[7] * 11]
@@ -63,6 +65,15 @@ class BitReader:
         return value
 
 
+    def read_long(self, n: int) -> int:
+        """As many bits as wanted."""
+        byte, moved = self.at >> 3, self.at & 7
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("the image data is cut off")
+        return int.from_bytes(self.data[byte : byte + (n + moved + 7 >> 3)], "little") >> moved & (1 << n) - 1
+
+
 @cache
 def _reversed(bits: int) -> np.ndarray:
     """The numbers of ``bits`` bits, each with its bits in reverse order."""
@@ -126,10 +137,9 @@ def _read_code(bits: BitReader, size: int) -> PrefixCode:
         if not two:
             return _single_code(symbols[0])
         return PrefixCode([(1, s) for s in set(symbols)])
-    of_lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
-    used, code = [], PrefixCode([(n, s) for s, n in enumerate(of_lengths) if n])
+    n = 4 + bits.read(4)
+    told, used = bits.read_long(3 * n), []
+    code = PrefixCode([(told >> 3 * i & 7, s) for i, s in enumerate(_LENGTH_ORDER[:n]) if told >> 3 * i & 7])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last, table, mask = 0, 8, code.table, (1 << code.bits) - 1
     ahead, held, place = 0, 0, bits.at
@@ -614,6 +624,17 @@ def _code_columns(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 _PLAIN_LENGTHS = [(n, 0, 0) for n in range(16)]
 
 
+@cache
+def _zeros(n: int) -> list[tuple[int, int, int]]:
+    """Symbols, extra bits and their number for n zeros; runs from three on are one symbol with their length."""
+    items = []
+    while n > 2:
+        run = min(n, 138)
+        items.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
+        n -= run
+    return items + _PLAIN_LENGTHS[:1] * n
+
+
 def _put_code(bits: BitWriter, lengths: list[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n] or [0]
     if len(used) == 1 and used[0] < 256:
@@ -622,19 +643,15 @@ def _put_code(bits: BitWriter, lengths: list[int]) -> None:
         bits.put(1, 1)
         bits.put(used[0], 8)
         return
-    # Runs of zeros from three on are one symbol with their length.
     items, at = [], 0
-    for s in [*used, len(lengths)]:
-        while s - at > 2:
-            run = min(s - at, 138)
-            items.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
-            at += run
-        items += _PLAIN_LENGTHS[:1] * (s - at)
-        if s < len(lengths):
-            items.append(_PLAIN_LENGTHS[lengths[s]])
+    for s in used:
+        if s > at:
+            items += _zeros(s - at)
+        items.append(_PLAIN_LENGTHS[lengths[s]])
         at = s + 1
+    items += _zeros(len(lengths) - at)
     counts = [0] * 19
-    for s, *_ in items:
+    for s, _, _ in items:
         counts[s] += 1
     if sum(1 for n in counts if n) == 1:
         counts[0] += 1
@@ -851,12 +868,12 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
         wide[:, :width] = index.reshape(height, width)
         index = sum(wide[:, i :: 1 << shift] << np.uint8(i * (8 >> shift)) for i in range(1 << shift)).reshape(-1)
     values = index.astype(np.int64)
-    # Colours that have their place in the cache alone are read from it after their first pixel; those that share one are written out.
+    # Frequent colours that have their place in the cache alone are read from it after their first pixel; a second symbol for rare ones would lengthen the code.
     slot = _green_slots(0xFF000000, CACHE_BITS)
     first = np.full(256, len(values))
     first[values[::-1]] = np.arange(len(values) - 1, -1, -1)
     met = np.flatnonzero(first < len(values))
-    alone = np.bincount(slot[met], minlength=1 << CACHE_BITS)[slot] == 1
+    alone = (np.bincount(slot[met], minlength=1 << CACHE_BITS)[slot] == 1) & (np.bincount(values, minlength=256) * OFTEN >= len(values))
     cached = alone[values]
     cached[first[met]] = False
     at, length, distance = _matches(values)
