@@ -200,3 +200,50 @@ def test_texts_are_cut_into_cells_once(spark, monkeypatch):
     found = linked(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert found == {i: (26, i % 40) for i in texts}
     assert seen.value == len(texts)
+
+
+def test_pairs_come_to_python_in_bounded_batches(spark, monkeypatch):
+    """A batch holds both whole sets of each pair, outside the heap: at the session's 10,000 rows, 1,500 pairs came at once."""
+    most, plain = spark.sparkContext.accumulator(0), parity_join._compare
+    over = spark.sparkContext.accumulator(0)
+    texts = [(i, " ".join(f"w{(i % 1500) * 50 + k + (i >= 1500) * (k == 0) * 1000000}" for k in range(30))) for i in range(3000)]
+
+    def counted(batches):
+        def told():
+            for batch in batches:
+                most.add(batch.num_rows)
+                over.add(batch.num_rows > parity_join.BATCH_ROWS)
+                yield batch
+
+        yield from plain(told())
+
+    monkeypatch.setattr(parity_join, "_compare", counted)
+    monkeypatch.setattr(parity_join, "BATCH_ROWS", 50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = linked(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found == {i: (26, i % 1500) for i, _ in texts}
+    assert most.value >= 1500 and over.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_cells_are_not_shuffled_for_their_documents_classes(spark, monkeypatch):
+    """Size and class of a document come to its cells by one join; then the cells' rows go to their groups, where they are paired."""
+    frames, plain = [], parity_join.written
+
+    def kept(df, name, *rest):
+        frames.append((name, df))
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(parity_join, "written", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [(i, " ".join(f"w{(i % 20) * 50 + k + (i % 3) * (k == 0) * 1000}" for k in range(40))) for i in range(120)]
+        found = linked(spark.createDataFrame(texts, "doc_id long, text string"))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for _, df in frames if any("/shared/" in f for f in df.inputFiles())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {i: (36, i % 20) for i, _ in texts}
+    assert plans and not any("hashpartitioning(rep" in p for p in plans)
+    pairs = [p for p in plans if "hashpartitioning(token" in p and "LeftAnti" in p]
+    assert len(pairs) == 1 and "hashpartitioning(doc_id" in pairs[0]

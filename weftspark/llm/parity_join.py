@@ -65,6 +65,8 @@ FIRST_BAND, BAND_GROWTH = 64, 4
 SMALL_GROUP, LEADERS = 32, 64
 #: Earlier cells of two lists that are compared before a pair is made once more.
 LOOK_BACK = 12
+#: Rows of an Arrow batch, which a task and its Python worker hold several times beside the heap; a pair comes with both whole sets.
+BATCH_ROWS = 1_000
 #: Ids that may be broadcast to filter the texts of candidates (16 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Equal sets that a task remembers, to send their cells once.
@@ -225,17 +227,17 @@ def _near_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Written pairs whose whole parity sketches differ in few enough bits."""
     first, second = (reps.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     near = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "x", "y")
-    return written(near.mapInArrow(_near_enough, "a long, b long"), "near")
+    return written(near.mapInArrow(_near_enough, "a long, b long"), "near", BATCH_ROWS)
 
 
 def _verify(docs: DataFrame, near: DataFrame) -> DataFrame:
     """Written linked pairs (a, b), by the sets of the whole texts."""
     ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
     chosen = docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(_sets, "doc_id long, shingles binary").distinct(), "sets")
+    sets = written(chosen.mapInArrow(_sets, "doc_id long, shingles binary").distinct(), "sets", BATCH_ROWS)
     first, second = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     joined = near.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return written(joined.mapInArrow(_compare, "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
+    return written(joined.mapInArrow(_compare, "a long, b long, linked boolean").where("linked").select("a", "b"), "verified", BATCH_ROWS)
 
 
 def _classed(rows: DataFrame, component: DataFrame) -> DataFrame:
@@ -243,9 +245,12 @@ def _classed(rows: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(component, rows["rep"] == component["node"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("class"))
 
 
-def _rare_pairs(rare: DataFrame, component: DataFrame, done: DataFrame) -> DataFrame:
-    """Written pairs of two classes, of sizes that may link, in groups of at most SMALL_GROUP documents; not those done before."""
-    held = written(_classed(rare, component), "groups")
+def _rare_pairs(rare: DataFrame, done: DataFrame) -> DataFrame:
+    """Written pairs of two classes, of sizes that may link, in groups (token, rep, n, class) of at most SMALL_GROUP documents; not those done before.
+
+    One shuffle by cell serves for dropping repeated rows and for both sides of the join.
+    """
+    held = rare.repartition("token").distinct()
     a, b = held.toDF("token", "a", "na", "ca"), held.toDF("token", "b", "nb", "cb")
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")))
     return written(pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
@@ -274,7 +279,7 @@ def _crowded_groups(docs: DataFrame, affected: DataFrame) -> DataFrame | None:
     """
     chosen = docs.join(broadcast_if_small(affected, affected.count(), BROADCAST_IDS), "doc_id", "left_semi")
     kinds = ", ".join(f"{c} long" for c in (*NODE, *SHORT))
-    cells = written(chosen.mapInArrow(_finest, f"{kinds}, tokens array<long>").distinct(), "fine")
+    cells = written(chosen.mapInArrow(_finest, f"{kinds}, tokens array<long>").distinct(), "fine", BATCH_ROWS)
     before = cells.count()
     while True:
         rows = cells.select(*NODE, F.explode("tokens").alias("token"))
@@ -335,14 +340,14 @@ def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs(doc_id, text)``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(own.mapInArrow(_sketches, "doc_id long, n long, print1 long, print2 long, bits binary"), "sketches")
+    sketches = written(own.mapInArrow(_sketches, "doc_id long, n long, print1 long, print2 long, bits binary"), "sketches", BATCH_ROWS)
     filled = sketches.where("doc_id is not null and n > 0")
     same = ["n", "print1", "print2"]
     classes = filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
     members = written(filled.select("doc_id", *same).join(classes.drop("bits"), same).select("doc_id", "rep", "n").distinct(), "members")
     reps = written(classes.select("rep", "n", "bits"), "reps")
 
-    shared = written(_shared_cells(own.mapInArrow(_first_tokens, "token long, doc_id long")), "shared")
+    shared = written(_shared_cells(own.mapInArrow(_first_tokens, "token long, doc_id long")), "shared", BATCH_ROWS)
     links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Each with the document that is the smallest of most of its cells' groups: this links most copies.
@@ -352,15 +357,16 @@ def link_components(docs: DataFrame) -> DataFrame:
     done = written(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     component = connected_components(links.union(_verify(own, _near_pairs(reps, done))), "a", "b")
 
-    rare = shared.where("not frequent").join(members, "doc_id").select("token", "rep", "n").distinct()
-    pairs = _rare_pairs(rare, component, done)
+    # Cells are far more than documents, so they get all that is known of theirs at once.
+    known = written(_classed(members, component), "known")
+    pairs = _rare_pairs(shared.where("not frequent").select("token", "doc_id").join(known, "doc_id").select("token", "rep", "n", "class"), done)
     done = done.union(pairs)
     # Waits for the links of the next round: what it would tell apart is at worst compared once more.
     waiting = _verify(own, _near_pairs(reps, pairs))
 
     allowed = F.floor(F.floor(F.col("n") / 9) * SHARE / OF)
-    crowded = shared.where("frequent").groupBy("doc_id").agg(F.count("*").alias("crowd")).join(members, "doc_id").where(F.col("crowd") > allowed).select("doc_id", "rep")
-    several = _classed(shared.where("frequent").select("token", "doc_id").join(crowded, "doc_id").select("token", "rep"), component)
+    crowded = shared.where("frequent").select("token", "doc_id", F.count("*").over(Window.partitionBy("doc_id")).alias("crowd"))
+    several = crowded.join(known, "doc_id").where(F.col("crowd") > allowed).select("token", "rep", "class")
     mixed = several.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
     affected = written(several.join(mixed, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "affected")
     groups = None if affected.isEmpty() else _crowded_groups(own, affected)
