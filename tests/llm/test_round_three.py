@@ -265,3 +265,20 @@ def test_new_words_are_encoded_in_runs_with_the_same_ids():
     encode._whole = lambda pieces: (asked.extend(pieces), whole(pieces))[1]
     assert encode.encode(texts) == whole(texts)
     assert not any(p.startswith(" ") and p[1:].isalpha() and p.isascii() for p in asked)
+
+
+def test_pieces_of_a_task_are_not_forgotten_and_merged_again(monkeypatch):
+    """Eight hundred thousand remembered pieces stay (all were dropped at 600,000 before), and the ids are the library's."""
+    from weftspark.llm.token_records import WordEncoder
+
+    encode = WordEncoder(BPE)
+    encode.known = {f" {i}": b"" for i in range(800_000)}
+    texts = ["some words that nobody knows yet", "and others, 12 of them"]
+    assert encode.encode(texts[:1])[0] and len(encode.known) > 800_000
+    seen, plain = [], encode._pieces
+    monkeypatch.setattr(encode, "_pieces", lambda new: seen.extend(new) or plain(new))
+    encode.encode(texts[:1])
+    assert not seen
+    fresh = WordEncoder(BPE)
+    whole = [np.array(fresh.tokenizer.encode(t, add_special_tokens=False).ids, fresh.dtype).tobytes() for t in texts]
+    assert [fresh.encode([t])[0] for t in texts] == whole
